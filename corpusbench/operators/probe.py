@@ -9,17 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def mean_difference_weights(df: DataFrame, features: str, label: str, dims: int) -> DataFrame:
+def mean_difference_weights(df: DataFrame, features: str, label: str) -> DataFrame:
     """One row holding the class-mean difference per dimension.
 
-    Two averages per dimension in one partial aggregation: no explode, and
-    what leaves each task is a single row.
+    Sums are combined per (dimension, class) before the shuffle, so each task
+    sends two rows per dimension and the last step orders that many rows.
     """
-    item = [F.get(F.col(features), i).cast("double") for i in range(dims)]
-    diff = [
-        F.avg(F.when(F.col(label) == 1, x)) - F.avg(F.when(F.col(label) == 0, x)) for x in item
-    ]
-    return df.agg(F.array(*diff).alias("w"))
+    cells = df.select(label, F.posexplode(features).alias("dim", "x"))
+    x = F.col("x").cast("double")
+    per_dim = cells.groupBy("dim").agg((
+        F.avg(F.when(F.col(label) == 1, x)) - F.avg(F.when(F.col(label) == 0, x))).alias("d"))
+    ordered = F.array_sort(F.collect_list(F.struct("dim", "d")))
+    return per_dim.agg(F.transform(ordered, lambda s: s["d"]).alias("w"))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -18,30 +18,51 @@ BUCKETS = 1024
 
 
 def grouped_row_number(df: DataFrame, by: list[str], order: list, bucket: Column,
-                       out: str = "rn", first: int | None = None) -> DataFrame:
+                       out: str = "rn", first: int | str | None = None) -> DataFrame:
     """Exact 1-based row number per group.
 
     ``bucket`` must not decrease along ``order`` and ``by`` must be non-null.
-    With ``first``, buckets that start past it are dropped before rows are
-    sorted; the rows left include every row numbered up to ``first``.
+    With ``first`` (a number or a column of the rows) only rows numbered up
+    to it are returned, and buckets that start past it are dropped before
+    anything is sorted.
     """
     keyed = df.withColumn("_bucket", bucket)
     sizes = keyed.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     starts = sizes.select(*by, "_bucket", (F.sum("_n").over(before) - F.col("_n")).alias("_start"))
+    joined = keyed.join(starts, [*by, "_bucket"])
+    limit = F.col(first) if isinstance(first, str) else F.lit(first)
     if first is not None:
-        starts = starts.where(F.col("_start") < first)
+        joined = joined.where(F.col("_start") < limit)
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
-    ranked = keyed.join(starts, [*by, "_bucket"]).withColumn(
-        out, (F.col("_start") + F.row_number().over(inside)).cast("long"))
+    ranked = joined.withColumn(out, (F.col("_start") + F.row_number().over(inside)).cast("long"))
     if first is not None:
-        ranked = ranked.where(F.col(out) <= first)
+        ranked = ranked.where(F.col(out) <= limit)
     return ranked.drop("_bucket", "_start")
 
 
+def grouped_sum_before(df: DataFrame, by: list[str], order: list, bucket: Column, value: Column,
+                       out: str) -> DataFrame:
+    """Sum of ``value`` over all earlier rows of the group (0 for the first).
+
+    Same bucketing rule as ``grouped_row_number``; with an empty ``by`` the
+    whole table is one group and only its bucket totals share a task.
+    """
+    keyed = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    sizes = keyed.groupBy(*by, "_bucket").agg(F.sum("_value").alias("_n"))
+    upto = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    starts = sizes.select(*by, "_bucket", (F.sum("_n").over(upto) - F.col("_n")).alias("_start"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return keyed.join(starts, [*by, "_bucket"]).withColumn(
+        out, F.col("_start") + F.sum("_value").over(inside) - F.col("_value"),
+    ).drop("_bucket", "_value", "_start")
+
+
 def seeded_row_number(df: DataFrame, by: list[str], seed: str, key: str, out: str = "rn",
-                      first: int | None = None, buckets: int = BUCKETS) -> DataFrame:
+                      first: int | str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Row number per group in a seeded random order; ties break by ``key``."""
     drawn = df.withColumn("_u", uniform(seed, F.col(key)))
     bucket = F.floor(F.col("_u") * buckets).cast("int")
@@ -63,18 +84,3 @@ def top_per_group(df: DataFrame, by: list[str], order: list, k: int, out: str =
               .withColumn("_local", F.row_number().over(local))
               .where(F.col("_local") <= k).drop("_salt", "_local"))
     return df.withColumn(out, F.row_number().over(final)).where(F.col(out) <= k)
-
-
-def running_before(df: DataFrame, block: str, order: list, value: str, out: str) -> DataFrame:
-    """Sum of ``value`` over all earlier rows in (block, order), whole table.
-
-    Blocks (shards) are summed first; the running total over blocks handles
-    one row per block, and rows are only sorted inside their own block.
-    """
-    totals = df.groupBy(block).agg(F.sum(value).alias("_total"))
-    over_blocks = Window.orderBy(block).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = totals.select(block, (F.sum("_total").over(over_blocks) - F.col("_total")).alias("_start"))
-    inside = Window.partitionBy(block).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    return df.join(starts, block).withColumn(
-        out, F.col("_start") + F.sum(value).over(inside) - F.col(value)).drop("_start")

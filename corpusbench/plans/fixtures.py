@@ -70,7 +70,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings").withColumn("y", (F.col("label") >= 5).cast("int"))
-    weights = mean_difference_weights(emb, "embedding", "y", DIMS)
+    weights = mean_difference_weights(emb, "embedding", "y")
     return linear_score(emb, "embedding", weights, DIMS, scale=8.0).select(
         F.col("vec_id").alias("id"),
         F.col("y").alias("label"),

@@ -349,7 +349,7 @@ def mean_difference_probe(spark, sf):
     from corpusbench.operators.probe import mean_difference_weights
 
     emb = fx.table(spark, sf, "embeddings").withColumn("y", (F.col("label") >= 5).cast("int"))
-    w = mean_difference_weights(emb, "embedding", "y", fx.DIMS)
+    w = mean_difference_weights(emb, "embedding", "y")
     return w.select(F.posexplode("w").alias("dim", "weight")).select("dim", F.round("weight", 9).alias("weight"))
 
 
