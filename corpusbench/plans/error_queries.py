@@ -17,7 +17,8 @@ _ERR = """err as (select *, case when label = 0 then 'fp' else 'fn' end as kind,
     where (label = 0 and prob >= 0.5) or (label = 1 and prob < 0.5)),
   ranked as (select *, row_number() over (partition by kind order by score desc, id) as rank,
     count(*) over (partition by kind) as total from err)"""
-_BIG, _SMALL = _ERR.format(src="scored_big"), _ERR.format(src="scored")
+_BIG = _ERR.format(src="(select * exclude (kind) from scored_big)")
+_SMALL = _ERR.format(src="scored")
 
 
 @query("error_topk", oracle(f"""with {_BIG}

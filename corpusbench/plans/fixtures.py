@@ -178,8 +178,8 @@ def pixel_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"),
         (F.col("label") >= 5).cast("int").alias("label"),
-        F.transform("embedding", lambda x: F.round(
-            F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-8.0) * x.cast("double"))), 6)).alias("grid"),
+        F.transform("embedding", lambda x: F.lit(1.0) / (
+            F.lit(1.0) + F.exp(F.lit(-8.0) * x.cast("double")))).alias("grid"),
     )
 
 
@@ -268,7 +268,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                (event_type = 'error')::int as label from events"""),
     "cells": ([], """
         select vec_id as id, (label >= 5)::int as label, i - 1 as cell, (i - 1) // 8 as r, (i - 1) % 8 as c,
-               round(1.0::double / (1.0::double + exp(-8.0::double * x)), 6) as x
+               1.0::double / (1.0::double + exp(-8.0::double * x)) as x
         from (select vec_id, label, unnest(embedding)::double as x,
                      generate_subscripts(embedding, 1) as i from embeddings)"""),
 }

@@ -33,7 +33,8 @@ def pool(spark, sf):
 def draws(spark, sf, per_row=4):
     """Dense draw numbers, four per document (``doc_id`` is dense)."""
     return fx.table(spark, sf, "documents").select(
-        (F.col("doc_id") * per_row + F.explode(F.sequence(F.lit(0), F.lit(per_row - 1)))).alias("draw"))
+        "doc_id", F.explode(F.sequence(F.lit(0), F.lit(per_row - 1))).alias("j")).select(
+        (F.col("doc_id") * per_row + F.col("j")).alias("draw"))
 
 
 _DRAWS = "draws as (select doc_id * 4 + j as draw from documents, (values (0), (1), (2), (3)) v(j))"
