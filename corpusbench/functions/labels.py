@@ -77,11 +77,7 @@ def verdict(prob: Column, threshold: float = 0.5) -> Column:
 
 
 def has_hint(name: Column, hints: list[str]) -> Column:
-    low = F.lower(name)
-    cond = F.lit(False)
-    for h in hints:
-        cond = cond | F.contains(low, F.lit(h))
-    return cond
+    return F.lower(name).rlike("|".join(f"\\Q{h}\\E" for h in hints))
 
 
 def class_from_dir(name: Column) -> Column:

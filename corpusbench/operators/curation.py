@@ -74,7 +74,8 @@ def resume_anti_join(todo: DataFrame, prior: DataFrame, on: str, pred: str = "pr
 
 def first_by_key(df: DataFrame, key: str, order: list[str], keep: list[str]) -> DataFrame:
     """First row per key in ``order`` as a combining aggregate."""
-    return df.groupBy(key).agg(F.min(F.struct(*order, *keep)).alias("_row")).select(
+    fields = list(dict.fromkeys([*order, *keep]))
+    return df.groupBy(key).agg(F.min(F.struct(*fields)).alias("_row")).select(
         key, *[F.col(f"_row.{c}").alias(c) for c in keep])
 
 
