@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusbench.functions.literals import array_literal
 from corpusbench.functions.rng import normal, uniform
 
 SIZE = 8
@@ -49,7 +50,7 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def _lit_matrix(m: Matrix) -> Column:
-    return F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in m])
+    return array_literal([[float(v) for v in row] for row in m])
 
 
 def separable(x: Column, rows: Matrix, cols: Matrix) -> Column:

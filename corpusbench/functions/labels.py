@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusbench.functions.literals import map_literal
+
 # Words accepted for either class.
 FAKE_WORDS = ["fake", "ai", "generated", "synthetic", "ai-generated", "ai_generated"]
 REAL_WORDS = ["real", "authentic", "human", "photo"]
@@ -27,8 +29,7 @@ def label_map_lookup(raw: Column, label_map: dict) -> Column:
     """Mapped label by the raw text, the trimmed text or its integer form."""
     if not label_map:
         return F.lit(None).cast("int")
-    items = [x for k, v in label_map.items() for x in (F.lit(str(k)), F.lit(int(v)))]
-    table = F.create_map(*items)
+    table = map_literal({str(k): int(v) for k, v in label_map.items()})
     text = raw.cast("string")
     return F.coalesce(
         F.try_element_at(table, text),

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusbench.functions.literals import array_literal
+
 TWO_32 = 4294967296.0
 
 
@@ -28,5 +30,4 @@ def normal(seed: str | int, *keys: Column) -> Column:
 
 def choice(u: Column, values: list) -> Column:
     """Pick one of ``values`` with equal probability from a uniform."""
-    arr = F.array(*[F.lit(v) for v in values])
-    return F.get(arr, F.floor(u * F.lit(float(len(values)))).cast("int"))
+    return F.get(array_literal(values), F.floor(u * F.lit(float(len(values)))).cast("int"))

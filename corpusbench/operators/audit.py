@@ -70,7 +70,7 @@ def meta_index(shards: DataFrame, sampled: DataFrame, all_shards: DataFrame, sha
     """(label, model) counts on sampled shards, scaled to all shards (half-even)."""
     scale = all_shards.agg(F.count("*").alias("n")).scalar() / F.greatest(
         F.lit(1), sampled.agg(F.count("*").alias("n")).scalar())
-    counts = shards.join(F.broadcast(sampled.select(shard)), shard, "left_semi").groupBy("label", "model").agg(
+    counts = shards.join(sampled.select(shard), shard, "left_semi").groupBy("label", "model").agg(
         F.count("*").alias("n_sampled"))
     return counts.withColumn("n_estimated_total", F.bround(F.col("n_sampled") * scale).cast("long"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusbench.functions.rng import uniform
 from corpusbench.operators.ranking import (
-    BUCKETS, grouped_row_number, grouped_sum_before, seeded_row_number,
+    grouped_row_number, grouped_sum_before, seeded_row_number,
 )
 
 UNCAPPED = 2**62
@@ -199,8 +199,7 @@ def mod_shard(df: DataFrame, key: str, bucket: Column, workers: int) -> DataFram
 def budget_cap(df: DataFrame, shard: str, pos: str, size: str, max_items: int | None = None,
                max_bytes: int | None = None) -> DataFrame:
     """Rows until a budget is used up; the row that crosses it is still kept."""
-    total = grouped_sum_before(df, [], [pos], F.col(shard), F.struct(
-        F.lit(1).cast("long").alias("n")).getField("n"), "_n_before")
+    total = grouped_sum_before(df, [], [pos], F.col(shard), F.lit(1).cast("long"), "_n_before")
     total = grouped_sum_before(total, [], [pos], F.col(shard), F.col(size), "_b_before")
     cond = F.lit(True)
     if max_items:
@@ -223,5 +222,4 @@ def split_cap(df: DataFrame, split: str, caps: dict[str, int], seed: str, key: s
     """Cap only the splits named in ``caps``; the others pass whole."""
     capped = [x for k, v in caps.items() for x in (F.lit(k), F.lit(v).cast("long"))]
     cap = F.coalesce(F.try_element_at(F.create_map(*capped), F.col(split)), F.lit(UNCAPPED))
-    return seeded_row_number(df.withColumn("_cap", cap), [split], seed, key, out="rn", first="_cap",
-                             buckets=BUCKETS).drop("_cap")
+    return seeded_row_number(df.withColumn("_cap", cap), [split], seed, key, out="rn", first="_cap").drop("_cap")

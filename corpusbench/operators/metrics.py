@@ -15,11 +15,15 @@ METRICS = ["n", "n_fake", "n_real", "accuracy", "macro_accuracy", "precision", "
            "f1", "fpr", "fnr", "auroc", "ap"]
 
 
+def _names(cols: list[str]) -> str:
+    return ", ".join(f"`{c}`" for c in cols)
+
+
 def score_histogram(df: DataFrame, by: list[str], prob: str = "prob", label: str = "label") -> DataFrame:
     return df.groupBy(*by, F.col(prob).alias("score")).agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col(label) == 1).alias("pos"),
-        F.count_if(F.col(label) == 0).alias("neg"),
+        F.expr("count(1) as n"),
+        F.expr(f"count_if(`{label}` = 1) as pos"),
+        F.expr(f"count_if(`{label}` = 0) as neg"),
     )
 
 
@@ -38,11 +42,11 @@ def cumulate(hist: DataFrame, by: list[str], bounded: bool = True) -> DataFrame:
     scores are cut into order-following logit buckets and only bucket totals
     are summed per group.
     """
-    down = F.col("score").desc()
     if bounded:
-        w = Window.partitionBy(*by).orderBy(down).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        return hist.select("*", F.sum("pos").over(w).alias("cpos"), F.sum("neg").over(w).alias("cneg"))
+        part = f"partition by {_names(by)} " if by else ""
+        w = f"({part}order by score desc rows between unbounded preceding and current row)"
+        return hist.selectExpr("*", f"sum(pos) over {w} as cpos", f"sum(neg) over {w} as cneg")
+    down = F.col("score").desc()
     hist = hist.withColumn("_bucket", _logit_bucket(F.col("score")))
     if not by:
         hist, by = hist.withColumn("_all", F.lit(1)), ["_all"]
@@ -68,47 +72,39 @@ def cumulate(hist: DataFrame, by: list[str], bounded: bool = True) -> DataFrame:
     ).drop("_bucket", "_p0", "_n0", "_all")
 
 
-def ratio(num: Column, den: Column) -> Column:
-    """``num / max(1, den)``: an absent class gives 0, not null."""
-    return num.cast("double") / F.greatest(F.lit(1.0), den.cast("double"))
-
-
-def confusion_columns(tp: Column, fp: Column, pos: Column, neg: Column, n: Column) -> list[Column]:
-    fn, tn = pos - tp, neg - fp
-    precision, recall = ratio(tp, tp + fp), ratio(tp, pos)
-    return [
-        n.alias("n"), pos.alias("n_fake"), neg.alias("n_real"),
-        ratio(tp + tn, n).alias("accuracy"),
-        (F.lit(0.5) * (recall + ratio(tn, neg))).alias("macro_accuracy"),
-        precision.alias("precision"), recall.alias("recall"),
-        F.when(precision + recall > 0, F.lit(2.0) * precision * recall / (precision + recall))
-        .otherwise(F.lit(0.0)).alias("f1"),
-        ratio(fp, neg).alias("fpr"), ratio(fn, pos).alias("fnr"),
-    ]
+# Denominators are at least 1, so an absent class gives 0, not null.
+CONFUSION = [
+    "_n as n", "_pos as n_fake", "_neg as n_real",
+    "(_tp + _neg - _fp) / greatest(1D, _n) as accuracy",
+    "0.5D * (_tp / greatest(1D, _pos) + (_neg - _fp) / greatest(1D, _neg)) as macro_accuracy",
+    "_tp / greatest(1D, _tp + _fp) as precision",
+    "_tp / greatest(1D, _pos) as recall",
+    # Harmonic mean of precision and recall, 0 when both are 0.
+    "if(_tp > 0, 2D * _tp / (_tp + _fp + _pos), 0D) as f1",
+    "_fp / greatest(1D, _neg) as fpr",
+    "(_pos - _tp) / greatest(1D, _pos) as fnr",
+]
+CURVES = [
+    "if(_pos > 0 and _neg > 0, _area / (cast(_pos as double) * _neg), null) as auroc",
+    "if(_pos > 0 and _neg > 0, _steps / _pos, null) as ap",
+]
 
 
 def _from_hist(hist: DataFrame, by: list[str], threshold: float, curves: bool, bounded: bool) -> DataFrame:
+    """Totals and curve areas of the cumulated histogram in one aggregate per group."""
     aggs = [
-        F.sum("n").alias("_n"), F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"),
-        F.coalesce(F.sum(F.when(F.col("score") >= threshold, F.col("pos"))), F.lit(0)).alias("_tp"),
-        F.coalesce(F.sum(F.when(F.col("score") >= threshold, F.col("neg"))), F.lit(0)).alias("_fp"),
+        "coalesce(sum(n), 0L) as _n", "coalesce(sum(pos), 0L) as _pos", "coalesce(sum(neg), 0L) as _neg",
+        f"coalesce(sum(if(score >= {float(threshold)}D, pos, 0)), 0L) as _tp",
+        f"coalesce(sum(if(score >= {float(threshold)}D, neg, 0)), 0L) as _fp",
     ]
     if curves:
         hist = cumulate(hist, by, bounded)
         aggs += [
-            F.sum(F.col("neg") * (F.col("cpos") - F.col("pos") / F.lit(2.0))).alias("_area"),
-            F.sum(F.when(F.col("pos") > 0, F.col("pos").cast("double") * F.col("cpos")
-                         / (F.col("cpos") + F.col("cneg"))).otherwise(F.lit(0.0))).alias("_steps"),
-        ]
-    agg = hist.groupBy(*by).agg(*aggs)
-    cols = confusion_columns(F.col("_tp"), F.col("_fp"), F.col("_pos"), F.col("_neg"), F.col("_n"))
-    if curves:
-        both = (F.col("_pos") > 0) & (F.col("_neg") > 0)
-        cols += [
-            F.when(both, F.col("_area") / (F.col("_pos").cast("double") * F.col("_neg"))).alias("auroc"),
-            F.when(both, F.col("_steps") / F.col("_pos")).alias("ap"),
+            "sum(neg * (cpos - pos / 2D)) as _area",
+            "sum(if(pos > 0, cast(pos as double) * cpos / (cpos + cneg), 0D)) as _steps",
         ]
-    return agg.select(*by, *cols)
+    agg = hist.groupBy(*by).agg(*[F.expr(a) for a in aggs])
+    return agg.selectExpr(*[f"`{c}`" for c in by], *CONFUSION, *(CURVES if curves else []))
 
 
 def metrics(df: DataFrame, by: list[str] | None = None, prob: str = "prob", label: str = "label",
@@ -121,6 +117,13 @@ def metrics(df: DataFrame, by: list[str] | None = None, prob: str = "prob", labe
     return _from_hist(score_histogram(df, by, prob, label), by, threshold, curves, bounded)
 
 
+def metrics_from_histogram(parts: DataFrame, by: list[str], threshold: float = 0.5,
+                           bounded: bool = True) -> DataFrame:
+    """Metrics from histograms written at different times; counts of a score add up."""
+    hist = parts.groupBy(*by, "score").agg(*[F.sum(c).alias(c) for c in ("n", "pos", "neg")])
+    return _from_hist(hist, by, threshold, True, bounded)
+
+
 def rounded(df: DataFrame, digits: int = 6, skip: tuple[str, ...] = ()) -> DataFrame:
     """Round double columns, because sums run in another order on every plan."""
     return df.select(*[

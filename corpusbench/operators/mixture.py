@@ -175,62 +175,56 @@ def composite_plan(df: DataFrame, seed: str, key: str, batch: str, prob: float =
 
     Fakes are chosen with ``prob`` and split over fake-on-real, real-on-fake
     and fake-on-fake by largest remainder; the first reals in seeded order
-    become real-on-real, ``round(chosen * ratio)`` of them. A batch is small
-    and fixed in size, so its windows are too.
+    become real-on-real, ``round(chosen * ratio)`` of them. A batch has a
+    fixed small size, so its rows meet in one array per class and the whole
+    plan costs one shuffle.
     """
-    u = uniform(f"{seed}.order", F.col(key))
-    per_class = Window.partitionBy(batch, "label")
-    whole = Window.partitionBy(batch)
-    base = df.withColumn("_u", u).withColumn("_chosen", (
-        (F.col("label") == 1) & (uniform(f"{seed}.pick", F.col(key)) < prob)).cast("int"))
-    base = (
-        base.withColumn("_n_real", F.count_if(F.col("label") == 0).over(whole))
-        .withColumn("_n_fake", F.count_if(F.col("label") == 1).over(whole))
-        .withColumn("_n_chosen", F.sum("_chosen").over(whole))
-        .withColumn("_rank", F.row_number().over(per_class.orderBy("_u", key)))
-        .withColumn("_place", F.sum("_chosen").over(
-            per_class.orderBy("_u", key).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    )
-    # Largest remainder over three weights, written out per row.
-    live = [F.when(F.col("_n_real") > 0, F.lit(weights[0])).otherwise(F.lit(0.0)),
-            F.when(F.col("_n_real") > 0, F.lit(weights[1])).otherwise(F.lit(0.0)), F.lit(weights[2])]
+    order = uniform(f"{seed}.order", F.col(key))
+    picked = uniform(f"{seed}.pick", F.col(key)) < prob
+    item = F.struct(order.alias("u"), F.col(key).alias("id"), picked.alias("picked"))
+    per = df.groupBy(batch).agg(
+        F.array_sort(F.collect_list(F.when(F.col("label") == 0, item))).alias("reals"),
+        F.array_sort(F.collect_list(F.when(F.col("label") == 1, item))).alias("fakes"),
+    ).withColumn("chosen", F.filter("fakes", lambda s: s["picked"]))
+    n_real, n_fake, n_chosen = (F.size(c) for c in ("reals", "fakes", "chosen"))
+
+    # Largest remainder over the three pairings; without reals two of them are off.
+    live = [F.when(n_real > 0, w).otherwise(0.0) for w in weights[:2]] + [F.lit(weights[2])]
     total = live[0] + live[1] + live[2]
-    raw = [F.col("_n_chosen") * w / total for w in live]
-    whole_parts = [F.floor(x) for x in raw]
+    raw = [n_chosen * w / total for w in live]
     frac = [x - F.floor(x) for x in raw]
-    left = F.col("_n_chosen") - (whole_parts[0] + whole_parts[1] + whole_parts[2])
-
-    def beats(i: int, j: int) -> Column:
-        ahead = (frac[i] > frac[j]) if i > j else (frac[i] >= frac[j])
-        return ahead.cast("int")
-
-    quota = []
-    for i in range(3):
-        behind = F.lit(2) - sum((beats(i, j) for j in range(3) if j != i), F.lit(0))
-        quota.append(whole_parts[i] + F.when(behind < left, 1).otherwise(0))
-    n_ror = F.least(F.col("_n_real"), F.bround(F.col("_n_chosen") * ror_ratio).cast("long"))
-    combo = (
-        F.when((F.col("_chosen") == 1) & (F.col("_place") <= quota[0]), "fake_on_real")
-        .when((F.col("_chosen") == 1) & (F.col("_place") <= quota[0] + quota[1]), "real_on_fake")
-        .when(F.col("_chosen") == 1, "fake_on_fake")
-        .when((F.col("label") == 0) & (F.col("_rank") <= n_ror) & (F.col("_n_real") > 1), "real_on_real")
-    )
-    plan = base.withColumn("combo", combo).where(F.col("combo").isNotNull())
-    partner_class = F.when(F.col("combo").isin("fake_on_real", "real_on_fake", "real_on_real"), 0).otherwise(1)
-    pool = F.when(partner_class == 0, F.col("_n_real")).otherwise(F.col("_n_fake"))
-    pu = uniform(f"{seed}.partner", F.col(key))
-    # real_on_real never pairs a row with itself: draw among the others and step over it.
-    self_free = F.floor(pu * (pool - 1)) + 1
-    slot = F.when(F.col("combo") == "real_on_real",
-                  self_free + F.when(self_free >= F.col("_rank"), 1).otherwise(0)).otherwise(F.floor(pu * pool) + 1)
-    planned = plan.select(
-        F.col(batch).alias("batch"), F.col(key).alias("id"), "label", "combo",
-        partner_class.alias("_pc"), slot.cast("long").alias("_slot"),
-        (F.floor(uniform(f"{seed}.overlays", F.col(key)) * float(max_overlays)) + 1).alias("overlays"))
-    partners = base.select(F.col(batch).alias("batch"), F.col("label").alias("_pc"),
-                           F.col("_rank").cast("long").alias("_slot"), F.col(key).alias("partner"))
-    return planned.join(partners, ["batch", "_pc", "_slot"]).select(
-        "batch", "id", "label", "combo", "partner", "overlays")
+    left = n_chosen - sum((F.floor(x) for x in raw), F.lit(0))
+
+    def quota(i: int) -> Column:
+        ahead = [(frac[j] > frac[i]) if j > i else (frac[j] >= frac[i]) for j in range(3) if j != i]
+        place = sum((a.cast("int") for a in ahead), F.lit(0))
+        return (F.floor(raw[i]) + F.when(place < left, 1).otherwise(0)).cast("int")
+
+    per = per.select(
+        F.col(batch).alias("batch"), "reals", "fakes", "chosen", quota(0).alias("q1"), quota(1).alias("q2"),
+        F.when(n_real > 1, F.least(n_real, F.bround(n_chosen * ror_ratio).cast("int"))).otherwise(0).alias("ror"))
+
+    def plan_row(s: Column, label: int, combo: Column, partner: Column) -> Column:
+        overlays = F.floor(uniform(f"{seed}.overlays", s["id"]) * float(max_overlays)) + 1
+        return F.struct(s["id"].alias("id"), F.lit(label).alias("label"), combo.alias("combo"),
+                        partner["id"].alias("partner"), overlays.alias("overlays"))
+
+    def drawn(pool: Column, s: Column, size: Column) -> Column:
+        return F.floor(uniform(f"{seed}.partner", s["id"]) * size).cast("int")
+
+    def fake_row(s: Column, i: Column) -> Column:
+        combo = (F.when(i < F.col("q1"), "fake_on_real").when(i < F.col("q1") + F.col("q2"), "real_on_fake")
+                 .otherwise("fake_on_fake"))
+        pool = F.when(combo == "fake_on_fake", F.col("fakes")).otherwise(F.col("reals"))
+        return plan_row(s, 1, combo, F.get(pool, drawn(pool, s, F.size(pool))))
+
+    def real_row(s: Column, i: Column) -> Column:
+        # A row never pairs with itself: draw among the others and step over it.
+        slot = drawn(F.col("reals"), s, F.size("reals") - 1)
+        return plan_row(s, 0, F.lit("real_on_real"), F.get("reals", slot + (slot >= i).cast("int")))
+
+    rows = F.concat(F.transform("chosen", fake_row), F.transform(F.slice("reals", 1, F.col("ror")), real_row))
+    return per.select("batch", F.inline(rows))
 
 
 def overlay_draws(plan: DataFrame, seed: str) -> DataFrame:
@@ -240,3 +234,27 @@ def overlay_draws(plan: DataFrame, seed: str) -> DataFrame:
     later = F.when(F.col("combo") == "real_on_real", 0).otherwise(
         (uniform(f"{seed}.later", F.col("id"), F.col("overlay")) < 0.5).cast("int"))
     return rows.withColumn("top_class", F.when(F.col("overlay") == 1, first).otherwise(later))
+
+
+def overlay_table_function(seed: str):
+    """The same rows as ``overlay_draws`` as a Python table function.
+
+    For SQL users who call it with LATERAL; the generator form is faster.
+    """
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="overlay int, top_class int")
+    class Overlays:
+        def eval(self, id: int, combo: str, overlays: int):
+            import hashlib
+
+            for i in range(1, int(overlays) + 1):
+                if i == 1:
+                    yield i, int(combo in ("fake_on_real", "fake_on_fake"))
+                elif combo == "real_on_real":
+                    yield i, 0
+                else:
+                    digest = hashlib.md5(f"{seed}.later|{id}|{i}".encode()).hexdigest()
+                    yield i, int(int(digest[:8], 16) / 4294967296.0 < 0.5)
+
+    return Overlays

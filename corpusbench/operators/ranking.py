@@ -14,9 +14,15 @@ from pyspark.sql import functions as F
 
 from corpusbench.functions.rng import uniform
 
+BUCKETS_CONF = "corpusbench.rank.buckets"
 BUCKETS = 1024
 
 
+def bucket_count(df: DataFrame) -> int:
+    """Buckets per group for seeded orders; raise the setting with the largest group."""
+    return int(df.sparkSession.conf.get(BUCKETS_CONF, str(BUCKETS)))
+
+
 def grouped_row_number(df: DataFrame, by: list[str], order: list, bucket: Column,
                        out: str = "rn", first: int | str | None = None) -> DataFrame:
     """Exact 1-based row number per group.
@@ -62,8 +68,9 @@ def grouped_sum_before(df: DataFrame, by: list[str], order: list, bucket: Column
 
 
 def seeded_row_number(df: DataFrame, by: list[str], seed: str, key: str, out: str = "rn",
-                      first: int | str | None = None, buckets: int = BUCKETS) -> DataFrame:
+                      first: int | str | None = None) -> DataFrame:
     """Row number per group in a seeded random order; ties break by ``key``."""
+    buckets = bucket_count(df)
     drawn = df.withColumn("_u", uniform(seed, F.col(key)))
     bucket = F.floor(F.col("_u") * buckets).cast("int")
     return grouped_row_number(drawn, by, ["_u", key], bucket, out, first).drop("_u")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusbench.functions.literals import array_literal, map_literal
+
 # The reported sweep names and their display families, in order.
 ALL_CONDITIONS = [
     "clean", "jpeg90", "jpeg70", "jpeg50", "jpeg30", "blur0.5", "blur1.0", "blur2.0",
@@ -28,15 +30,12 @@ def with_conditions(df: DataFrame, conditions: list[str], out: str = "condition"
     A generator over a literal list keeps the plan a map: no join, no
     shuffle, and the factor is the length of the list.
     """
-    return df.withColumn(out, F.explode(F.array(*[F.lit(c) for c in conditions])))
+    return df.withColumn(out, F.explode(array_literal(conditions)))
 
 
 def lookup(key: Column, mapping: dict[str, str], default: Column) -> Column:
     """Small fixed mapping as a literal map, with a fallback."""
-    items: list[Column] = []
-    for k, v in mapping.items():
-        items += [F.lit(k), F.lit(v)]
-    return F.coalesce(F.try_element_at(F.create_map(*items), key), default)
+    return F.coalesce(F.try_element_at(map_literal(mapping), key), default)
 
 
 def family_of(key: Column) -> Column:
@@ -45,7 +44,7 @@ def family_of(key: Column) -> Column:
 
 def family_rank(family: Column) -> Column:
     names = list(FAMILIES)
-    pos = F.array_position(F.array(*[F.lit(n) for n in names]), family)
+    pos = F.array_position(array_literal(names), family)
     return F.when(pos == 0, F.lit(len(names) + 1)).otherwise(pos).cast("int")
 
 

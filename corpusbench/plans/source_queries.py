@@ -43,7 +43,7 @@ def row_count(spark, sf):
     root = scratch(spark, "counted")
     line = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_quantity")
     line.write.parquet(f"{root}/good")
-    fx.table(spark, sf, "region").select("r_name").coalesce(1).write.text(f"{root}/broken")
+    fx.table(spark, sf, "region").select("r_name").write.text(f"{root}/broken")
     return S.row_count(spark, [f"{root}/good", f"{root}/broken"], line.schema)
 
 

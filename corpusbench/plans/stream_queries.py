@@ -56,18 +56,19 @@ def resume_progress(spark, sf):
     select model, shard, pos from (select *, row_number() over (partition by model order by shard, pos) as rn from shards where label = 'fake')
     where rn <= 40""", "shards"))
 def stream_model_caps(spark, sf):
-    """Per-model counters carried from trigger to trigger; equals the batch cap.
+    """Per-model counters carried over three arrivals of shards; equals the batch cap.
 
-    Files arrive in shard order, one per trigger.
+    Each arrival is a run of its own on the same checkpoint, as after a
+    restart: counts and finished files carry over.
     """
     src = fx.shards(spark, sf).where("label = 'fake'").select(
         F.col("model").alias("key"), "shard", "pos", F.lit("").alias("row"))
-    path = scratch(spark, "capped")
-    # One write per range keeps the arrival order of the shard files.
+    path, out, state = (scratch(spark, n) for n in ("arriving", "capped", "capped-checkpoint"))
     edges = [0, 30, 60, 2**62]
     for lo, hi in zip(edges, edges[1:]):
-        src.where((F.col("shard") >= lo) & (F.col("shard") < hi)).coalesce(1).write.mode("append").parquet(path)
-    out = T.run_to_files(T.capped_by_key(T.shard_stream(spark, path, src.schema), 40), "caps")
+        src.where((F.col("shard") >= lo) & (F.col("shard") < hi)).write.mode("append").parquet(path)
+        stream = T.shard_stream(spark, path, src.schema, per_trigger=None)
+        T.run_to_files(T.capped_by_key(stream, 40), "caps", checkpoint=state, out=out)
     return spark.read.schema(T.CAP_FIELDS).parquet(out).select(F.col("key").alias("model"), "shard", "pos")
 
 
@@ -98,24 +99,28 @@ def stream_running_metrics(spark, sf):
     select step, n, macro_accuracy, auroc, max(auroc) over (order by step) as best_metric,
            (select m2.step from m m2 where m2.step <= m.step order by m2.auroc desc, m2.step limit 1) as best_step from m""", "feed"))
 def periodic_eval(spark, sf):
-    """Evaluate every micro-batch, keep the history, mark the best step."""
+    """Evaluate what has arrived, step by step, and mark the best step.
+
+    Each micro-batch appends its score histogram, keyed by batch id so that a
+    replay replaces its own part. Histograms of a step add up however its
+    rows were spread over files and batches.
+    """
     src = fx.feed(spark, sf).select("event_id", "prob", "label")
     quarter = F.floor(F.col("event_id") / src.agg(F.floor(F.count("*") / 4).alias("q")).scalar()).cast("int")
-    path, history = scratch(spark, "eval"), scratch(spark, "history")
     tagged = src.withColumn("step", quarter)
-    tagged.repartition(4, "step").write.parquet(path)
+    path, history = staged(spark, tagged, "eval", 8, "event_id"), scratch(spark, "history")
 
     def evaluate(batch, batch_id):
-        # Keyed by batch id, so a replayed batch replaces its own result.
-        M.metrics(batch, ["step"]).write.mode("overwrite").parquet(f"{history}/batch={batch_id:06d}")
+        M.score_histogram(batch, ["step"]).write.mode("overwrite").parquet(f"{history}/part={batch_id:06d}")
 
-    T.run_batches(T.shard_stream(spark, path, tagged.schema), evaluate, "eval")
-    done = M.rounded(spark.read.option("recursiveFileLookup", True).parquet(history)).select("step", "n", "macro_accuracy", "auroc")
+    T.run_batches(T.shard_stream(spark, path, tagged.schema, per_trigger=3), evaluate, "eval")
+    parts = spark.read.option("recursiveFileLookup", True).parquet(history)
+    done = M.rounded(M.metrics_from_histogram(parts, ["step"])).select("step", "n", "macro_accuracy", "auroc")
     best = S.best_step(done.select("step", "auroc"), "step", "auroc").drop("auroc")
     return done.join(best, "step")
 
 
-@query("stream_first_seen_dedup", "select user_id, count(*) - count(*) + 1 as rows from events group by user_id")
+@query("stream_first_seen_dedup", "select distinct user_id, 1::bigint as rows from events")
 def stream_first_seen_dedup(spark, sf):
     src = fx.table(spark, sf, "events").select("event_id", "user_id")
     path = staged(spark, src, "dedup", 4, "event_id")

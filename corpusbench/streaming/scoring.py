@@ -16,10 +16,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from corpusbench.session import scratch
 
 
-def shard_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> DataFrame:
-    """New parquet shards below ``path``, a few files per trigger."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
-            .option("recursiveFileLookup", True).parquet(path))
+def shard_stream(spark: SparkSession, path: str, schema, per_trigger: int | None = 1) -> DataFrame:
+    """New parquet shards below ``path``, a few files per trigger (all of them with None)."""
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", True)
+    if per_trigger:
+        reader = reader.option("maxFilesPerTrigger", per_trigger)
+    return reader.parquet(path)
 
 
 def run_to_files(stream: DataFrame, name: str, checkpoint: str | None = None, out: str | None = None) -> str:
@@ -60,15 +62,23 @@ def running_counts(stream: DataFrame, seq: str, every: int, threshold: float = 0
 CAP_FIELDS = "key string, shard long, pos string, row string"
 
 
-def capped_by_key(stream: DataFrame, cap: int, slots: int = 1) -> DataFrame:
+def capped_by_key(stream: DataFrame, cap: int) -> DataFrame:
     """First ``cap`` rows per key over the whole stream, by a carried count.
 
     ``stream`` has ``key, shard, pos, row``. Only a count is kept per key.
-    Rows of one trigger are taken in (shard, pos) order; at most the rows
-    still wanted are held while a trigger is read, so a key that fills a
-    third of the stream needs memory for ``cap`` rows, not for its rows.
+    Rows of one trigger are taken in (shard, pos) order. Every task first
+    keeps its own ``cap`` earliest rows per key, so a key that fills a third
+    of the stream sends ``cap`` rows per task to its state, not its rows.
     """
 
+    def earliest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: pd.DataFrame | None = None
+        for pdf in batches:
+            both = pdf if best is None else pd.concat([best, pdf])
+            best = both.sort_values(["shard", "pos"], kind="stable").groupby("key", sort=False).head(cap)
+        if best is not None:
+            yield best
+
     def take(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         used = state.get[0] if state.exists else 0
         room = cap - used
@@ -81,7 +91,7 @@ def capped_by_key(stream: DataFrame, cap: int, slots: int = 1) -> DataFrame:
             state.update((used + len(best),))
             yield best[["key", "shard", "pos", "row"]]
 
-    return stream.groupBy("key").applyInPandasWithState(
+    return stream.select("key", "shard", "pos", "row").mapInPandas(earliest, CAP_FIELDS).groupBy("key").applyInPandasWithState(
         take, outputStructType=CAP_FIELDS, stateStructType="used long", outputMode="append",
         timeoutConf=GroupStateTimeout.NoTimeout)
 
