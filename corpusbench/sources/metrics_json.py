@@ -36,27 +36,24 @@ def scan(spark: SparkSession, root: str, limit: int = 30, only_summary: bool = F
 
     ``NaN`` is accepted; broken files and files above 20 MB are skipped.
     """
-    schema = T.StructType(BODY.fields + [T.StructField("_corrupt", T.StringType())])
-    raw = (spark.read.schema(schema).option("multiLine", True).option("allowNonNumericNumbers", True)
-           .option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).json(root))
     path = F.col("_metadata.file_path")
     summary = F.endswith(path, F.lit("/summary.json"))
-    rows = raw.select(
-        path.alias("file"), F.col("_metadata.file_modification_time").alias("modified"),
-        F.col("_metadata.file_size").alias("bytes"), F.struct(*[f.name for f in BODY.fields]).alias("body"), "_corrupt",
-    ).where(summary if only_summary else ~summary).where(
-        F.col("_corrupt").isNull() & (F.col("bytes") <= MAX_BYTES))
-    return rows.drop("_corrupt", "bytes").dropDuplicates(["file"]).orderBy(F.desc("modified"), "file").limit(limit)
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).where(
+        F.col("_metadata.file_size") <= MAX_BYTES).where(summary if only_summary else ~summary)
+    rows = parse(raw.select(
+        path.alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("json")))
+    return rows.drop("json").dropDuplicates(["file"]).orderBy(F.desc("modified"), "file").limit(limit)
 
 
 def parse(df: DataFrame, text: str = "json") -> DataFrame:
-    """Bodies from a JSON string column; ``NaN`` literals are accepted.
+    """Bodies from a JSON string column; ``NaN`` is accepted, broken texts are dropped.
 
     The generator keeps later filters above the parse, so every text is
     parsed once however many fields are read.
     """
-    body = F.from_json(text, BODY, {"allowNonNumericNumbers": "true"})
-    return df.select("*", F.explode(F.array(body)).alias("body")).where("body is not null")
+    schema = T.StructType(BODY.fields + [T.StructField("_broken", T.StringType())])
+    body = F.from_json(text, schema, {"allowNonNumericNumbers": "true", "columnNameOfCorruptRecord": "_broken"})
+    return df.select("*", F.explode(F.array(body)).alias("body")).where("body is not null and body._broken is null")
 
 
 def base_name(path: Column) -> Column:
