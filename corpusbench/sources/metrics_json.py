@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusbench.functions.labels import finite
 
 COUNTS = ["n", "n_fake", "n_real"]
 RATES = ["accuracy", "macro_accuracy", "precision", "recall", "f1", "fpr", "fnr", "auroc", "mAP"]
@@ -38,7 +37,7 @@ def scan(spark: SparkSession, root: str, limit: int = 30, only_summary: bool = F
     """
     path = F.col("_metadata.file_path")
     summary = F.endswith(path, F.lit("/summary.json"))
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).where(
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True).where(
         F.col("_metadata.file_size") <= MAX_BYTES).where(summary if only_summary else ~summary)
     rows = parse(raw.select(
         path.alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("json")))
@@ -75,33 +74,33 @@ def display_generator(name: Column) -> Column:
     return F.when(name.rlike("(?i)^[0-9a-f]{20,}$"), HASH_NAME).otherwise(name)
 
 
+def _finite(expr: str, name: str) -> str:
+    return f"if(isnan({expr}) or abs({expr}) = double('infinity'), null, {expr}) as {name}"
+
+
 def normalize(df: DataFrame) -> DataFrame:
     """One evaluation record per body that has any metric content."""
-    b = F.col("body")
-    has_body = b["macro_accuracy"].isNotNull() | b["n"].isNotNull() | b["error_analysis"].isNotNull()
-    for t in TABLES[:3]:
-        has_body = has_body | b[t].isNotNull()
-    root = F.struct(*[b[f.name].alias(f.name) for f in METRIC.fields])
-    base = F.coalesce(F.try_element_at(b["perturbation_sweep"], F.lit("clean")), root)
-    kept = df.where(has_body).withColumn("_m", base)
-    errors = F.transform(b["error_analysis"], lambda e: F.struct(
+    content = ["macro_accuracy", "n", "error_analysis", *TABLES[:3]]
+    kept = df.where(" or ".join(f"body.{c} is not null" for c in content))
+    root = ", ".join(f"'{f.name}', body.{f.name}" for f in METRIC.fields)
+    base = F.expr(f"coalesce(try_element_at(body.perturbation_sweep, 'clean'), named_struct({root}))")
+    errors = F.transform("body.error_analysis", lambda e: F.struct(
         F.when(e["kind"] == "fp", "fp").otherwise("fn").alias("kind"), F.coalesce(e["rank"], F.lit(0)).alias("rank"),
         F.coalesce(e["prob_ai"], F.lit(0.0)).alias("prob_ai"), (e["label"] == 1).cast("int").alias("label"),
         display_generator(e["generator"]).alias("generator")))
-    return kept.select(
-        suite_name(b, F.col("file")).alias("name"), "file", b["checkpoint"].alias("checkpoint"), b["step"].alias("step"),
-        F.coalesce(b["perturbation"], F.lit("clean")).alias("perturbation"),
-        *[F.col("_m")[c].alias(c) for c in COUNTS], *[finite(F.col("_m")[c]).alias(c) for c in RATES],
-        *[finite(b[c]).alias(c) for c in ("robust_auroc", "robust_mAP")], b["robust_n"].alias("robust_n"),
-        *[b[t].alias(t) for t in TABLES],
-        F.when(F.size(errors) > 0, errors).alias("errors"))
+    named = kept.select(suite_name(F.col("body"), F.col("file")).alias("name"), "file", "body", base.alias("m"),
+                        F.when(F.size(errors) > 0, errors).alias("errors"))
+    return named.selectExpr(
+        "name", "file", "body.checkpoint", "body.step", "coalesce(body.perturbation, 'clean') as perturbation",
+        *[f"m.{c}" for c in COUNTS], *[_finite(f"m.{c}", c) for c in RATES],
+        *[_finite(f"body.{c}", c) for c in ("robust_auroc", "robust_mAP")], "body.robust_n",
+        *[f"body.{t}" for t in TABLES], "errors")
 
 
 def breakdown(records: DataFrame) -> DataFrame:
-    """The nested tables of evaluation records as long rows."""
-    out = None
-    for t in TABLES:
-        part = records.select("name", F.lit(t).alias("table"), F.explode(t).alias("key", "m")).select(
-            "name", "table", "key", *[F.col("m")[c].alias(c) for c in COUNTS], *[finite(F.col("m")[c]).alias(c) for c in RATES])
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The nested tables of evaluation records as long rows, in one pass."""
+    entries = ", ".join(
+        f"transform(coalesce(map_entries({t}), array()), e -> named_struct('table', '{t}', 'key', e.key, 'm', e.value))"
+        for t in TABLES)
+    return records.selectExpr("name", f"inline(concat({entries}))").selectExpr(
+        "name", "`table`", "key", *[f"m.{c}" for c in COUNTS], *[_finite(f"m.{c}", c) for c in RATES])
