@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusbench.session import materialize
+
 METRICS = ["n", "n_fake", "n_real", "accuracy", "macro_accuracy", "precision", "recall",
            "f1", "fpr", "fnr", "auroc", "ap"]
 
@@ -154,19 +156,18 @@ def pooled_generator_metrics(df: DataFrame, by: list[str], generator: str = "gen
                              threshold: float = 0.5) -> DataFrame:
     """Every generator's fakes against the same pooled reals, per ``by``.
 
-    The pooled reals enter as one histogram per ``by`` (score -> count). The
-    curve of a generator needs the reals below each of its own scores, so
-    fakes are counted per (by, generator, score) and meet the cumulated reals
-    on (by, score) in a union, never pairwise.
+    Rows are read once, into counts per (by, generator, score), which are
+    written to the shared folder because three steps need them. Reals are
+    pooled and cumulated over the scores of a ``by``; each generator's
+    scores then meet them on (by, score), never row against row.
     """
-    fakes = df.where(F.col("label") == 1).groupBy(*by, generator, F.col("prob").alias("score")).agg(
-        F.count("*").alias("pos"))
-    # Grid of distinct scores per `by` with the reals strictly below and at each score.
-    grid = df.groupBy(*by, F.col("prob").alias("score")).agg(
-        F.count_if(F.col("label") == 0).alias("neg"))
+    hist = materialize(df.groupBy(*by, generator, F.col("prob").alias("score")).agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")), "pooled")
+    fakes = hist.where(F.col("pos") > 0).select(*by, generator, "score", "pos")
+    grid = hist.groupBy(*by, "score").agg(F.sum("neg").alias("neg"))
     w = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     grid = grid.select(*by, "score", "neg", F.sum("neg").over(w).alias("upto"))
-    reals = df.where(F.col("label") == 0).groupBy(*by).agg(F.count("*").alias("n_real"))
+    reals = hist.groupBy(*by).agg(F.sum("neg").alias("n_real"))
     joined = fakes.join(grid, [*by, "score"])
     per = joined.groupBy(*by, generator).agg(
         F.sum("pos").alias("n"),

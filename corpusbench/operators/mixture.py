@@ -63,6 +63,14 @@ def weighted_pick(draws: DataFrame, steps: DataFrame, u: Column, by: str = "labe
         out, pick_interval(F.col("steps"), F.col("_u"))).drop("steps", "_u")
 
 
+def weighted_source(draws: DataFrame, shares: DataFrame, u: Column, weight: str = "share",
+                    out: str = "source") -> DataFrame:
+    """Source by its overall weight; the one row of intervals is a scalar subquery."""
+    one = intervals(shares.select("source", "k", weight).distinct().withColumn("_all", F.lit(1)), "_all", weight)
+    return draws.withColumn("_steps", one.select("steps").scalar()).withColumn(
+        out, pick_interval(F.col("_steps"), u)).drop("_steps")
+
+
 def mixture_draw(draws: DataFrame, pool: DataFrame, shares: DataFrame, seed: str, block: int = 65536) -> DataFrame:
     """Class by fair coin, source by weight in the class, then the source's next item.
 

@@ -85,20 +85,22 @@ def fit_linear_probe(train: DataFrame, features: str, label: str, weight: str |
     from pyspark.ml.feature import StandardScaler
     from pyspark.ml.functions import array_to_vector
 
-    cols = [array_to_vector(F.col(features)).alias("raw"), F.col(label).cast("double").alias("y")]
+    cols = [array_to_vector(F.col(features)).alias("_raw"), F.col(label).cast("double").alias("_y")]
     if weight:
-        cols.append(F.col(weight).cast("double").alias("wt"))
-    lr = LogisticRegression(featuresCol="x", labelCol="y", maxIter=max_iter, regParam=reg)
+        cols.append(F.col(weight).cast("double").alias("_weight"))
+    lr = LogisticRegression(
+        featuresCol="_scaled", labelCol="_y", predictionCol="_class", rawPredictionCol="_margin",
+        probabilityCol="_probability", maxIter=max_iter, regParam=reg)
     if weight:
-        lr = lr.setWeightCol("wt")
-    scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True)
+        lr = lr.setWeightCol("_weight")
+    scaler = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True)
     return Pipeline(stages=[scaler, lr]).fit(train.select(*cols))
 
 
 def apply_linear_probe(model, df: DataFrame, features: str, out: str = "prob", digits: int = 6) -> DataFrame:
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    scored = model.transform(df.withColumn("raw", array_to_vector(F.col(features))))
+    scored = model.transform(df.withColumn("_raw", array_to_vector(F.col(features))))
     return scored.withColumn(
-        out, F.round(F.get(vector_to_array("probability"), 1), digits)
-    ).drop("raw", "x", "rawPrediction", "probability", "prediction")
+        out, F.round(F.get(vector_to_array("_probability"), 1), digits)
+    ).drop("_raw", "_scaled", "_margin", "_probability", "_class")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusbench.functions.rng import choice, uniform
 from corpusbench.operators.probe import linear_score, mean_difference_weights
+from corpusbench.session import spread
 
 DISTORTION_VOCAB = [
     "jpeg", "lensblur", "brighten", "clahe", "colorsat", "impulsenoise", "isonoise", "shotnoise",
@@ -89,7 +90,7 @@ def line_key() -> Column:
 
 def scored_big(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = (F.col("l_returnflag") == "R").cast("int")
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         line_key().alias("id"),
         label.alias("label"),
         F.round(F.lit(0.35) * label + F.lit(0.65) * uniform("sb", line_key()), 2).alias("prob"),
@@ -102,7 +103,7 @@ def scored_big(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interleaved shards: ``(shard, pos)`` is the scan order."""
-    line = table(spark, sf_dir, "lineitem")
+    line = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
     return line.join(part, "l_partkey", "left").select(
         F.col("l_suppkey").alias("shard"),

@@ -11,7 +11,6 @@ from corpusbench.operators import sweep as S
 from corpusbench.plans import fixtures as fx
 from corpusbench.plans.fixtures import oracle, u
 from corpusbench.plans.registry import query
-from corpusbench.session import spread
 
 CONFUSION = ["n", "n_fake", "n_real", "accuracy", "macro_accuracy", "precision", "recall", "f1", "fpr", "fnr"]
 
@@ -186,7 +185,7 @@ STRENGTH = {c: round(0.02 * i, 2) for i, c in enumerate(S.ALL_CONDITIONS)}
 def sweep(spark, sf) -> DataFrame:
     """Scored lines under every reported condition; the fixture lowers scores by a seeded amount."""
     scored = fx.scored_big(spark, sf).select("id", "label", "generator", "prob")
-    df = S.with_conditions(spread(scored), S.ALL_CONDITIONS)
+    df = S.with_conditions(scored, S.ALL_CONDITIONS)
     strength = S.lookup(F.col("condition"), STRENGTH, F.lit(0.0))
     shift = strength * uniform("cond", F.col("condition"), F.col("id"))
     return df.withColumn("prob", F.round(F.greatest(F.lit(0.0), F.col("prob") - shift), 2))

@@ -76,9 +76,7 @@ def drop_dead_sources(spark, sf):
     select source, count(*) as draws from got group by source""", "source_specs"))
 def weighted_range_join(spark, sf):
     """Uniform draws to sources by cumulative weight, counted per source."""
-    shares = X.class_shares(specs(spark, sf)).select("source", "k", "share").distinct().withColumn("label", F.lit(0))
-    steps = X.intervals(shares, weight="share")
-    got = X.weighted_pick(draws(spark, sf).withColumn("label", F.lit(0)), steps, uniform("wr", F.col("draw")))
+    got = X.weighted_source(draws(spark, sf), X.class_shares(specs(spark, sf)), uniform("wr", F.col("draw")))
     return got.groupBy("source").agg(F.count("*").alias("draws"))
 
 

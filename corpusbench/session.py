@@ -63,11 +63,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition a file scan that has fewer splits than the session has cores.
 
-    For use before a step that multiplies rows. A scan of many splits, the
-    normal case on a cluster, is left as it is.
+    For use before steps that cost much more than the scan. A scan of many
+    splits, the normal case on a cluster, is left as it is. With ``keys``
+    rows go by hash, which needs no sort to be repeatable after a retry.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
