@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 
 from corpusbench.session import materialize
 
-METRICS = ["n", "n_fake", "n_real", "accuracy", "macro_accuracy", "precision", "recall",
-           "f1", "fpr", "fnr", "auroc", "ap"]
-
-
 def _names(cols: list[str]) -> str:
     return ", ".join(f"`{c}`" for c in cols)
 

@@ -115,9 +115,13 @@ def largest_remainder(df: DataFrame, by: list[str], weight: str, slots: str, ord
         (place <= left) & (F.sum("_raw").over(group) > 0), 1).otherwise(0)).cast("long")).drop("_raw", "_whole")
 
 
+def epoch_seed(seed: int, epoch: int, worker: int = 0, step: int = 0) -> int:
+    return seed + epoch + worker * 1009 + max(0, step)
+
+
 def epoch_shuffle(df: DataFrame, seed: int, epoch: int, key: str, worker: int = 0, step: int = 0) -> DataFrame:
-    """A new order per epoch, worker and resume step: a distributed sort by seeded draws."""
-    mixed = seed + epoch + worker * 1009 + max(0, step)  # one more per pass
+    """A new order per epoch (pass), worker and resume step: a distributed sort by seeded draws."""
+    mixed = epoch_seed(seed, epoch, worker, step)
     return df.withColumn("u", uniform(mixed, F.col(key))).orderBy("u", key)
 
 

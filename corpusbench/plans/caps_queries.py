@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusbench.functions.rng import uniform
 from corpusbench.operators import caps as K
 from corpusbench.operators import metrics as M
 from corpusbench.operators import mixture as X
@@ -12,8 +11,6 @@ from corpusbench.plans import fixtures as fx
 from corpusbench.plans.fixtures import oracle, u
 from corpusbench.plans.registry import query
 
-MODELS = 30
-
 
 def model_caps(spark, sf):
     """Caps per model, from the models seen in the shards; three models are not wanted."""
@@ -109,10 +106,6 @@ def cap_merge(spark, sf):
 # -------------------------------------------------------------- selections
 
 
-def _n(sf, spark, share):
-    return int(fx.table(spark, sf, "documents").count() * share)
-
-
 @query("stratified_round_robin", oracle(f"""
     select generator, id from (select generator, id, row_number() over (
         partition by generator order by {u('rr', 'id')}, id) as turn from samples)

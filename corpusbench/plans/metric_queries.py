@@ -222,15 +222,16 @@ def real_fpr_by_condition(spark, sf):
     return M.rounded(S.real_rates(sweep(spark, sf), ["condition"]))
 
 
-POOLED_SQL = """select {by}, generator, n, round(recall, 6) as recall, round(mean_p, 6) as mean_p, round(auroc, 6) as auroc from (
-    select {by}, generator, count(*) as n, avg((prob >= 0.5)::int) as recall, avg(prob) as mean_p,
+POOLED_RAW = """select {by}, generator, count(*) as n, avg((prob >= 0.5)::int) as recall, avg(prob) as mean_p,
            avg((below + 0.5::double * tied) / n_real) as auroc
     from (select {by}, generator, prob, label,
                  count(*) filter (where label = 0) over (partition by {by} order by prob)
                    - count(*) filter (where label = 0) over (partition by {by}, prob) as below,
                  count(*) filter (where label = 0) over (partition by {by}, prob) as tied,
                  count(*) filter (where label = 0) over (partition by {by}) as n_real
-          from {src}) where label = 1 group by {by}, generator)"""
+          from {src}) where label = 1 group by {by}, generator"""
+POOLED_SQL = f"""select {{by}}, generator, n, round(recall, 6) as recall, round(mean_p, 6) as mean_p, round(auroc, 6) as auroc
+    from ({POOLED_RAW})"""
 
 
 @query("generator_auroc", oracle(f"with {SWEEP_SQL} {POOLED_SQL.format(by='condition', src='sweep')}", "scored_big"))
@@ -243,24 +244,17 @@ def pooled_real_join(spark, sf):
     return M.rounded(M.pooled_generator_metrics(fx.scored(spark, sf), ["architecture"]))
 
 
-@query("difficulty_rank", oracle(f"""with {SWEEP_SQL}, per as ({POOLED_SQL.format(by='condition', src='sweep')})
-    select generator, n, round(recall_mean, 5) as recall_mean, recall_clean, recall_min, round(auroc_mean, 5) as auroc_mean,
-           row_number() over (order by round(recall_mean, 5), generator) as hardness
+@query("difficulty_rank", oracle(f"""with {SWEEP_SQL}, per as ({POOLED_RAW.format(by='condition', src='sweep')})
+    select generator, n, round(recall_mean, 6) as recall_mean, round(recall_clean, 6) as recall_clean,
+           round(recall_min, 6) as recall_min, round(auroc_mean, 6) as auroc_mean,
+           row_number() over (order by round(recall_mean, 6), generator) as hardness
     from (select generator, max(n) as n, avg(recall) as recall_mean,
                  max(recall) filter (where condition = 'clean') as recall_clean,
                  min(recall) as recall_min, avg(auroc) as auroc_mean from per group by generator)""", "scored_big"))
 def difficulty_rank(spark, sf):
     """Hardest generators first. The rank window sees one row per generator."""
-    per = M.rounded(M.pooled_generator_metrics(sweep(spark, sf), ["condition"]))
-    ranked = round_columns(M.difficulty_rank(per), ["recall_mean", "auroc_mean"], 5)
-    w = Window.orderBy("recall_mean", "generator")
-    return ranked.withColumn("hardness", F.row_number().over(w))
-
-
-def round_columns(df: DataFrame, cols: list[str], digits: int) -> DataFrame:
-    for c in cols:
-        df = df.withColumn(c, F.round(c, digits))
-    return df
+    ranked = M.rounded(M.difficulty_rank(M.pooled_generator_metrics(sweep(spark, sf), ["condition"])))
+    return ranked.withColumn("hardness", F.row_number().over(Window.orderBy("recall_mean", "generator")))
 
 
 @query("sweep_table", oracle(f"""with {SWEEP_SQL}, m as ({metrics_sql('sweep', 'condition', curves=False)}),

@@ -139,7 +139,7 @@ def largest_remainder(spark, sf):
 def epoch_shuffle(spark, sf):
     """Seed 40, epoch 3, worker 1: the place of every row in its seeded order."""
     df = fx.table(spark, sf, "events").select("event_id")
-    return seeded_row_number(df, [], str(40 + 3 + 1009), "event_id", out="place")
+    return seeded_row_number(df, [], str(X.epoch_seed(40, 3, worker=1)), "event_id", out="place")
 
 
 BATCH = 64

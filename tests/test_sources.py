@@ -77,3 +77,22 @@ def test_failed_row_does_not_fail_its_batch(spark):
     df = spark.createDataFrame([(1, 1.0), (2, -1.0), (3, 0.4)], "id int, x double").coalesce(1)
     got = {r.id: (r.pred, r.error) for r in batch_score(df, model, ["id"]).collect()}
     assert got == {1: (0.5, None), 2: (None, "ValueError: negative"), 3: (0.2, None)}
+
+
+def test_scratch_uses_the_named_folder(spark, tmp_path):
+    from corpusbench.session import materialize, shared_dir
+
+    spark.conf.set("spark.checkpoint.dir", f"file:{tmp_path}")
+    try:
+        assert shared_dir(spark) == f"file:{tmp_path}"
+        assert materialize(spark.range(5), "x").count() == 5 and len(list(tmp_path.glob("x-*"))) == 1
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+
+
+def test_first_seen_with_a_watermark(spark, tmp_path):
+    rows = spark.range(60).selectExpr("id % 7 as k", "timestamp_seconds(id) as ts")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = T.first_seen(T.shard_stream(spark, str(tmp_path / "in"), rows.schema, None), "k", ("ts", "1 hour"))
+    out = T.run_to_files(stream, "w", str(tmp_path / "cp"), str(tmp_path / "out"))
+    assert sorted(r.k for r in spark.read.schema(rows.schema).parquet(out).collect()) == list(range(7))
