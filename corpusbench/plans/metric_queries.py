@@ -198,11 +198,11 @@ SWEEP_SQL = f"""sweep as (
 
 
 @query("sweep_cross_join", oracle(f"""with {SWEEP_SQL}
-    select condition, generator, count(*) as n, round(avg(prob), 6) as mean_p from sweep group by all""",
+    select condition, generator, count(*) as n, round(sum(prob), 2) as prob_sum from sweep group by all""",
     "scored_big"))
 def sweep_cross_join(spark, sf):
-    return M.rounded(sweep(spark, sf).groupBy("condition", "generator").agg(
-        F.count("*").alias("n"), F.avg("prob").alias("mean_p")))
+    return sweep(spark, sf).groupBy("condition", "generator").agg(
+        F.count("*").alias("n"), F.round(F.sum("prob"), 2).alias("prob_sum"))
 
 
 @query("perturbation_sweep", oracle(f"""with {SWEEP_SQL}
