@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusbench.llm.chat import repair_conversations
 from corpusbench.llm.packing import pack_documents
 from corpusbench.llm.tokens import token_round_trip
+from corpusbench.llm.warc import page_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +43,27 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, length=4096)
+
+
+@query("op9_chat_repair")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+WARC_SQL = f"""
+with p as (select page_id, coalesce(html, '') as body, cast(cast(from_hex(sha1(coalesce(html, ''))) as bit) as varchar) as bits,
+                  max(page_id) over (partition by coalesce(html, '')) as latest from pages)
+select page_id, cast(strlen(body) as bigint) as payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('{BASE32}', 1
+         + 16 * cast(substr(bits, 5 * i + 1, 1) as int) + 8 * cast(substr(bits, 5 * i + 2, 1) as int) + 4 * cast(substr(bits, 5 * i + 3, 1) as int)
+         + 2 * cast(substr(bits, 5 * i + 4, 1) as int) + cast(substr(bits, 5 * i + 5, 1) as int), 1)), 'string_agg', '') as payload_digest,
+       case when page_id < latest then 'revisit' else 'response' end as record_type,
+       case when page_id < latest then latest end as refers_to
+from p
+"""
+
+
+@query("op10_warc", WARC_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_round_trip(spark, table(spark, sf_dir, "pages"))
