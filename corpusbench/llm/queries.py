@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusbench.llm.chat import repair_conversations
+from corpusbench.llm.language import fit_languages, predict_languages
 from corpusbench.llm.packing import pack_documents
 from corpusbench.llm.tokens import token_round_trip
+from corpusbench.llm.toxicity import fit_toxicity, score_toxicity
 from corpusbench.llm.warc import page_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,11 +42,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(spark, table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+@query("op5_language")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict_languages(docs, fit_languages(docs))
+
+
 @query("op6_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, length=4096)
 
 
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op9_chat_repair")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(table(spark, sf_dir, "conversations"))

@@ -241,7 +241,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """
     order = Window.orderBy(F.col("first_id").asc_nulls_first(), "path").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).select("path", "before")
-    spread = placed.repartition(F.col("path"))
+    spread = placed.repartition(max(1, manifest.count()), "path")  # a task per shard: a manifest row is small, its file is not
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(folder)

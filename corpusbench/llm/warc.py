@@ -290,7 +290,8 @@ def read_warc(files: DataFrame, folder: str) -> DataFrame:
 
         yield from batches(rows(), RECORDS, 1024)
 
-    return narrow(files, "path").repartition(F.col("path")).mapInArrow(read, RECORDS_DDL)
+    # a task per file: a row of the list is small, its file is not
+    return narrow(files, "path").repartition(max(1, files.count()), "path").mapInArrow(read, RECORDS_DDL)
 
 
 def page_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
