@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusbench.llm.chat import repair_conversations
+from corpusbench.llm.decontam import contaminated_pairs
 from corpusbench.llm.language import fit_languages, predict_languages
 from corpusbench.llm.packing import pack_documents
+from corpusbench.llm.quality import quality_rules
 from corpusbench.llm.tokens import token_round_trip
 from corpusbench.llm.toxicity import fit_toxicity, score_toxicity
 from corpusbench.llm.warc import page_round_trip
@@ -37,6 +39,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SPLIT = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+SHINGLES = """
+select distinct {id}, array_to_string(w[i : i + 4], ' ') as s
+from (select {id}, w, unnest(range(1, len(w) - 3)) as i from (select {id}, """ + SPLIT.format("lower(text)") + """ as w from {table}) where len(w) >= 5)
+"""
+LEAKS_SQL = f"""
+with d as ({SHINGLES.format(id="doc_id", table="documents")}), b as ({SHINGLES.format(id="item_id", table="benchmark")}),
+     n as (select item_id, count(*) as n_item from b group by item_id)
+select doc_id, item_id, count(*) as n_shared, n_item, count(*) / n_item as containment
+from d join b using (s) join n using (item_id) group by doc_id, item_id, n_item having 10 * count(*) >= 8 * n_item
+"""
+
+
+@query("op1_decontamination", LEAKS_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op4_token_planes")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(spark, table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
