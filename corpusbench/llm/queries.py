@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusbench.llm.chat import repair_conversations
 from corpusbench.llm.decontam import contaminated_pairs
+from corpusbench.llm.jaccard import near_copies
 from corpusbench.llm.language import fit_languages, predict_languages
 from corpusbench.llm.packing import pack_documents
 from corpusbench.llm.quality import quality_rules
@@ -78,6 +79,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, length=4096)
 
 
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+NEAR_SQL = f"""
+with recursive w as (select doc_id, {SPLIT.format(LOWER)} as w from documents where text is not null),
+     s as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0)),
+     n as (select doc_id, count(*) as n from s group by doc_id),
+     o as (select x.doc_id as a, y.doc_id as b, count(*) as o from s x join s y on x.s = y.s and x.doc_id <> y.doc_id group by all),
+     links as (select a, b from o join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * o >= 80 * (na.n + nb.n - o)),
+     reach(doc_id, other) as (select a, b from links union select r.doc_id, l.b from reach r join links l on l.a = r.other)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(min(r.other), d.doc_id)) as component_id
+from documents d left join n using (doc_id) left join reach r on r.doc_id = d.doc_id group by d.doc_id, n.n
+"""
+
+
+@query("op7_jaccard_join", NEAR_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
