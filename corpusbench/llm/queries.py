@@ -12,6 +12,7 @@ from corpusbench.llm.jaccard import near_copies
 from corpusbench.llm.language import fit_languages, predict_languages
 from corpusbench.llm.packing import pack_documents
 from corpusbench.llm.quality import quality_rules
+from corpusbench.llm.suffix import repeat_report
 from corpusbench.llm.tokens import token_round_trip
 from corpusbench.llm.toxicity import fit_toxicity, score_toxicity
 from corpusbench.llm.warc import page_round_trip
@@ -58,6 +59,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
 @query("op3_quality_rules")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
