@@ -67,13 +67,14 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFr
     """doc_id, text, toxic of about so many labelled documents per class, and the share taken of each class.
 
     Never rows held out. Ids are drawn by hash. A document with two labels counts as both.
+    The drawn ids, about 2 x per_class at every size of the input, are broadcast, so the texts stay where they are.
     """
     marks = narrow(labels, "doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = marks.groupBy("toxic").count().collect()  # one row per class
     share = {r["toxic"]: min(1.0, per_class / r["count"]) for r in sizes}
     draw = F.pmod(F.xxhash64(F.lit("toxicity sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     drawn = marks.where(draw < F.when(F.col("toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
-    return narrow(docs, "doc_id", "text").join(drawn, "doc_id").select("doc_id", "text", "toxic"), share
+    return narrow(docs, "doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic"), share
 
 
 def term_lists(sample: DataFrame) -> DataFrame:
