@@ -103,7 +103,7 @@ class Packer:
         stream = np.concatenate([ids[used:] for _, ids, used in self.docs])
         ends = np.cumsum([len(ids) - used for _, ids, used in self.docs])
         sentences = np.flatnonzero(self.enders[stream]) + 1
-        places, penalties = cut_places(self.size, ends, sentences)
+        places, penalties = cut_places(self.size, ends, sentences, max(1, min(RASTER, self.length // 4)))
         cuts = best_cuts(places, penalties, self.length)
         if last:
             if cuts[-1] < self.size:
