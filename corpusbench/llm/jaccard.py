@@ -8,14 +8,15 @@ Two documents link if 100 * overlap >= percent * union. The join is exact:
    These prefixes are sent, in packed blocks, to the bucket of their hash;
    equal sets are one class. Members with no other class of a fitting size in
    the same shingle go no further.
-2. A first round links each class to the smallest one it shares a shingle
-   with. This joins a large group of near copies through its hubs, without
-   all its pairs.
-3. Where classes of a shingle are still apart, they are cut into tiles by
-   size. In each pair of tiles of fitting sizes, bit counts of hashed bitmaps
-   bound the overlap from above: a bit that only A has stands for a shingle
-   that B lacks. Pairs within the bound are verified by exact intersection of
-   the sorted sets.
+2. The smallest class of a shingle is its hub. Two classes with a shared
+   shingle have a hub in common, so a hub and its classes are one group,
+   however many shingles they share. A first round links each class to its
+   hubs. This joins most of a large group of near copies without all its pairs.
+3. Where classes of a group are still apart, they are cut into tiles by size.
+   In each pair of tiles of fitting sizes, bit counts of hashed bitmaps bound
+   the overlap from above: a bit that only A has stands for a shingle that B
+   lacks. Pairs within the bound are verified by exact intersection of the
+   sorted sets, which are made for these classes only.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from corpusbench.session import materialize
 WORDS, PERCENT = 5, 80
 #: Documents in the sample for the order of shingles, in expectation, and in how many of them a common one is.
 SAMPLE, COMMON = 8_192, 8
-#: Classes in a tile, and rows of a shingle that one task takes at a time.
+#: Classes in a tile, and classes of a group that one task takes at a time.
 TILE, SLICE = 128, 4_096
 _U = np.uint64
 _BASE, _STEP, _MIX = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xD6E8FEB86659FD93)
@@ -110,8 +111,8 @@ def class_of(shingles: np.ndarray) -> tuple[int, bytes]:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """Bits of the hashes; the width is the power of two from four times the set's size on."""
-    width = max(64, 1 << (4 * len(shingles) - 1).bit_length())
+    """Bits of the hashes; the width is the power of two from twice the set's size on."""
+    width = max(64, 1 << (2 * len(shingles) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(shingles & _U(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -173,11 +174,15 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
 
 PACKED = "bucket int, kind int, blob binary"
-MEMBERS = pa.schema([("shingle", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary())])
+MEMBERS = pa.schema([("shingle", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("bits", pa.binary())])
+DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bits", pa.binary())])
 
 
 def prefixes_and_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """One table: per document its set's size and class (shingle null), and per prefix shingle the classes in it that may link."""
+    """One table: per document its set's size, digest and bitmap (shingle null), and per prefix shingle the classes in it that may link.
+
+    Of copies that are read together only the first has a bitmap.
+    """
     spark = docs.sparkSession
     n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     common = spark.sparkContext.broadcast(common_shingles(docs, words))
@@ -191,13 +196,14 @@ def prefixes_and_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 for doc_id, raw in zip(packed_ids(piece.column(0)).tolist(), binary_texts(piece.column(1)), strict=True):
                     s = shingle_set(raw, words)
                     c, digest = class_of(s)
-                    docs_at.append((doc_id, len(s), digest))
-                    if len(s) and digest not in seen and doc_id != NULL_ID:
+                    new = len(s) > 0 and digest not in seen and doc_id != NULL_ID
+                    docs_at.append((None if doc_id == NULL_ID else doc_id, len(s), digest, bitmap(s) if new else None))
+                    if new:
                         seen.add(digest)
                         keys.append(prefix(s, common.value, percent))
                         classes.append(c)
                         sizes.append(len(s))
-                rows = [(hash(docs_at[0]) % n_buckets, 0, np.array([(a, b, c) for a, b, c in docs_at], "<i8,<i8,V16").tobytes())] if docs_at else []
+                rows = [(int.from_bytes(docs_at[0][2][:4], "little") % n_buckets, 0, as_blob(docs_at))] if docs_at else []
                 if keys:
                     many = [len(x) for x in keys]
                     key = np.concatenate(keys)
@@ -216,8 +222,9 @@ def prefixes_and_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
         for part in parts:
             for bucket, kind, blob in zip(*[c.to_pylist() for c in part.columns], strict=True):
                 if kind == 0:
-                    rows = np.frombuffer(blob, "<i8,<i8,V16")
-                    yield member_rows(None, None, rows["f1"], rows["f0"], [x.tobytes() for x in rows["f2"]])
+                    rows = pa.ipc.open_stream(blob).read_next_batch()
+                    null = pa.nulls(rows.num_rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([null, null, rows["n"], rows["doc_id"], rows["digest"], rows["bits"]], schema=MEMBERS)
                     continue
                 if bucket != at and held:
                     yield meeting(held, percent)
@@ -228,15 +235,16 @@ def prefixes_and_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             yield meeting(held, percent)
 
     packed = docs.mapInArrow(send, PACKED).repartition(n_buckets // 4, "bucket").sortWithinPartitions("bucket")
-    return materialize(packed.mapInArrow(receive, "shingle long, class long, n long, doc_id long, digest binary"), "prefixes")
+    return materialize(packed.mapInArrow(receive, "shingle long, class long, n long, doc_id long, digest binary, bits binary"), "prefixes")
 
 
-def member_rows(shingle, cls, n, doc_id, digest) -> pa.RecordBatch:
-    size = len(n)
-    null = pa.nulls(size, pa.int64())
-    known = pa.array(doc_id, mask=doc_id == NULL_ID) if doc_id is not None else null
-    return pa.RecordBatch.from_arrays([pa.array(shingle) if shingle is not None else null, pa.array(cls) if cls is not None else null, pa.array(n).cast(pa.int64()),
-                                       known, pa.array(digest, pa.binary()) if digest is not None else pa.nulls(size, pa.binary())], schema=MEMBERS)
+def as_blob(rows: list[tuple]) -> bytes:
+    """Documents of one batch as an Arrow stream, which passes through the shuffle as it is."""
+    part = next(batches(rows, DOCUMENTS, 1 << 20))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, part.schema) as writer:
+        writer.write_batch(part)
+    return sink.getvalue().to_pybytes()
 
 
 def meeting(blobs: list[bytes], percent: int) -> pa.RecordBatch:
@@ -251,11 +259,14 @@ def meeting(blobs: list[bytes], percent: int) -> pa.RecordBatch:
     key, cls, n = key[fresh], cls[fresh], n[fresh].astype(np.int64)
     near = (key[1:] == key[:-1]) & (percent * n[1:] <= 100 * n[:-1])
     keep = np.concatenate((near, [False])) | np.concatenate(([False], near))
-    return member_rows(key[keep].view(np.int64), cls[keep], n[keep], None, None)
+    size = int(keep.sum())
+    columns = [pa.array(key[keep].view(np.int64)), pa.array(cls[keep]), pa.array(n[keep]), pa.nulls(size, pa.int64())]
+    return pa.RecordBatch.from_arrays([*columns, pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary())], schema=MEMBERS)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by bitmaps first and then by the sets."""
+def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose bit counts allow a link."""
+
     def bound(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             a, b, n_a, n_b, m_a, m_b = [c.to_pylist() for c in part.columns]
@@ -265,6 +276,28 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(bool(possible(folded([m_a[i]], width), np.array([n_a[i]]), folded([m_b[i]], width), np.array([n_b[i]]), percent)[0, 0]))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    side = lambda name: classes.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
+    whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    return whole.mapInArrow(bound, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the written pairs (a, b) that link, by the sorted sets of their classes.
+
+    The sets are made anew from the texts, for classes in a pair only. An id
+    with several texts may stand for several classes, and any of them may link.
+    """
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    wanted = materialize(wanted.join(classes.select("rep", "digest"), "rep").withColumnRenamed("rep", "doc_id"), "wanted-sets")
+
+    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = ((d, shingle_set(raw, words), e) for d, raw, e in zip(part.column(0).to_pylist(), binary_texts(part.column(1)), part.column(2).to_pylist(), strict=True))
+            yield from batches(((d, s.tobytes()) for d, s, e in found if class_of(s)[1] == e), pa.schema([("rep", pa.int64()), ("shingles", pa.binary())]), 512)
+
+    made = texts.join(wanted, "doc_id").select("doc_id", "text", "digest").mapInArrow(sets, "rep long, shingles binary")
+    made = materialize(made, "shingle-sets")
+
     def exact(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             keep = []
@@ -274,33 +307,31 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda name, *columns: sets.select(F.col("rep").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
-    small = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-    left = materialize(small.mapInArrow(bound, "a long, b long").distinct(), "bounded-pairs")
-    full = left.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b")
+    side = lambda name: made.select(F.col("rep").alias(name), F.col("shingles").alias(f"set_{name}"))
+    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
     return materialize(full.mapInArrow(exact, "a long, b long"), "links")
 
 
-def apart_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in different components that meet in a shingle and that size and bit counts allow.
+def apart_pairs(groups: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of a group (hub, rep) in different components that size and bit counts allow.
 
-    The members of a very common shingle are cut into slices, and a task gets
-    two slices; one slice where there are at most SLICE members.
+    A large group is cut into slices, and a task gets two slices of it, or
+    the one there is of at most SLICE classes.
     """
-    named = members.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    named = materialize(named, "labelled-members")
-    open_ = named.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-    open_ = materialize(open_.select("shingle", F.ceil(F.col("m") / SLICE).cast("int").alias("slices")), "open-shingles")
-    kept = named.join(open_, "shingle").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
+    named = groups.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = materialize(named.select("hub", "rep", "component"), "labelled-groups")
+    open_ = named.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    open_ = materialize(open_.select("hub", F.ceil(F.col("m") / SLICE).cast("int").alias("slices")), "open-groups")
+    kept = named.join(open_, "hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
     spread = kept.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    tiles = spread.select("shingle", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "component")
-    whole = tiles.join(sets.select("rep", "n", "bits"), "rep").select("shingle", "x", "y", "own", "rep", "component", "n", "bits")
+    tiles = spread.select("hub", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "component")
+    whole = tiles.join(classes.select("rep", "n", "bits"), "rep").select("hub", "x", "y", "own", "rep", "component", "n", "bits")
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tile(rows: list[tuple]) -> Iterator[tuple[int, int]]:
             x, y = rows[0][1:3]
-            own, ids, groups, sizes = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
-            return tile_pairs(ids, sizes, [r[7] for r in rows], groups, percent, own == x, own == y)
+            own, ids, components, sizes = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
+            return tile_pairs(ids, sizes, [r[7] for r in rows], components, percent, own == x, own == y)
 
         def rows() -> Iterator[tuple[int, int]]:
             at, held = None, []
@@ -316,8 +347,8 @@ def apart_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, percent:
 
         yield from batches(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    dealt = whole.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y")
-    return materialize(dealt.mapInArrow(compare, "a long, b long").distinct(), "apart-pairs")
+    dealt = whole.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -331,27 +362,22 @@ def near_copies(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT)
     """
     texts = narrow(docs, "doc_id", "text")
     table = prefixes_and_sets(texts, words, percent)
-    documents = table.where("shingle is null").select("doc_id", "n", "digest")
-    classes = documents.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    documents = table.where("shingle is null").select("doc_id", "n", "digest", "bits")
+    classes = documents.where("doc_id is not null and n > 0").groupBy("digest").agg(
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("bits").alias("bits"))
     classes = materialize(classes, "classes")
     by_number = classes.select(class_number("digest").alias("class"), "rep")
-    members = materialize(table.where("shingle is not null").select("shingle", "class").join(by_number, "class").select("shingle", "rep"), "members")
-    candidates = materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
-
-    def fingerprints(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("shingles", pa.binary()), ("digest", pa.binary())])
-        for part in parts:
-            found = ((d, shingle_set(raw, words)) for d, raw in zip(part.column(0).to_pylist(), binary_texts(part.column(1)), strict=True))
-            yield from batches(((d, len(s), bitmap(s), s.tobytes(), class_of(s)[1]) for d, s in found), schema, 512)
-
-    sets = texts.join(candidates, "doc_id", "left_semi").mapInArrow(fingerprints, "rep long, n long, bits binary, shingles binary, digest binary")
-    # an id with several texts may stand for several classes, and then has as many rows here
-    sets = materialize(sets.join(classes.select("rep", "digest"), ["rep", "digest"], "left_semi"), "candidate-sets")
-    hubs = members.groupBy("shingle").agg(F.min("rep").alias("a"))
-    spokes = members.join(materialize(hubs, "hubs"), "shingle").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    first = verified(spokes, sets, percent)
+    members = materialize(table.where("shingle is not null").select("shingle", "class", "n").join(by_number, "class").select("shingle", "rep", "n"), "members")
+    hubs = materialize(members.groupBy("shingle").agg(F.min(F.struct("rep", "n")).alias("hub")), "hubs")
+    met = members.join(hubs, "shingle").select(F.col("hub.rep").alias("hub"), F.col("hub.n").alias("n_hub"), "rep", "n")
+    groups = materialize(met.distinct(), "groups")
+    fits = (F.col("hub") != F.col("rep")) & (percent * F.greatest("n", "n_hub") <= 100 * F.least("n", "n_hub"))
+    spokes = groups.where(fits).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    tried = materialize(bounded(spokes, classes, percent), "hub-pairs")
+    first = verified(tried, texts, classes, words, percent)
     labels = connected_components(first)
-    second = verified(apart_pairs(members, sets, labels, percent).join(spokes, ["a", "b"], "left_anti"), sets, percent)
+    apart = materialize(apart_pairs(groups, classes, labels, percent).join(tried, ["a", "b"], "left_anti"), "apart-pairs")
+    second = verified(apart, texts, classes, words, percent)
     components = connected_components(first.union(second)).withColumnRenamed("v", "rep")
     named = materialize(classes.join(components, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "components")
     joined = documents.join(named, "digest", "left")
