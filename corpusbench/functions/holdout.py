@@ -50,9 +50,11 @@ def violations(df: DataFrame, by: str, *parts: Column) -> DataFrame:
 
 
 def assert_no_held_out(df: DataFrame, by: str, *parts: Column) -> DataFrame:
-    """Return ``df``, or raise naming up to 20 offending groups."""
-    found = violations(df, by, *parts).orderBy(by).limit(20).collect()
+    """Return ``df``, or raise with the number of offending groups and rows, naming the first 20."""
+    bad = violations(df, by, *parts)
+    found = bad.orderBy(by).limit(20).collect()
     if found:
-        raise ValueError("held-out data in the training corpus: " + ", ".join(
+        total = bad.agg(F.count("*").alias("groups"), F.sum("rows").alias("rows")).first()
+        raise ValueError(f"held-out data in the training corpus ({total['groups']} groups, {total['rows']} rows): " + ", ".join(
             f"{r[by]} ({r['reason']}: {r['rows']})" for r in found))
     return df

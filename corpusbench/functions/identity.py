@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 # Name columns in order of preference.
 NAME_COLUMNS = ["image_name", "filename", "file_name", "id", "image_id", "path"]
+# What is told of a sample's origin.
+PROVENANCE_KEYS = [
+    "source", "dataset", "source_type", "image_name", "image_path", "generator", "architecture", "prompt",
+    "nsfw_flag", "subset", "real_source", "format", "distortions", "distortion_scales", "is_distorted", "content_id",
+]
 
 
 def blank_to_null(c: Column) -> Column:
@@ -21,6 +26,17 @@ def first_name(columns: list[str], skip: str = "image") -> Column:
     return F.coalesce(*[blank_to_null(F.col(c)) for c in present], F.lit(""))
 
 
+def provenance(types: dict[str, str], sample: Column) -> Column:
+    """``id`` and those provenance keys that the rows have, as a struct; empty strings become null.
+
+    ``types`` are the column types of the rows (``dict(df.dtypes)``). Written
+    as JSON, null fields are left out.
+    """
+    fields = [blank_to_null(F.col(k)) if types[k] == "string" else F.col(k) for k in PROVENANCE_KEYS if k in types]
+    names = [k for k in PROVENANCE_KEYS if k in types]
+    return F.struct(sample.cast("string").alias("id"), *[f.alias(k) for f, k in zip(fields, names, strict=True)])
+
+
 def content_id(content: Column) -> Column:
     """Hash of the head, plus tail and length for long content."""
     head = F.substring(content, 1, BLOCK)

@@ -22,7 +22,7 @@ RAW_PHOTO_HINTS = ["raise", "real", "flickr", "coco"]
 def as_int(text: Column) -> Column:
     """Integer value of a trimmed string, null when it is not one."""
     t = F.trim(text)
-    return F.when(t.rlike(r"^[+-]?[0-9]{1,9}$"), t.try_cast("int"))
+    return F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("int"))
 
 
 def label_map_lookup(raw: Column, label_map: dict) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusbench.operators.ranking import top_per_group
+from corpusbench.operators.ranking import join_groups, top_per_group
 
 
 def class_balance(df: DataFrame, split: str, label: str = "label", distorted: str = "is_distorted") -> DataFrame:
@@ -20,24 +20,30 @@ def class_balance(df: DataFrame, split: str, label: str = "label", distorted: st
 def column_statistics(df: DataFrame, columns: list[str], top: int = 12) -> DataFrame:
     """Type, distinct values, range, mean, missing values and the most frequent values per column.
 
-    All columns go through one scan as (column, value) counts, combined on
-    the map side; range and mean follow from those counts, and only the
-    ``top`` values of a column are ever sorted together.
+    Range, mean and missing values come from a plain aggregate, one row per
+    task. Distinct and frequent values go through one scan as (column, value)
+    counts, combined on the map side, and only the ``top`` values of a column
+    are ever sorted together. Sums are decimal with ten digits after the
+    point, so the mean does not depend on the order of the rows; beyond
+    20 digits before the point it falls back to a sum of doubles.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    pairs = F.array(*[F.struct(
-        F.lit(c).alias("column"), F.col(c).cast("string").alias("value"),
-        (F.col(c).cast("double") if kinds[c] not in ("string", "boolean", "timestamp") else F.lit(None).cast("double")).alias("x"),
-    ) for c in columns])
-    counts = df.select(F.inline(pairs)).groupBy("column", "value").agg(
-        F.count("*").alias("n"), F.max("x").alias("x"))
-    bad = F.col("value").isNull() | F.isnan(F.coalesce("x", F.lit(0.0)))
-    ok = counts.where(~bad)
-    stats = counts.groupBy("column").agg(
-        F.count_if(~bad).alias("n_unique"),
-        F.min(F.when(~bad, F.col("x"))).alias("min"), F.max(F.when(~bad, F.col("x"))).alias("max"),
-        (F.sum(F.when(~bad, F.col("x") * F.col("n"))) / F.sum(F.when(~bad & F.col("x").isNotNull(), F.col("n")))).alias("mean"),
-        F.coalesce(F.sum(F.when(bad, F.col("n"))), F.lit(0)).alias("nan_count"))
+    number = {c: F.col(c).cast("double") if kinds[c] not in ("string", "boolean", "timestamp") else F.lit(None).cast("double") for c in columns}
+
+    def summary(c: str):
+        x = F.when(~F.isnan(number[c]), number[c])
+        exact = F.col(c).try_cast("decimal(30,10)") if kinds[c] not in ("string", "boolean", "timestamp") else F.lit(None).cast("decimal(30,10)")
+        exact = F.when(x.isNotNull(), exact)
+        mean = F.when(F.count(exact) == F.count(x), F.sum(exact).cast("double") / F.count(x)).otherwise(F.avg(x))
+        missing = F.count_if(F.col(c).isNull() | F.coalesce(F.isnan(number[c]), F.lit(False)))
+        return F.struct(F.lit(c).alias("column"), F.min(x).alias("min"), F.max(x).alias("max"), mean.alias("mean"), missing.alias("nan_count")).alias(f"_{c}")
+
+    ranges = df.agg(*[summary(c) for c in columns]).select(F.inline(F.array(*[F.col(f"_{c}") for c in columns])))
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.when(~F.coalesce(F.isnan(number[c]), F.lit(False)), F.col(c).cast("string")).alias("value"))
+                      for c in columns])
+    ok = df.select(F.inline(pairs)).where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+    unique = ok.groupBy("column").agg(F.count("*").alias("n_unique"))
+    stats = ranges.join(F.broadcast(unique), "column", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
     best = top_per_group(ok, ["column"], [F.desc("n"), "value"], top)
     lists = best.groupBy("column").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "value", "n"))),
@@ -76,11 +82,12 @@ def meta_index(shards: DataFrame, sampled: DataFrame, all_shards: DataFrame, sha
 
 
 def file_inventory(files: DataFrame, by: str, top: int = 12) -> DataFrame:
-    """Files and bytes per folder with its largest files, from (path, length) rows."""
+    """Files and bytes per folder and its ``top`` largest files (length, path), largest first."""
     totals = files.groupBy(by).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
     big = top_per_group(files, [by], [F.desc("length"), "path"], top)
-    lists = big.groupBy(by).agg(F.max("length").alias("largest"), F.count("*").alias("listed"))
-    return totals.join(lists, by)
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("order"), "path", "length")))
+    lists = big.groupBy(by).agg(F.transform(listed, lambda x: F.struct(x["length"].alias("length"), x["path"].alias("path"))).alias("largest"))
+    return join_groups(totals, lists, [by])
 
 
 def column_best(df: DataFrame, columns: dict[str, bool]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusbench.functions.rng import uniform
 from corpusbench.operators.ranking import (
-    grouped_row_number, grouped_sum_before, seeded_row_number,
+    grouped_row_number, grouped_sum_before, join_groups, seeded_row_number,
 )
 
 UNCAPPED = 2**62
@@ -109,16 +109,17 @@ def stratified_round_robin(df: DataFrame, n: int, group: str, seed: str, key: st
 
 def class_budget(df: DataFrame, n: int, label: str, group: str, seed: str, key: str) -> DataFrame:
     """Budget ``n`` split over classes, leftover to the lowest, round-robin inside each class."""
-    if n <= 0:
-        return df
-    ranked = seeded_row_number(df, [label, group], seed, key, out="turn", first=n)
+    ranked = seeded_row_number(df, [label, group], seed, key, out="turn", first=n if n > 0 else None)
+    if n <= 0:  # no budget: all rows, numbered in the same order
+        unlimited = ranked.withColumn("budget", F.lit(None).cast("long"))
+        return grouped_row_number(unlimited, [label], ["turn", group], F.col("turn"), out="place")
     classes = df.select(label).distinct()
     order = Window.orderBy(label)
     k = F.count("*").over(Window.partitionBy())
     budgets = classes.select(
         label, (F.floor(F.lit(n) / k) + F.when(
             F.row_number().over(order) <= F.lit(n) - F.floor(F.lit(n) / k) * k, 1).otherwise(0)).cast("long").alias("budget"))
-    return grouped_row_number(ranked.join(budgets, label), [label], ["turn", group], F.col("turn"),
+    return grouped_row_number(join_groups(ranked, budgets, [label]), [label], ["turn", group], F.col("turn"),
                               out="place", first="budget")
 
 

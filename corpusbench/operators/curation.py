@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusbench.functions.rng import uniform
+from corpusbench.operators.ranking import join_groups
 
 
 def harvest_prompts(df: DataFrame, n: int, seed: str, key: str = "id", prompt: str = "prompt",
@@ -63,7 +64,7 @@ def holdout_anti_join(train: DataFrame, held: DataFrame, on: str, source: str =
     """
     marked = train.join(held.select(on).distinct().withColumn("_held", F.lit(True)), on, "left")
     survivors = marked.groupBy(source).agg(F.count_if(F.col("_held").isNull()).alias("_left"))
-    return marked.join(survivors, source).where(F.col("_held").isNull() | (F.col("_left") == 0)).withColumn(
+    return join_groups(marked, survivors, [source]).where(F.col("_held").isNull() | (F.col("_left") == 0)).withColumn(
         "reused", F.col("_held").isNotNull()).drop("_held", "_left")
 
 
@@ -87,16 +88,16 @@ def union_distinct_ordered(first: DataFrame, second: DataFrame, name: str, pos:
         name, F.col("_first.part").alias("part"), F.col(f"_first.{pos}").alias(pos)).orderBy("part", pos)
 
 
-def prompt_assignment(jobs: DataFrame, job: str, prompts: DataFrame, n_prompts: int, seed: str) -> DataFrame:
+def prompt_assignment(jobs: DataFrame, job: str, prompts: DataFrame, seed: str) -> DataFrame:
     """Job ``i`` takes prompt ``i mod k`` and its own 31-bit seed.
 
-    ``prompts`` holds at most ``n_prompts`` rows, numbered once; each prompt
-    is shared by many jobs, so the side of known size is broadcast.
+    ``prompts`` are numbered once; whether they are small enough to be
+    broadcast is left to adaptive execution.
     """
     numbered = prompts.select(
         (F.row_number().over(Window.orderBy("u", "key")) - 1).alias("slot"), F.col("key").alias("prompt_key"))
     k = numbered.agg(F.count("*").alias("k")).scalar()
     slot = (F.col(job) % k).cast("int")
     return jobs.withColumn("slot", slot).join(
-        F.broadcast(numbered) if n_prompts <= 100_000 else numbered, "slot").withColumn(
+        numbered, "slot").withColumn(
         "seed", F.floor(uniform(seed, F.col(job)) * F.lit(2147483648.0)).cast("long"))

@@ -11,10 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusbench.session import materialize
-
-def _names(cols: list[str]) -> str:
-    return ", ".join(f"`{c}`" for c in cols)
+from corpusbench.operators.ranking import join_groups
 
 
 def score_histogram(df: DataFrame, by: list[str], prob: str = "prob", label: str = "label") -> DataFrame:
@@ -32,18 +29,18 @@ def _logit_bucket(score: Column) -> Column:
     return F.floor(F.least(F.greatest(logit, F.lit(-64.0)), F.lit(64.0)) * 16.0).cast("int")
 
 
-def cumulate(hist: DataFrame, by: list[str], bounded: bool = True) -> DataFrame:
+def cumulate(hist: DataFrame, by: list[str], bounded: bool = False) -> DataFrame:
     """Add positives and negatives at or above each score: ``cpos``, ``cneg``.
 
-    ``bounded``: scores carry at most six decimals, so a group has at most
-    1,000,001 distinct scores and one sort per group is enough. Otherwise
-    scores are cut into order-following logit buckets and only bucket totals
-    are summed per group.
+    Scores are cut into order-following logit buckets; each is summed up by
+    itself and only bucket totals, at most 2,049 of a group, meet in one task.
+    A caller who knows that scores carry few decimals may say ``bounded``:
+    then a group's scores, a million of them for six decimals, are sorted in
+    one task without the second pass.
     """
     if bounded:
-        part = f"partition by {_names(by)} " if by else ""
-        w = f"({part}order by score desc rows between unbounded preceding and current row)"
-        return hist.selectExpr("*", f"sum(pos) over {w} as cpos", f"sum(neg) over {w} as cneg")
+        w = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return hist.withColumns({"cpos": F.sum("pos").over(w), "cneg": F.sum("neg").over(w)})
     down = F.col("score").desc()
     hist = hist.withColumn("_bucket", _logit_bucket(F.col("score")))
     if not by:
@@ -56,11 +53,7 @@ def cumulate(hist: DataFrame, by: list[str], bounded: bool = True) -> DataFrame:
         (F.sum("_p").over(above) - F.col("_p")).alias("_p0"),
         (F.sum("_n").over(above) - F.col("_n")).alias("_n0"),
     )
-    same = [hist[c].eqNullSafe(totals[c]) for c in [*by, "_bucket"]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    joined = hist.join(totals, cond).select(hist["*"], "_p0", "_n0")
+    joined = join_groups(hist, totals, [*by, "_bucket"])
     w = Window.partitionBy(*by, "_bucket").orderBy(down).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return joined.select(
@@ -88,7 +81,7 @@ CURVES = [
 ]
 
 
-def _from_hist(hist: DataFrame, by: list[str], threshold: float, curves: bool, bounded: bool) -> DataFrame:
+def _from_hist(hist: DataFrame, by: list[str], threshold: float, curves: bool, bounded: bool = False) -> DataFrame:
     """Totals and curve areas of the cumulated histogram in one aggregate per group."""
     aggs = [
         "coalesce(sum(n), 0L) as _n", "coalesce(sum(pos), 0L) as _pos", "coalesce(sum(neg), 0L) as _neg",
@@ -106,7 +99,7 @@ def _from_hist(hist: DataFrame, by: list[str], threshold: float, curves: bool, b
 
 
 def metrics(df: DataFrame, by: list[str] | None = None, prob: str = "prob", label: str = "label",
-            threshold: float = 0.5, curves: bool = True, bounded: bool = True) -> DataFrame:
+            threshold: float = 0.5, curves: bool = True, bounded: bool = False) -> DataFrame:
     """Confusion metrics, tie-aware AUROC and average precision per group.
 
     AUROC and AP are null for a single-class group.
@@ -116,7 +109,7 @@ def metrics(df: DataFrame, by: list[str] | None = None, prob: str = "prob", labe
 
 
 def metrics_from_histogram(parts: DataFrame, by: list[str], threshold: float = 0.5,
-                           bounded: bool = True) -> DataFrame:
+                           bounded: bool = False) -> DataFrame:
     """Metrics from histograms written at different times; counts of a score add up."""
     hist = parts.groupBy(*by, "score").agg(*[F.sum(c).alias(c) for c in ("n", "pos", "neg")])
     return _from_hist(hist, by, threshold, True, bounded)
@@ -144,34 +137,34 @@ def robust_metrics(df: DataFrame, flag: str = "is_distorted") -> DataFrame:
     """Metrics of the clean and the distorted part; empty when nothing is distorted."""
     part = F.when(F.col(flag), "distorted").otherwise("clean")
     both = metrics(df.withColumn("part", part), ["part"])
-    any_distorted = both.where(F.col("part") == "distorted").agg((F.count("*") > 0).alias("x")).scalar()
-    return both.where(any_distorted)
+    # two rows at most
+    seen = F.max(F.col("part") == "distorted").over(Window.partitionBy())
+    return both.withColumn("_distorted", seen).where("_distorted").drop("_distorted")
 
 
 def pooled_generator_metrics(df: DataFrame, by: list[str], generator: str = "generator",
                              threshold: float = 0.5) -> DataFrame:
     """Every generator's fakes against the same pooled reals, per ``by``.
 
-    Rows are read once, into counts per (by, generator, score), which are
-    written to the shared folder because three steps need them. Reals are
-    pooled and cumulated over the scores of a ``by``; each generator's
-    scores then meet them on (by, score), never row against row.
+    Rows become counts per (by, generator, score). Reals are pooled and
+    cumulated over the score buckets of a ``by`` (see ``cumulate``); each
+    generator's scores then meet them on (by, score), never row against row.
     """
-    hist = materialize(df.groupBy(*by, generator, F.col("prob").alias("score")).agg(
-        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")), "pooled")
+    hist = df.groupBy(*by, generator, F.col("prob").alias("score")).agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
     fakes = hist.where(F.col("pos") > 0).select(*by, generator, "score", "pos")
-    grid = hist.groupBy(*by, "score").agg(F.sum("neg").alias("neg"))
-    w = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    grid = grid.select(*by, "score", "neg", F.sum("neg").over(w).alias("upto"))
+    grid = cumulate(hist.groupBy(*by, "score").agg(F.lit(0).alias("pos"), F.sum("neg").alias("neg")), by)
     reals = hist.groupBy(*by).agg(F.sum("neg").alias("n_real"))
-    joined = fakes.join(grid, [*by, "score"])
+    above = join_groups(grid.drop("pos", "cpos"), reals, by) if by else grid.drop("pos", "cpos").withColumn("n_real", reals.scalar())
+    grid = above.withColumn("upto", F.col("n_real") - F.col("cneg") + F.col("neg")).drop("n_real", "cneg")
+    joined = join_groups(fakes, grid, [*by, "score"])
     per = joined.groupBy(*by, generator).agg(
         F.sum("pos").alias("n"),
         F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / F.lit(2.0))).alias("_wins"),
         F.coalesce(F.sum(F.when(F.col("score") >= threshold, F.col("pos"))), F.lit(0)).alias("_tp"),
         F.sum(F.col("pos") * F.col("score")).alias("_psum"),
     )
-    joined = per.join(reals, by, "left") if by else per.withColumn("n_real", reals.scalar())
+    joined = join_groups(per, reals, by, "left") if by else per.withColumn("n_real", reals.scalar())
     return joined.select(
         *by, generator, "n",
         (F.col("_tp") / F.col("n")).alias("recall"),

@@ -23,11 +23,20 @@ def bucket_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(BUCKETS_CONF, str(BUCKETS)))
 
 
+def join_groups(df: DataFrame, groups: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join per-group values to rows; null keys meet null keys, so no group is lost."""
+    right = groups.withColumnsRenamed({c: f"_of_{c}" for c in on})
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"`_of_{c}`")) for c in on]
+    return df.join(right, same, how).drop(*[f"_of_{c}" for c in on])
+
+
 def grouped_row_number(df: DataFrame, by: list[str], order: list, bucket: Column,
                        out: str = "rn", first: int | str | None = None) -> DataFrame:
     """Exact 1-based row number per group.
 
-    ``bucket`` must not decrease along ``order`` and ``by`` must be non-null.
+    ``bucket`` must not decrease along ``order``. A null in ``by`` or
+    ``bucket`` is a value like others; a null bucket comes first, as nulls do
+    in an ascending order.
     With ``first`` (a number or a column of the rows) only rows numbered up
     to it are returned, and buckets that start past it are dropped before
     anything is sorted.
@@ -37,7 +46,7 @@ def grouped_row_number(df: DataFrame, by: list[str], order: list, bucket: Column
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     starts = sizes.select(*by, "_bucket", (F.sum("_n").over(before) - F.col("_n")).alias("_start"))
-    joined = keyed.join(starts, [*by, "_bucket"])
+    joined = join_groups(keyed, starts, [*by, "_bucket"])
     limit = F.col(first) if isinstance(first, str) else F.lit(first)
     if first is not None:
         joined = joined.where(F.col("_start") < limit)
@@ -62,7 +71,7 @@ def grouped_sum_before(df: DataFrame, by: list[str], order: list, bucket: Column
     starts = sizes.select(*by, "_bucket", (F.sum("_n").over(upto) - F.col("_n")).alias("_start"))
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    return keyed.join(starts, [*by, "_bucket"]).withColumn(
+    return join_groups(keyed, starts, [*by, "_bucket"]).withColumn(
         out, F.col("_start") + F.sum("_value").over(inside) - F.col("_value"),
     ).drop("_bucket", "_value", "_start")
 
@@ -77,17 +86,14 @@ def seeded_row_number(df: DataFrame, by: list[str], seed: str, key: str, out: st
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list, k: int, out: str = "rank",
-                  salt: Column | None = None, salts: int = 64) -> DataFrame:
+                  bucket: Column | None = None) -> DataFrame:
     """The first ``k`` rows of every group.
 
-    Spark pushes a per-task limit below the shuffle for small ``k``; for a
-    larger ``k`` the salted first pass does that, so the final sort sees at
-    most ``salts * k`` rows of a group.
+    With a ``bucket`` that follows the order, buckets past the first ``k``
+    rows are dropped and the others sorted by themselves, whatever ``k`` is.
+    Without one the groups must be small enough for a task each.
     """
+    if bucket is not None:
+        return grouped_row_number(df, by, order, bucket, out, first=k)
     final = Window.partitionBy(*by).orderBy(*order)
-    if k > 1000 and salt is not None:
-        local = Window.partitionBy(*by, "_salt").orderBy(*order)
-        df = (df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)))
-              .withColumn("_local", F.row_number().over(local))
-              .where(F.col("_local") <= k).drop("_salt", "_local"))
     return df.withColumn(out, F.row_number().over(final)).where(F.col(out) <= k)

@@ -36,14 +36,14 @@ def _stats_sql() -> str:
       c as (select "column", value, count(*) as n from l group by all),
       t as (select "column", string_agg(value || '=' || n, ' ' order by n desc, value) as top_values
             from (select *, row_number() over (partition by "column" order by n desc, value) as r from c) where r <= 12 group by "column")
-      select l."column", type, count(distinct value) as n_unique, min(x) as min, max(x) as max, round(avg(x), 6) as mean,
+      select l."column", type, count(distinct value) as n_unique, min(x) as min, max(x) as max, sum(x::decimal(30,10))::varchar::double / count(x) as mean,
              count(*) filter (where value is null) as nan_count, any_value(top_values) as top_values
       from l join t on t."column" = l."column" group by l."column", type"""
 
 
 @query("column_statistics", _stats_sql())
 def column_statistics(spark, sf):
-    return M.rounded(A.column_statistics(fx.table(spark, sf, "lineitem"), STAT_COLUMNS))
+    return M.rounded(A.column_statistics(fx.table(spark, sf, "lineitem"), STAT_COLUMNS), skip=("mean",))
 
 
 _CONF = """select feature, value, fake, real, round(greatest(b, 1 - b), 6) as balanced_accuracy,
@@ -161,12 +161,18 @@ def materialize_slice(spark, sf):
         F.count("*").alias("rows"), F.max(F.length("prompt")).cast("long").alias("longest"))
 
 
-@query("file_inventory")
+@query("file_inventory", """
+    with f as (select 'lang=' || lang as folder, sum(strlen(replace(text, chr(10), ' ')) + 1)::bigint as bytes from documents group by lang, doc_id % 16),
+         r as (select *, row_number() over (partition by folder order by bytes desc) as place from f)
+    select folder, count(*) as files, sum(bytes)::bigint as bytes, string_agg(bytes::varchar, ' ' order by bytes desc) filter (where place <= 12) as largest
+    from r group by folder""")
 def file_inventory(spark, sf):
-    """Files, bytes and largest files per folder of a written corpus; contents are not read."""
+    """Files, bytes and the largest files per folder of a written corpus; contents are not read."""
     path = scratch(spark, "inventory")
-    fx.table(spark, sf, "documents").write.partitionBy("lang").parquet(path)
+    docs = fx.table(spark, sf, "documents").select("lang", (F.col("doc_id") % 16).alias("slot"), F.translate("text", "\n", " ").alias("value"))
+    docs.repartition("lang", "slot").write.partitionBy("lang", "slot").text(path)
     from corpusbench.sources.files import list_files
 
-    files = list_files(spark, path, ["parquet"]).withColumn("folder", F.regexp_extract("path", "/([^/]+)/[^/]+$", 1))
-    return A.file_inventory(files, "folder")
+    files = list_files(spark, path, ["txt"]).withColumn("folder", F.regexp_extract("path", "/([^/]+)/[^/]+/[^/]+$", 1))
+    sizes = F.array_join(F.transform("largest", lambda x: x["length"].cast("string")), " ")
+    return A.file_inventory(files, "folder").withColumn("largest", sizes)

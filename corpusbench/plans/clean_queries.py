@@ -8,6 +8,7 @@ from corpusbench.functions import holdout as H
 from corpusbench.functions import identity as I
 from corpusbench.functions import labels as L
 from corpusbench.functions.rng import choice, uniform
+from corpusbench.operators.leaks import passage_leaks
 from corpusbench.operators import curation as C
 from corpusbench.operators import metrics as M
 from corpusbench.operators.probe import mean_difference_weights, sigmoid
@@ -297,18 +298,26 @@ def sigmoid_tta(spark, sf):
 
 
 @query("provenance", oracle("""
-    select id, '{' || concat_ws(',', '"source":"' || source || '"', '"image_name":"' || image_name || '"',
+    select id, '{' || concat_ws(',', '"id":"' || id || '"', '"source":"' || source || '"', '"dataset":"documents"',
+        case when id % 2 = 0 then '"source_type":"text"' end, '"image_name":"' || image_name || '"', '"image_path":"' || replace(path, chr(92), chr(92) || chr(92)) || '"',
         case when id % 3 = 0 then '"generator":"' || generator || '"' end,
         case when id % 5 > 0 then '"architecture":"' || architecture || '"' end,
-        '"nsfw_flag":' || nsfw_flag, '"is_distorted":' || is_distorted) || '}' as provenance from samples""", "samples"))
+        case when id % 7 > 0 then '"prompt":"about ' || source || '"' end, '"nsfw_flag":' || nsfw_flag,
+        '"subset":"s' || (id % 4) || '"', case when label = 0 then '"real_source":"' || source || '"' end, '"format":"jpg"',
+        '"distortions":["d' || (id % 3) || '","e"]', '"distortion_scales":[' || (id % 3) || ',2]',
+        '"is_distorted":' || is_distorted, '"content_id":"c' || id || '"') || '}' as provenance from samples""", "samples"))
 def provenance(spark, sf):
-    """Non-empty provenance fields as JSON; null fields are left out."""
-    keep = I.blank_to_null
-    return fx.samples(spark, sf).select("id", F.to_json(F.struct(
-        keep(F.col("source")).alias("source"), keep(F.col("image_name")).alias("image_name"),
-        keep(F.when(F.col("id") % 3 == 0, F.col("generator")).otherwise("")).alias("generator"),
-        F.when(F.col("id") % 5 > 0, F.col("architecture")).alias("architecture"),
-        F.col("nsfw_flag"), F.col("is_distorted"))).alias("provenance"))
+    """The id and all provenance fields that are not empty, as JSON."""
+    some = lambda when, value: F.when(when, value).otherwise(F.lit(""))
+    n = F.col("id")
+    df = fx.samples(spark, sf).withColumns({
+        "dataset": F.lit("documents"), "source_type": some(n % 2 == 0, F.lit("text")), "image_path": F.col("path"),
+        "generator": some(n % 3 == 0, F.col("generator")), "architecture": F.when(n % 5 > 0, F.col("architecture")),
+        "prompt": some(n % 7 > 0, F.concat(F.lit("about "), F.col("source"))), "subset": F.concat(F.lit("s"), n % 4),
+        "real_source": F.when(F.col("label") == 0, F.col("source")), "format": F.lit("jpg"),
+        "distortions": F.array(F.concat(F.lit("d"), n % 3), F.lit("e")), "distortion_scales": F.array(n % 3, F.lit(2).cast("long")),
+        "content_id": F.concat(F.lit("c"), n)})
+    return df.select("id", F.to_json(I.provenance(dict(df.dtypes), n)).alias("provenance"))
 
 
 _DIR = "split_part(path, '/', -3)"
@@ -390,11 +399,11 @@ def harvest_bases(spark, sf):
     return C.harvest_bases(fx.samples(spark, sf), 40, "bases", "id", F.col("n_chars"), 256).select("key", "name")
 
 
-@query("exact_dedup", f"""
-    select {CONTENT_SQL} as content_id, min(doc_id) as doc_id, arg_min(source, doc_id) as source, count(*) as copies
+@query("exact_dedup", """
+    select sha256(text) as content_id, min(doc_id) as doc_id, arg_min(source, doc_id) as source, count(*) as copies
     from documents group by 1""")
 def exact_dedup(spark, sf):
-    df = fx.table(spark, sf, "documents").withColumn("content_id", I.content_id(F.col("text")))
+    df = fx.table(spark, sf, "documents").withColumn("content_id", F.sha2("text", 256))
     return C.exact_dedup(df, "content_id", "doc_id", ["source"])
 
 
@@ -413,18 +422,25 @@ def skip_present(spark, sf):
     from documents join numbered on slot = doc_id % (select count(*) from numbered)""", "samples"))
 def prompt_assignment(spark, sf):
     jobs = fx.table(spark, sf, "documents").select("doc_id")
-    return C.prompt_assignment(jobs, "doc_id", prompts(spark, sf, 30), 30, "job").select("doc_id", "prompt_key", "seed")
+    return C.prompt_assignment(jobs, "doc_id", prompts(spark, sf, 30), "job").select("doc_id", "prompt_key", "seed")
 
 
 HELD_SOURCES = ["src3", "src7", "src11"]
 
 
-@query("train_heldout_overlap", f"""
-    with d as (select {CONTENT_SQL} as content_id, source in ('src3', 'src7', 'src11') as held from documents)
+@query("passage_leak_audit", """
+    select d.doc_id, b.item_id from documents d join benchmark b on contains(d.text, b.text) group by all""")
+def passage_leak_audit(spark, sf):
+    """Documents that contain a held-out passage, over whole texts."""
+    return passage_leaks(fx.table(spark, sf, "documents"), fx.table(spark, sf, "benchmark"), "doc_id", "item_id")
+
+
+@query("train_heldout_overlap", """
+    with d as (select sha256(text) as content_id, source in ('src3', 'src7', 'src11') as held from documents)
     select content_id, count(*) filter (where not held) as train_rows, count(*) filter (where held) as held_rows
     from d group by content_id having count(*) filter (where held) > 0 and count(*) filter (where not held) > 0""")
 def train_heldout_overlap(spark, sf):
-    df = fx.table(spark, sf, "documents").select("source", I.content_id(F.col("text")).alias("content_id"))
+    df = fx.table(spark, sf, "documents").select("source", F.sha2("text", 256).alias("content_id"))
     held = F.col("source").isin(HELD_SOURCES)
     return C.overlap(df.where(~held), df.where(held), "content_id")
 
@@ -477,25 +493,25 @@ def done_shard_anti_join(spark, sf):
 
 
 @query("concat_parts", oracle("""
-    select id, 'a' as part, label, null::bigint as n_chars from samples where source = 'src1'
-    union all select id, 'b', null, n_chars from samples where source = 'src2'
-    union all select id, 'c', label, n_chars from samples where source = 'src1' and label = 1""", "samples"))
+    select id, 'a' as part, label, null::bigint as n_chars from samples where label is not null
+    union all select id, 'b', null, n_chars from samples where label is null
+    union all select id, 'c', label, n_chars from samples where label = 1""", "samples"))
 def concat_parts(spark, sf):
     s = fx.samples(spark, sf)
-    a = s.where("source = 'src1'").select("id", F.lit("a").alias("part"), "label")
-    b = s.where("source = 'src2'").select("id", F.lit("b").alias("part"), "n_chars")
-    c = s.where("source = 'src1' and label = 1").select("id", F.lit("c").alias("part"), "label", "n_chars")
+    a = s.where("label is not null").select("id", F.lit("a").alias("part"), "label")
+    b = s.where("label is null").select("id", F.lit("b").alias("part"), "n_chars")
+    c = s.where("label = 1").select("id", F.lit("c").alias("part"), "label", "n_chars")
     return a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
 
 
 @query("union_distinct_ordered", oracle(f"""with {_TOKENS},
-    f as (select tokens[1] as name, min(id) as pos from toks where len(tokens) > 0 and id % 10 < 2 group by 1),
+    f as (select tokens[1] as name, min(id) as pos from toks where len(tokens) > 0 group by 1),
     s as (select tokens[2] as name, min(id) as pos from toks where len(tokens) > 1 group by 1)
     select name, 0 as part, pos from f union all
     select name, 1, pos from s where name not in (select name from f)""", "samples"))
 def union_distinct_ordered(spark, sf):
     t = distorted(spark, sf)
-    first = t.where("size(tokens) > 0 and id % 10 < 2").select(F.get("tokens", 0).alias("name"), F.col("id").alias("pos"))
+    first = t.where("size(tokens) > 0").select(F.get("tokens", 0).alias("name"), F.col("id").alias("pos"))
     second = t.where("size(tokens) > 1").select(F.get("tokens", 1).alias("name"), F.col("id").alias("pos"))
     return C.union_distinct_ordered(first, second, "name", "pos")
 

@@ -46,18 +46,35 @@ def errors_by_source(spark, sf):
 
 
 @query("error_manifest_sink", oracle(f"""with {_SMALL}
-    select kind, 33500 as step, 'val' as split, label, prob, generator as source,
+    select kind, 33500 as step, 'val' as split, label, prob, id::varchar as id, generator, architecture, id % 7 > 0 as saved, generator as by,
            kind || '/' || printf('%03d', rank - 1) || '_' || generator || '_vec_' || id || '_p' || printf('%.3f', prob) || '.jpg' as file
     from ranked where rank <= 40""", "scored"))
 def error_manifest_sink(spark, sf):
-    """JSONL manifest written next to the data and read back."""
-    capped = E.error_cap(fx.scored(spark, sf), 40)
-    rows = E.manifest(capped, "generator", F.concat(F.lit("vec_"), F.col("id")), 33500, "val")
+    """JSONL manifest written next to the data and read back; each seventh copy cannot be saved."""
+    rows = _manifest(spark, sf)
     path = scratch(spark, "manifest")
     rows.write.json(path)
     return spark.read.schema(rows.schema).json(path)
 
 
+def _manifest(spark, sf):
+    capped = E.error_cap(fx.scored(spark, sf), 40)
+    return E.manifest(capped, "generator", F.concat(F.lit("vec_"), F.col("id")), 33500, "val", saved=F.col("id") % 7 > 0)
+
+
+@query("error_manifest_summary", oracle(f"""with {_SMALL},
+    m as (select *, id % 7 > 0 as saved from ranked where rank <= 40),
+    s as (select generator || '|' || kind as name, count(*) as n from m group by all)
+    select 33500 as step, 'val' as split, (select count(*) from err where kind = 'fp') as n_fp, (select count(*) from err where kind = 'fn') as n_fn,
+           (select count(*) from m where kind = 'fp' and saved) as saved_fp, (select count(*) from m where kind = 'fn' and saved) as saved_fn,
+           40 as max_per_kind, (select string_agg(name || '=' || n, ' ' order by name) from s) as by_source""", "scored"))
+def error_manifest_summary(spark, sf):
+    """Totals of the manifest; the map of sources is shown as text."""
+    found = E.errors(fx.scored(spark, sf))
+    shown = F.array_join(F.transform(F.map_entries("by_source"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " ")
+    return E.manifest_summary(found, _manifest(spark, sf), 33500, "val", 40).withColumn("by_source", shown)
+
+
 @query("flag_rate", oracle(f"""
     with p as (select id, case when {u('fail', 'id')} >= 0.02 then prob end as pred from scored_big)
     select count(pred) as scored, count(*) filter (where pred >= 0.5) as flagged,

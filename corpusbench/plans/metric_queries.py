@@ -68,8 +68,8 @@ def auroc(spark, sf):
 
 @query("average_precision", oracle(metrics_sql("scored", "architecture", confusion=False), "scored"))
 def average_precision(spark, sf):
-    """The unbounded path: scores of any precision, cut into logit buckets."""
-    return M.rounded(M.metrics(fx.scored(spark, sf), ["architecture"], bounded=False)
+    """Scores of any precision: the curve runs over logit buckets."""
+    return M.rounded(M.metrics(fx.scored(spark, sf), ["architecture"])
                      .select("architecture", "auroc", "ap"))
 
 

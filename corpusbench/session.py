@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,8 +30,9 @@ def local_session(cpus: str = "*", app: str = "corpusbench") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when nothing is configured (tests on one machine) is a fresh
-    folder under /tmp made and registered.
+    Only when nothing is configured and the master is local (tests on one
+    machine) is a fresh folder under /tmp made and registered. On a cluster
+    executors would each write to a disk of their own, so that raises.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     named = named or spark.conf.get("spark.checkpoint.dir", None)
@@ -41,6 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     made = "file:" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir() or made
@@ -61,14 +66,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition a file scan that has fewer splits than the session has cores.
-
-    For use before steps that cost much more than the scan. A scan of many
-    splits, the normal case on a cluster, is left as it is. With ``keys``
-    rows go by hash, which needs no sort to be repeatable after a retry.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -12,10 +12,18 @@ IMAGE_EXTS = ["jpg", "jpeg", "png", "webp", "bmp"]
 
 
 def natural_key(text: Column) -> Column:
-    """Sort key in which ``shard_2`` comes before ``shard_10``."""
-    parts = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(
-        p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    """Sort key in which ``shard_2`` comes before ``shard_10``.
+
+    A number of any length is written as its digits without leading zeros,
+    behind their count in five digits.
+    """
+    parts = F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), 1)
+
+    def key(p: Column) -> Column:
+        digits = F.regexp_replace(p, "^0+(?=[0-9])", "")
+        return F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 5, "0"), digits)).otherwise(p)
+
+    return F.array_join(F.transform(parts, key), "")
 
 
 def shard_scan(spark: SparkSession, paths: list[str], schema=None) -> DataFrame:

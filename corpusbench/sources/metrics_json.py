@@ -26,22 +26,37 @@ BODY = T.StructType(
     + [T.StructField(c, T.MapType(T.StringType(), METRIC)) for c in TABLES]
     + [T.StructField("error_analysis", T.ArrayType(ERROR))]
 )
-MAX_BYTES = 20 * 1024 * 1024
 HASH_NAME = "DALL·E 3 Advanced"
 
 
-def scan(spark: SparkSession, root: str, limit: int = 30, only_summary: bool = False) -> DataFrame:
-    """Newest readable metrics files below ``root``, each path once, as parsed bodies.
-
-    ``NaN`` is accepted; broken files and files above 20 MB are skipped.
-    """
+def files_below(spark: SparkSession, root: str, only_summary: bool) -> DataFrame:
+    """Path, time, size and text of the metrics files below ``root``; a text is read only where it is used."""
     path = F.col("_metadata.file_path")
     summary = F.endswith(path, F.lit("/summary.json"))
-    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True).where(
-        F.col("_metadata.file_size") <= MAX_BYTES).where(summary if only_summary else ~summary)
-    rows = parse(raw.select(
-        path.alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("json")))
-    return rows.drop("json").dropDuplicates(["file"]).orderBy(F.desc("modified"), "file").limit(limit)
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True).where(summary if only_summary else ~summary)
+    return raw.select(path.alias("file"), F.col("_metadata.file_modification_time").alias("modified"),
+                      F.col("_metadata.file_size").alias("bytes"), F.col("value").alias("json"))
+
+
+def scan(spark: SparkSession, root: str, limit: int | None = None, only_summary: bool = False,
+         max_bytes: int | None = None) -> DataFrame:
+    """Readable metrics files below ``root``, newest first, each path once, as parsed bodies.
+
+    ``NaN`` is accepted. All files are read unless ``max_bytes`` or ``limit``
+    is given; ``skipped`` names those that are left out.
+    """
+    raw = files_below(spark, root, only_summary)
+    kept = raw.where(F.col("bytes") <= max_bytes) if max_bytes else raw
+    rows = parse(kept.drop("bytes")).drop("json").dropDuplicates(["file"]).orderBy(F.desc("modified"), "file")
+    return rows.limit(limit) if limit else rows
+
+
+def skipped(spark: SparkSession, root: str, only_summary: bool = False, max_bytes: int | None = None) -> DataFrame:
+    """Files that ``scan`` leaves out, with the reason: too large, or no valid body."""
+    raw = files_below(spark, root, only_summary)
+    large = F.lit(False) if max_bytes is None else F.col("bytes") > max_bytes
+    good = parse(raw.where(~large).drop("bytes")).select("file").distinct()
+    return raw.select("file", F.when(large, "too large").otherwise("not readable").alias("reason")).join(good, "file", "left_anti")
 
 
 def parse(df: DataFrame, text: str = "json") -> DataFrame:
