@@ -369,6 +369,50 @@ def mismatch(scale: float, size: int = SIZE) -> Callable:
     return k_linear(chain(linear_resize(n, size), nearest_down(size, n)))
 
 
+def lowpass(n: int, cutoff: float) -> Matrix:
+    """Gaussian fall-off over frequency along one axis, as the circular filter it amounts to.
+
+    The fall-off of a two-dimensional frequency is that of its rows times
+    that of its columns, so this matrix serves both.
+    """
+    waves = [k / n for k in range(-(n // 2), n - n // 2)]
+    return [[sum(math.exp(-0.5 * (f / cutoff) ** 2) * math.cos(2 * math.pi * f * (i - j)) for f in waves) / n for j in range(n)] for i in range(n)]
+
+
+def waves_above(n: int, cutoff: float) -> list[tuple[int, int]]:
+    """Waves (rows, columns) of a higher frequency, one of each pair of opposite ones, without those that are their own opposite."""
+    half = n // 2
+    return [(a, b) for a in range(-half, half) for b in range(-half, half)
+            if (a, b) > ((-a + half) % n - half, (-b + half) % n - half) and math.hypot(a, b) / n > cutoff]
+
+
+def k_phase(amount: float, cutoff: float, seed: str) -> Callable:
+    """Turn the phase of every higher wave by up to ``amount`` half circles, drawn per grid and wave.
+
+    A wave's part in the grid is a cosine and a sine sum; turning it changes
+    both, and the changes are added to the grid.
+    """
+    waves = waves_above(SIZE, cutoff)
+    angle = [[2 * math.pi * (a * (i // SIZE) + b * (i % SIZE)) / SIZE for i in range(SIZE * SIZE)] for a, b in waves]
+    cos, sin = ([[f(t) for t in row] for row in angle] for f in (math.cos, math.sin))
+    by_cell = [[*c, *s] for c, s in zip(zip(*cos), zip(*sin))]
+
+    def run(x: Column, key: Column) -> Column:
+        turns = F.transform(F.sequence(F.lit(0), F.lit(len(waves) - 1)), lambda h: F.lit(amount * math.pi) * (
+            F.lit(2.0) * uniform(seed, F.concat(key.cast("string"), F.lit("|"), h.cast("string"))) - 1.0))
+        sums = F.arrays_zip(F.transform(_lit_matrix(cos), lambda w: _dot(w, x)).alias("a"), F.transform(_lit_matrix(sin), lambda w: _dot(w, x)).alias("b"), turns.alias("t"))
+
+        def change(rows: Column) -> Column:
+            added = F.concat(
+                F.transform(rows, lambda r: r["a"] * (F.cos(r["t"]) - 1.0) + r["b"] * F.sin(r["t"])),
+                F.transform(rows, lambda r: r["b"] * (F.cos(r["t"]) - 1.0) - r["a"] * F.sin(r["t"])))
+            return let(added, lambda d: F.zip_with(x, F.transform(_lit_matrix(by_cell), lambda w: _dot(w, d)), lambda v, e: clamp(v + e * 2.0 / SIZE**2)))
+
+        return let(sums, change)
+
+    return run
+
+
 # The two sweeps, in order. A kernel maps (grid, key) to a
 # grid; None marks names that need an image codec or colour space.
 ALL = {
@@ -393,13 +437,15 @@ EXTRA = {
     "nudge1": k_linear(shifted(SIZE, -0.4), shifted(SIZE, 0.7)), "gamma07": k_gamma(0.7),
     "grain": k_grain(0.04, 8, "grain"),
     "aberr2": k_linear(identity(SIZE), mean_of(rolled(SIZE, 2), identity(SIZE), rolled(SIZE, -2))),
-    "fftlp": "fft_lowpass", "autocontrast": k_autocontrast, "posterize4": k_posterize(4),
+    "fftlp": k_linear(lowpass(SIZE, 0.32)), "autocontrast": k_autocontrast, "posterize4": k_posterize(4),
     "social": None, "gridshift": None, "resample": mismatch(0.35), "surface": k_surface(2.0, 12.0),
-    "phase": "fft_phase", "hue18": None, "wb": None, "chroman": None, "equalize": k_equalize,
+    "phase": k_phase(0.35, 0.18, "phase"), "hue18": None, "wb": None, "chroman": None, "equalize": k_equalize,
     "vignette": k_vignette(0.4), "perspective": None, "speckle": k_speckle(0.08, "speckle"), "recode": None,
 }
 PROTOCOL = {"pangram": None}
 KERNELS: dict = {**ALL, **EXTRA, **PROTOCOL}
+# The names of sweeps and the groups of kernels each takes, in order.
+SWEEPS: dict[str, list[dict]] = {"all": [ALL], "extra": [EXTRA], "hard": [EXTRA], "all+extra": [ALL, EXTRA], "all+hard": [ALL, EXTRA]}
 
 
 def register_kernel(name: str, kernel: Callable) -> None:
@@ -413,7 +459,7 @@ def kernel(name: str) -> Callable:
         raise ValueError(f"unknown perturbation {name!r}; known: {', '.join(KERNELS)}")
     found = KERNELS[name]
     if found is None:
-        raise NotImplementedError(f"perturbation {name!r} needs an image codec or colour space")
+        raise NotImplementedError(f"perturbation {name!r} needs an image codec, a colour space or a warp that grids do not have")
     return found
 
 
@@ -421,11 +467,7 @@ def sweep_names(spec: str | None) -> list[str] | None:
     """Names of a sweep; None for a single clean pass."""
     if spec in (None, "", "clean"):
         return None
-    sweeps = {"all": [*ALL], "extra": [*EXTRA], "hard": [*EXTRA]}
-    both = list(dict.fromkeys([*ALL, *EXTRA]))
-    sweeps["all+extra"] = sweeps["all+hard"] = both
-    if spec in sweeps:
-        return sweeps[spec]
-    if spec in KERNELS:
-        return [spec]
-    raise ValueError(f"unknown sweep {spec!r}; known: {', '.join(sweeps)}")
+    groups = SWEEPS.get(spec) or ([{spec: None}] if spec in KERNELS else None)
+    if groups is None:
+        raise ValueError(f"unknown sweep {spec!r}; known: {', '.join(SWEEPS)}")
+    return [name for group in groups for name in group]

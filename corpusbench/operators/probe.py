@@ -104,3 +104,15 @@ def apply_linear_probe(model, df: DataFrame, features: str, out: str = "prob", d
     return scored.withColumn(
         out, F.round(F.get(vector_to_array("_probability"), 1), digits)
     ).drop("_raw", "_scaled", "_margin", "_probability", "_class")
+
+
+def probe_gradient(model, train: DataFrame, features: str, label: str, reg: float = 1e-3) -> DataFrame:
+    """(dim, gradient) of the fitted objective on its training rows: zero where the fit has converged."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    scored = model.transform(train.withColumn("_raw", array_to_vector(F.col(features))))
+    miss = F.get(vector_to_array("_probability"), 1) - F.col(label)
+    weights = F.array(*[F.lit(float(w)) for w in model.stages[-1].coefficients])
+    cells = scored.select(miss.alias("miss"), F.posexplode(vector_to_array("_scaled")).alias("dim", "x"))
+    return cells.groupBy("dim").agg(F.avg(F.col("miss") * F.col("x")).alias("g")).select(
+        "dim", (F.col("g") + F.lit(reg) * F.get(weights, F.col("dim"))).alias("gradient"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from corpusbench.functions import grids as G
 from corpusbench.functions.rng import uniform
 from corpusbench.operators import metrics as M
-from corpusbench.operators import spectral
 from corpusbench.operators.probe import dot, mean_difference_weights, sigmoid
 from corpusbench.plans import fixtures as fx
 from corpusbench.plans.fixtures import oracle, u
@@ -23,7 +22,7 @@ def long_cells(df: DataFrame, grid: str = "out", digits: int = 6) -> DataFrame:
 
 def run_kernel(spark, sf, name: str) -> DataFrame:
     df = fx.pixel_grid(spark, sf)
-    out = spectral.apply_named(name, G.kernel(name), F.col("grid"), F.col("id"), G.SIZE)
+    out = G.kernel(name)(F.col("grid"), F.col("id"))
     return df.select("id", out.alias("out"))
 
 
@@ -93,7 +92,20 @@ def _jitter(g: float) -> str:
               from (select id, cell, {C01.format(f"x * {g}::double")} as b from cells))"""
 
 
+_LOWPASS = _w("""select i, j, exp(-0.5::double * (k / 8.0::double / 0.32::double) * (k / 8.0::double / 0.32::double))
+    * cos(2 * pi() * k * (i - j) / 8.0::double) / 8 as w from range(8) a(i), range(8) b(j), range(-4, 4) k(k)""")
+_PHASE = f"""
+    with waves as (select a, b, row_number() over (order by a, b) - 1 as h from range(-4, 4) x(a), range(-4, 4) y(b)
+                   where (a > (-a + 4) % 8 - 4 or (a = (-a + 4) % 8 - 4 and b > (-b + 4) % 8 - 4)) and sqrt(a * a + b * b) / 8 > 0.18),
+         s as (select id, a, b, h, sum(x * cos(2 * pi() * (a * r + b * c) / 8.0::double)) as p, sum(x * sin(2 * pi() * (a * r + b * c) / 8.0::double)) as q,
+                      0.35::double * pi() * (2.0::double * {u('phase', "id || '|' || h")} - 1.0::double) as t
+               from cells, waves group by id, a, b, h)
+    select id, cell, greatest(0.0::double, least(1.0::double, any_value(x) + sum(
+        p * (cos(2 * pi() * (a * r + b * c) / 8.0::double + t) - cos(2 * pi() * (a * r + b * c) / 8.0::double))
+        + q * (sin(2 * pi() * (a * r + b * c) / 8.0::double + t) - sin(2 * pi() * (a * r + b * c) / 8.0::double))) / 32)) as value
+    from cells join s using (id) group by id, cell"""
 KERNEL_SQL = {
+    "fftlp": f"select id, cell, {C01.format('value')} as value from ({_lin(_LOWPASS)})", "phase": _PHASE,
     "clean": _point("x"),
     "blur0.5": _lin(_gauss(0.5)), "blur1.0": _lin(_gauss(1.0)), "blur2.0": _lin(_gauss(2.0)), "blur4.0": _lin(_gauss(4.0)),
     "resize0.5": _lin(_blocks(2)), "resize0.25": _lin(_blocks(4)), "resize0.125": _lin(_blocks(8)),
@@ -154,7 +166,7 @@ kernel_query("k_shift_gamma", ["shift20", "gamma07"])
 kernel_query("k_vignette", ["vignette"])
 kernel_query("k_speckle_grain", ["speckle", "grain"])
 kernel_query("k_median_blur", ["median3", "blur1.0", "surface", "unsharp"])
-kernel_query("k_fft", ["fftlp", "phase"], sql=False)
+kernel_query("k_fft", ["fftlp", "phase"])
 kernel_query("k_contrast_hist", ["autocontrast", "equalize"])
 
 
@@ -180,7 +192,7 @@ def kernel_scores(spark, sf, names: list[str]) -> DataFrame:
     rows = df.withColumn("w", w.scalar())
     for i, n in enumerate(names):
         rows = rows.withColumn(f"s{i}", sigmoid(F.lit(2.0) * dot(
-            spectral.apply_named(n, G.kernel(n), F.col("grid"), F.col("id"), G.SIZE), F.col("w"))))
+            G.kernel(n)(F.col("grid"), F.col("id")), F.col("w"))))
     scores = F.array(*[F.struct(F.lit(n).alias("condition"), F.round(f"s{i}", 6).alias("prob")) for i, n in enumerate(names)])
     return rows.select("id", "label", F.inline(scores))
 

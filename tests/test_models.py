@@ -6,7 +6,6 @@ from corpusbench.functions import grids as G
 from corpusbench.operators import audit as A
 from corpusbench.operators import metrics as M
 from corpusbench.operators import probe as P
-from corpusbench.operators import spectral
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +16,7 @@ def grids(spark):
 
 
 def run(df, name):
-    out = spectral.apply_named(name, G.kernel(name), F.col("grid"), F.col("id"), 8)
+    out = G.kernel(name)(F.col("grid"), F.col("id"))
     return {r.id: (np.array(r.grid), np.array(r.out)) for r in df.select("id", "grid", out.alias("out")).collect()}
 
 
