@@ -6,17 +6,18 @@ Two documents link if 100 * overlap >= percent * union. The join is exact:
    a bounded sample; it only sets the order), else by hash. A linked pair
    shares one of the first n - ceil(percent * n / 100) + 1 shingles of both.
    These prefixes are sent, in packed blocks, to the bucket of their hash;
-   equal sets are one class. Members with no other class of a fitting size in
-   the same shingle go no further.
-2. The smallest class of a shingle is its hub. Two classes with a shared
-   shingle have a hub in common, so a hub and its classes are one group,
-   however many shingles they share. A first round links each class to its
-   hubs. This joins most of a large group of near copies without all its pairs.
-3. Where classes of a group are still apart, they are cut into tiles by size.
-   In each pair of tiles of fitting sizes, bit counts of hashed bitmaps bound
-   the overlap from above: a bit that only A has stands for a shingle that B
-   lacks. Pairs within the bound are verified by exact intersection of the
-   sorted sets, which are made for these classes only.
+   equal sets are one class. Of the classes in a shingle that have another one
+   of a fitting size there, the least is the hub. Two classes that share a
+   shingle share its hub, so a hub and its classes are one group, however many
+   shingles they have in common.
+2. A group is cut into tiles by size. In each pair of tiles of fitting sizes,
+   bit counts of hashed bitmaps bound the overlap from above: a bit that only
+   A has stands for a shingle that B lacks. Classes without a partner within
+   the bound leave.
+3. Texts of the others are read again, and pairs within the bound are verified
+   by exact intersection of the sorted sets, those with most partners first,
+   until no two of different components are left. So a group gives at most as
+   many links as it has classes.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,8 +113,8 @@ def class_of(shingles: np.ndarray) -> tuple[int, bytes]:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """Bits of the hashes; the width is the power of two from twice the set's size on."""
-    width = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    """Bits of the hashes; the width is the power of two from four times the set's size on."""
+    width = max(64, 1 << (4 * len(shingles) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(shingles & _U(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -134,28 +136,48 @@ def possible(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, per
     return (100 + percent) * overlap >= percent * (n_a[:, None] + n_b[None, :])
 
 
-def tile_pairs(ids: np.ndarray, sizes: np.ndarray, maps: list[bytes], groups: np.ndarray, percent: int, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs of different groups, one of ``left`` and one of ``right``, that size and bit counts allow."""
-    order = np.argsort(sizes, kind="stable")
-    ids, sizes, groups, left, right = ids[order], sizes[order], groups[order], left[order], right[order]
-    maps = [maps[k] for k in order]
-    for i in range(0, len(ids), TILE):
-        for j in range(i, len(ids), TILE):
-            if percent * sizes[j] > 100 * sizes[min(i + TILE, len(ids)) - 1]:
+def tile_fits(sizes: np.ndarray, maps: list[bytes], own: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of a group sizes and bit counts allow; with two slices, only pairs over both.
+
+    ``sizes`` ascend. The result is symmetric, with nothing on the diagonal.
+    """
+    n = len(sizes)
+    fits = np.zeros((n, n), bool)
+    over = len(np.unique(own)) > 1
+    for i in range(0, n, TILE):
+        for j in range(i, n, TILE):
+            if percent * sizes[j] > 100 * sizes[min(i + TILE, n) - 1]:
                 break
             p, q = slice(i, i + TILE), slice(j, j + TILE)
-            fits = (percent * sizes[q][None, :] <= 100 * sizes[p][:, None]) & (percent * sizes[p][:, None] <= 100 * sizes[q][None, :])
-            fits &= groups[p][:, None] != groups[q][None, :]
-            fits &= (left[p][:, None] & right[q][None, :]) | (right[p][:, None] & left[q][None, :])
+            some = percent * sizes[q][None, :] <= 100 * sizes[p][:, None]
+            some &= percent * sizes[p][:, None] <= 100 * sizes[q][None, :]
+            if over:
+                some &= own[p][:, None] != own[q][None, :]
             if i == j:
-                fits &= np.triu(np.ones(fits.shape, bool), 1)
-            if not fits.any():
+                np.fill_diagonal(some, False)
+            if not some.any():
                 continue
             width = min(len(m) for m in maps[p] + maps[q]) * 8
-            fits &= possible(folded(maps[p], width), sizes[p], folded(maps[q], width), sizes[q], percent)
-            for x, y in zip(*np.nonzero(fits), strict=True):
-                a, b = int(ids[p][x]), int(ids[q][y])
-                yield (a, b) if a < b else (b, a)
+            some &= possible(folded(maps[p], width), sizes[p], folded(maps[q], width), sizes[q], percent)
+            fits[p, q] |= some
+            fits[q, p] |= some.T
+    return fits
+
+
+def spanning_links(sets: list[np.ndarray], fits: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Exact links that join the same components as all links among the allowed pairs do."""
+    part, links = np.arange(len(sets)), []
+    for i in np.argsort(-fits.sum(axis=1), kind="stable").tolist():
+        for j in np.flatnonzero(fits[i] & (part != part[i])).tolist():
+            if part[j] == part[i]:
+                continue
+            x, y = sets[i], sets[j]
+            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+            both = int((x[at] == y).sum())
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                links.append((i, j))
+                part[part == part[j]] = part[i]
+    return links
 
 
 def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
@@ -174,14 +196,42 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
 
 PACKED = "bucket int, kind int, blob binary"
-MEMBERS = pa.schema([("shingle", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("bits", pa.binary())])
-DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bits", pa.binary())])
+FOUND = pa.schema([("hub", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("bits", pa.binary())])
+FOUND_DDL = "hub long, class long, n long, doc_id long, digest binary, bits binary"
+DOCUMENTS = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("bits", pa.binary())])
+
+
+def packed_prefixes(key: np.ndarray, cls: np.ndarray, n: np.ndarray) -> bytes:
+    """Rows of a bucket, sorted by key: the keys' lower 40 bits as differences, classes and sizes, compressed."""
+    low = key & _U((1 << 40) - 1)
+    step = np.diff(low, prepend=_U(0))
+    raw = [step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, k].tobytes() for k in range(5)] + [cls.astype("<i8").tobytes(), n.astype("<u4").tobytes()]
+    return len(key).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
+
 
+def unpacked_prefixes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = int.from_bytes(blob[:4], "little")
+    raw = zstandard.ZstdDecompressor().decompress(blob[4:])
+    step = np.zeros((size, 8), np.uint8)
+    step[:, :5] = np.frombuffer(raw, np.uint8, 5 * size).reshape(5, size).T
+    key = np.cumsum(step.view("<u8").reshape(-1), dtype=np.uint64)
+    return key, np.frombuffer(raw, "<i8", size, 5 * size), np.frombuffer(raw, "<u4", size, 13 * size).astype(np.int64)
 
-def prefixes_and_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """One table: per document its set's size, digest and bitmap (shingle null), and per prefix shingle the classes in it that may link.
 
-    Of copies that are read together only the first has a bitmap.
+def as_blob(rows: list[tuple]) -> bytes:
+    """Documents of one batch as an Arrow stream, which passes through the shuffle as it is."""
+    part = next(batches(rows, DOCUMENTS, 1 << 20))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, part.schema) as writer:
+        writer.write_batch(part)
+    return sink.getvalue().to_pybytes()
+
+
+def groups_and_documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """One table: per document its set's class, size, digest and bitmap (hub null), and the classes of each hub.
+
+    Of copies that are read together only the first has a bitmap. A hub's
+    classes may repeat.
     """
     spark = docs.sparkSession
     n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -190,32 +240,31 @@ def prefixes_and_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
         for part in parts:
-            for k in range(0, part.num_rows, 2_048):
-                piece = part.slice(k, 2_048)
-                docs_at, keys, classes, sizes, seen = [], [], [], [], set()
+            for k in range(0, part.num_rows, 4_096):
+                piece = part.slice(k, 4_096)
+                rows, keys, classes, sizes, seen = [], [], [], [], set()
                 for doc_id, raw in zip(packed_ids(piece.column(0)).tolist(), binary_texts(piece.column(1)), strict=True):
                     s = shingle_set(raw, words)
                     c, digest = class_of(s)
                     new = len(s) > 0 and digest not in seen and doc_id != NULL_ID
-                    docs_at.append((None if doc_id == NULL_ID else doc_id, len(s), digest, bitmap(s) if new else None))
+                    rows.append((c, len(s), None if doc_id == NULL_ID else doc_id, digest, bitmap(s) if new else None))
                     if new:
                         seen.add(digest)
                         keys.append(prefix(s, common.value, percent))
                         classes.append(c)
                         sizes.append(len(s))
-                rows = [(int.from_bytes(docs_at[0][2][:4], "little") % n_buckets, 0, as_blob(docs_at))] if docs_at else []
+                out = [(int.from_bytes(rows[0][3][:4], "little") % n_buckets, 0, as_blob(rows))] if rows else []
                 if keys:
-                    many = [len(x) for x in keys]
                     key = np.concatenate(keys)
-                    of = np.repeat(np.arange(len(keys)), many)
-                    bucket = (key >> _U(32)).astype(np.int64) % n_buckets
-                    order = np.lexsort((key, bucket))
+                    of = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+                    bucket = (key >> _U(40)).astype(np.int64) % n_buckets
+                    order = np.lexsort((key & _U((1 << 40) - 1), bucket))
                     cut = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-                    c, n = np.array(classes, "<i8"), np.array(sizes, "<i4")
+                    c, n = np.array(classes, np.int64), np.array(sizes, np.int64)
                     for a, b in zip(cut[:-1], cut[1:], strict=True):
                         pick = order[a:b]
-                        rows.append((int(bucket[pick[0]]), 1, key[pick].tobytes() + c[of[pick]].tobytes() + n[of[pick]].tobytes()))
-                yield from batches(rows, schema, 1 << 20)
+                        out.append((int(bucket[pick[0]]), 1, packed_prefixes(key[pick], c[of[pick]], n[of[pick]])))
+                yield from batches(out, schema, 1 << 20)
 
     def receive(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
@@ -223,8 +272,7 @@ def prefixes_and_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for bucket, kind, blob in zip(*[c.to_pylist() for c in part.columns], strict=True):
                 if kind == 0:
                     rows = pa.ipc.open_stream(blob).read_next_batch()
-                    null = pa.nulls(rows.num_rows, pa.int64())
-                    yield pa.RecordBatch.from_arrays([null, null, rows["n"], rows["doc_id"], rows["digest"], rows["bits"]], schema=MEMBERS)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(rows.num_rows, pa.int64()), *rows.columns], schema=FOUND)
                     continue
                 if bucket != at and held:
                     yield meeting(held, percent)
@@ -235,120 +283,116 @@ def prefixes_and_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             yield meeting(held, percent)
 
     packed = docs.mapInArrow(send, PACKED).repartition(n_buckets // 4, "bucket").sortWithinPartitions("bucket")
-    return materialize(packed.mapInArrow(receive, "shingle long, class long, n long, doc_id long, digest binary, bits binary"), "prefixes")
-
-
-def as_blob(rows: list[tuple]) -> bytes:
-    """Documents of one batch as an Arrow stream, which passes through the shuffle as it is."""
-    part = next(batches(rows, DOCUMENTS, 1 << 20))
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, part.schema) as writer:
-        writer.write_batch(part)
-    return sink.getvalue().to_pybytes()
+    return materialize(packed.mapInArrow(receive, FOUND_DDL), "hubs-and-documents")
 
 
 def meeting(blobs: list[bytes], percent: int) -> pa.RecordBatch:
-    """Members of a bucket that share their shingle with another class of a fitting size."""
-    sizes = [len(x) // 20 for x in blobs]
-    key = np.concatenate([np.frombuffer(x, "<u8", s) for x, s in zip(blobs, sizes, strict=True)])
-    cls = np.concatenate([np.frombuffer(x, "<i8", s, 8 * s) for x, s in zip(blobs, sizes, strict=True)])
-    n = np.concatenate([np.frombuffer(x, "<i4", s, 16 * s) for x, s in zip(blobs, sizes, strict=True)])
+    """Hub and class of a bucket's members that share a shingle with another class of a fitting size.
+
+    The lower 40 bits of a hash stand for it within its bucket; where two
+    shingles agree in them, a group has classes too many, which leave later.
+    """
+    key, cls, n = (np.concatenate(x) for x in zip(*map(unpacked_prefixes, blobs), strict=True))
     order = np.lexsort((cls, n, key))
     key, cls, n = key[order], cls[order], n[order]
     fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])))
-    key, cls, n = key[fresh], cls[fresh], n[fresh].astype(np.int64)
+    key, cls, n = key[fresh], cls[fresh], n[fresh]
     near = (key[1:] == key[:-1]) & (percent * n[1:] <= 100 * n[:-1])
     keep = np.concatenate((near, [False])) | np.concatenate(([False], near))
-    size = int(keep.sum())
-    columns = [pa.array(key[keep].view(np.int64)), pa.array(cls[keep]), pa.array(n[keep]), pa.nulls(size, pa.int64())]
-    return pa.RecordBatch.from_arrays([*columns, pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary())], schema=MEMBERS)
-
-
-def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose bit counts allow a link."""
-
-    def bound(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            a, b, n_a, n_b, m_a, m_b = [c.to_pylist() for c in part.columns]
-            keep = []
-            for i in range(len(a)):
-                width = min(len(m_a[i]), len(m_b[i])) * 8
-                keep.append(bool(possible(folded([m_a[i]], width), np.array([n_a[i]]), folded([m_b[i]], width), np.array([n_b[i]]), percent)[0, 0]))
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    key, cls = key[keep], cls[keep]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    hub = np.repeat(np.minimum.reduceat(cls, first), np.diff(np.concatenate((first, [len(key)])))) if len(key) else cls
+    pairs = np.unique(np.stack((hub, cls), axis=1), axis=0)
+    null = pa.nulls(len(pairs), pa.int64())
+    empty = pa.nulls(len(pairs), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), null, null, empty, empty], schema=FOUND)
+
+
+def grouped(parts: Iterator[pa.RecordBatch], key: int) -> Iterator[list[tuple]]:
+    """Runs of rows that agree in the first ``key`` columns, over batch ends."""
+    at, held = None, []
+    for part in parts:
+        for row in zip(*[c.to_pylist() for c in part.columns], strict=True):
+            if row[:key] != at and held:
+                yield held
+                held = []
+            at = row[:key]
+            held.append(row)
+    if held:
+        yield held
+
+
+def with_partner(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """hub, x, y, own, rep, digest of the classes that have a partner within the bound.
+
+    A group of more than SLICE classes is cut into slices, and a task gets two
+    slices of it (x, y); ``own`` is the slice of a class.
+    """
+    sizes = materialize(groups.groupBy("hub").agg(F.count("*").alias("m")).where("m > 1").select("hub", F.ceil(F.col("m") / SLICE).cast("int").alias("slices")), "group-sizes")
+    kept = groups.join(sizes, "hub").withColumn("own", F.pmod(F.xxhash64("class"), F.col("slices")).cast("int"))
+    spread = kept.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    tiles = spread.select("hub", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class")
+    whole = tiles.join(classes.select("class", "rep", "digest", "n", "bits"), "class").select("hub", "x", "y", "own", "rep", "digest", "n", "bits")
 
-    side = lambda name: classes.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
-    whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-    return whole.mapInArrow(bound, "a long, b long").distinct()
+    def mark(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("hub", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("own", pa.int32()), ("rep", pa.int64()), ("digest", pa.binary())])
+        for rows in grouped(parts, 3):
+            rows.sort(key=lambda r: r[6])
+            fits = tile_fits(np.array([r[6] for r in rows], np.int64), [r[7] for r in rows], np.array([r[3] for r in rows]), percent)
+            yield from batches((rows[k][:6] for k in np.flatnonzero(fits.any(axis=1))), schema)
 
+    dealt = whole.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y")
+    return materialize(dealt.mapInArrow(mark, "hub long, x int, y int, own int, rep long, digest binary"), "possible-partners")
 
-def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the written pairs (a, b) that link, by the sorted sets of their classes.
 
-    The sets are made anew from the texts, for classes in a pair only. An id
-    with several texts may stand for several classes, and any of them may link.
-    """
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    wanted = materialize(wanted.join(classes.select("rep", "digest"), "rep").withColumnRenamed("rep", "doc_id"), "wanted-sets")
+#: Bits of the filter that texts pass before they are shuffled; its size is the same for every input.
+FILTER_BITS = 1 << 23
 
-    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            found = ((d, shingle_set(raw, words), e) for d, raw, e in zip(part.column(0).to_pylist(), binary_texts(part.column(1)), part.column(2).to_pylist(), strict=True))
-            yield from batches(((d, s.tobytes()) for d, s, e in found if class_of(s)[1] == e), pa.schema([("rep", pa.int64()), ("shingles", pa.binary())]), 512)
 
-    made = texts.join(wanted, "doc_id").select("doc_id", "text", "digest").mapInArrow(sets, "rep long, shingles binary")
-    made = materialize(made, "shingle-sets")
+def only_these(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts whose id may be among ``ids``: those with the bit of their hash set in a filter of fixed size."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = ids.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 32).alias("w")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(s % 32 as int)))").alias("bits")).collect()  # at most FILTER_BITS / 32 rows
+    filter_ = np.zeros(FILTER_BITS // 32, np.uint32)
+    for r in words:
+        filter_[r["w"]] = r["bits"]
+    shared = texts.sparkSession.sparkContext.broadcast(filter_)
 
-    def exact(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            keep = []
-            for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            s = part.column(2).to_numpy()
+            hit = (shared.value[s // 32] >> (s % 32).astype(np.uint32)) & np.uint32(1)
+            yield part.select(["doc_id", "text"]).filter(pa.array(hit.astype(bool)))
 
-    side = lambda name: made.select(F.col("rep").alias(name), F.col("shingles").alias(f"set_{name}"))
-    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
-    return materialize(full.mapInArrow(exact, "a long, b long"), "links")
+    return texts.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(keep, "doc_id long, text string")
 
 
-def apart_pairs(groups: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of a group (hub, rep) in different components that size and bit counts allow.
+def exact_links(texts: DataFrame, marked: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that join what is linked in each group, by the sorted sets of the marked classes.
 
-    A large group is cut into slices, and a task gets two slices of it, or
-    the one there is of at most SLICE classes.
+    The sets are made from the texts in the task that needs them: a text
+    packs better than its hashes. An id with several texts may stand for
+    several classes; the digest tells which text is meant.
     """
-    named = groups.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    named = materialize(named.select("hub", "rep", "component"), "labelled-groups")
-    open_ = named.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-    open_ = materialize(open_.select("hub", F.ceil(F.col("m") / SLICE).cast("int").alias("slices")), "open-groups")
-    kept = named.join(open_, "hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
-    spread = kept.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    tiles = spread.select("hub", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "component")
-    whole = tiles.join(classes.select("rep", "n", "bits"), "rep").select("hub", "x", "y", "own", "rep", "component", "n", "bits")
-
-    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tile(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-            x, y = rows[0][1:3]
-            own, ids, components, sizes = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
-            return tile_pairs(ids, sizes, [r[7] for r in rows], components, percent, own == x, own == y)
+    some = only_these(texts, marked.select(F.col("rep").alias("doc_id")).distinct())
+    whole = some.join(marked.withColumnRenamed("rep", "doc_id"), "doc_id").select("hub", "x", "y", "own", "doc_id", "digest", "text")
 
+    def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[int, int]]:
-            at, held = None, []
-            for part in parts:
-                for row in zip(*[c.to_pylist() for c in part.columns], strict=True):
-                    if row[:3] != at:
-                        if len(held) > 1:
-                            yield from set(tile(held))
-                        at, held = row[:3], []
-                    held.append(row)
-            if len(held) > 1:
-                yield from set(tile(held))
+            for held in grouped(parts, 3):
+                made = ((r[4], r[3], shingle_set((r[6] or "").encode(), words), r[5]) for r in held)
+                found = sorted((r for r in made if class_of(r[2])[1] == r[3]), key=lambda r: len(r[2]))
+                sets = [r[2] for r in found]
+                fits = tile_fits(np.array([len(s) for s in sets], np.int64), [bitmap(s) for s in sets], np.array([r[1] for r in found]), percent)
+                for i, j in spanning_links(sets, fits, percent):
+                    a, b = found[i][0], found[j][0]
+                    yield (a, b) if a < b else (b, a)
 
         yield from batches(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     dealt = whole.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return materialize(dealt.mapInArrow(verify, "a long, b long"), "links")
 
 
 def near_copies(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -361,38 +405,20 @@ def near_copies(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT)
     not read.
     """
     texts = narrow(docs, "doc_id", "text")
-    table = prefixes_and_sets(texts, words, percent)
-    documents = table.where("shingle is null").select("doc_id", "n", "digest", "bits")
-    classes = documents.where("doc_id is not null and n > 0").groupBy("digest").agg(
+    table = groups_and_documents(texts, words, percent)
+    documents = table.where("hub is null").select("doc_id", "n", "class", "digest", "bits")
+    classes = documents.where("doc_id is not null and n > 0").groupBy("class", "digest").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("bits").alias("bits"))
     classes = materialize(classes, "classes")
-    by_number = classes.select(class_number("digest").alias("class"), "rep")
-    members = materialize(table.where("shingle is not null").select("shingle", "class", "n").join(by_number, "class").select("shingle", "rep", "n"), "members")
-    hubs = materialize(members.groupBy("shingle").agg(F.min(F.struct("rep", "n")).alias("hub")), "hubs")
-    met = members.join(hubs, "shingle").select(F.col("hub.rep").alias("hub"), F.col("hub.n").alias("n_hub"), "rep", "n")
-    groups = materialize(met.distinct(), "groups")
-    fits = (F.col("hub") != F.col("rep")) & (percent * F.greatest("n", "n_hub") <= 100 * F.least("n", "n_hub"))
-    spokes = groups.where(fits).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    tried = materialize(bounded(spokes, classes, percent), "hub-pairs")
-    first = verified(tried, texts, classes, words, percent)
-    labels = connected_components(first)
-    apart = materialize(apart_pairs(groups, classes, labels, percent).join(tried, ["a", "b"], "left_anti"), "apart-pairs")
-    second = verified(apart, texts, classes, words, percent)
-    components = connected_components(first.union(second)).withColumnRenamed("v", "rep")
+    groups = materialize(table.where("hub is not null").select("hub", "class").distinct(), "groups")
+    links = exact_links(texts, with_partner(groups, classes, percent), words, percent)
+    components = connected_components(links).withColumnRenamed("v", "rep")
     named = materialize(classes.join(components, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "components")
     joined = documents.join(named, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def class_number(digest: str):
-    """The 64 bits of ``class_of`` from its 128, in SQL: the first eight bytes, little endian."""
-    swapped = F.concat(*[F.substring(F.hex(digest), 2 * k + 1, 2) for k in range(7, -1, -1)])
-    high = F.conv(F.substring(swapped, 1, 8), 16, 10).cast("bigint")
-    low = F.conv(F.substring(swapped, 9, 8), 16, 10).cast("bigint")
-    return F.shiftleft(high, 32).bitwiseOR(low)
-
-
 def keep_one_of_each(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The document with the smallest id of each component, all columns as they were.
 

@@ -81,6 +81,15 @@ def test_bit_counts_never_miss():
             assert allowed or 100 * both < 80 * (len(a) + len(b) - both)
 
 
+def test_packed_prefixes():
+    rng = np.random.default_rng(2)
+    key = rng.integers(0, 2**64, 500, dtype=np.uint64)
+    key = key[np.argsort(key & np.uint64(2**40 - 1))]
+    cls, n = rng.integers(-(2**63), 2**63, 500), rng.integers(1, 10**6, 500)
+    got = jaccard.unpacked_prefixes(jaccard.packed_prefixes(key, cls, n))
+    assert (got[0] == (key & np.uint64(2**40 - 1))).all() and (got[1] == cls).all() and (got[2] == n).all()
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 300), (300, 250)]
     got = {tuple(r) for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
