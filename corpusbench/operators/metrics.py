@@ -115,6 +115,22 @@ def metrics_from_histogram(parts: DataFrame, by: list[str], threshold: float = 0
     return _from_hist(hist, by, threshold, True, bounded)
 
 
+def fpr_operating_point(df: DataFrame, by: list[str], target: float, prob: str = "prob", label: str = "label") -> DataFrame:
+    """The least threshold whose false positive rate is at most ``target``, with that rate and the recall there.
+
+    A threshold flags the scores at or above it. Where even the highest score
+    flags too many reals, threshold and rate are null and the recall is 0.
+    """
+    hist = cumulate(score_histogram(df, by, prob, label), by)
+    totals = hist.groupBy(*by).agg(F.sum("pos").alias("n_fake"), F.sum("neg").alias("n_real"))
+    joined = join_groups(hist, totals, by) if by else hist.withColumn("_t", totals.select(F.struct("n_fake", "n_real")).scalar()).select("*", "_t.*")
+    ok = F.when(F.col("cneg") <= F.lit(target) * F.col("n_real"), F.struct((-F.col("score")).alias("order"), "score", "cpos", "cneg"))
+    best = joined.groupBy(*by).agg(F.max(ok).alias("b"), F.first("n_fake").alias("n_fake"), F.first("n_real").alias("n_real"))
+    return best.select(*by, "n_fake", "n_real", F.col("b.score").alias("threshold"),
+                       (F.col("b.cneg") / F.greatest(F.lit(1), F.col("n_real"))).alias("fpr"),
+                       (F.coalesce(F.col("b.cpos"), F.lit(0)) / F.greatest(F.lit(1), F.col("n_fake"))).alias("recall"))
+
+
 def rounded(df: DataFrame, digits: int = 6, skip: tuple[str, ...] = ()) -> DataFrame:
     """Round double columns, because sums run in another order on every plan."""
     return df.select(*[

@@ -115,13 +115,21 @@ def largest_remainder(df: DataFrame, by: list[str], weight: str, slots: str, ord
         (place <= left) & (F.sum("_raw").over(group) > 0), 1).otherwise(0)).cast("long")).drop("_raw", "_whole")
 
 
-def epoch_seed(seed: int, epoch: int, worker: int = 0, step: int = 0) -> int:
-    return seed + epoch + worker * 1009 + max(0, step)
+# Fixed value: how far the seeds of epochs, and of workers, are apart.
+SEED_STEP = 1009
 
 
-def epoch_shuffle(df: DataFrame, seed: int, epoch: int, key: str, worker: int = 0, step: int = 0) -> DataFrame:
-    """A new order per epoch (pass), worker and resume step: a distributed sort by seeded draws."""
-    mixed = epoch_seed(seed, epoch, worker, step)
+def epoch_seed(seed: int, epoch: int, worker: int = 0, step: int = 0, round_: int = 0) -> str:
+    """Seed of an order: the worker's part, then that of epoch, round in the epoch and resume step.
+
+    The parts are kept apart, so no worker meets another one's epoch.
+    """
+    return f"{seed + worker * SEED_STEP}.{epoch * SEED_STEP + round_ + max(0, step)}"
+
+
+def epoch_shuffle(df: DataFrame, seed: int, epoch: int, key: str, worker: int = 0, step: int = 0, round_: int = 0) -> DataFrame:
+    """A new order per epoch, round, worker and resume step: a distributed sort by seeded draws."""
+    mixed = epoch_seed(seed, epoch, worker, step, round_)
     return df.withColumn("u", uniform(mixed, F.col(key))).orderBy("u", key)
 
 

@@ -394,3 +394,15 @@ def linear_probe_fit(spark, sf):
     gradient = probe_gradient(model, emb.where(~hold), "embedding", "y")
     flat = gradient.agg(F.count_if(F.abs("gradient") < 0.0005).alias("converged")).scalar()
     return M.metrics(scored).select("n", "n_fake", "n_real", flat.alias("converged"), (F.col("auroc") > 0.5).alias("better_than_chance"))
+
+
+@query("fpr_operating_point", oracle("""
+    with c as (select generator, prob, count(*) filter (where label = 1) as p, count(*) filter (where label = 0) as n from scored_big group by all),
+         h as (select generator, prob, sum(p) over w as tp, sum(n) over w as fp from c window w as (partition by generator order by prob desc)),
+         g as (select generator, sum(p)::bigint as n_fake, sum(n)::bigint as n_real from c group by all)
+    select g.generator, n_fake, n_real, min(h.prob) as threshold, round(max(h.fp) / greatest(1, n_real), 6) as fpr,
+           round(coalesce(max(h.tp), 0) / greatest(1, n_fake), 6) as recall
+    from g left join h on h.generator = g.generator and h.fp <= 0.01 * n_real group by g.generator, n_fake, n_real""", "scored_big"))
+def fpr_operating_point(spark, sf):
+    """Threshold and recall at a false positive rate of at most one percent."""
+    return M.rounded(M.fpr_operating_point(fx.scored_big(spark, sf), ["generator"], 0.01))

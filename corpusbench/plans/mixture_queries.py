@@ -135,11 +135,11 @@ def largest_remainder(spark, sf):
 
 
 @query("epoch_shuffle", f"""
-    select event_id, row_number() over (order by {u('1052', 'event_id')}, event_id) as place from events""")
+    select event_id, row_number() over (order by {u('1049.3027', 'event_id')}, event_id) as place from events""")
 def epoch_shuffle(spark, sf):
-    """Seed 40, epoch 3, worker 1: the place of every row in its seeded order."""
+    """Seed 40 + 1009 of worker 1, epoch 3 * 1009: the place of every row in its seeded order."""
     df = fx.table(spark, sf, "events").select("event_id")
-    return seeded_row_number(df, [], str(X.epoch_seed(40, 3, worker=1)), "event_id", out="place")
+    return seeded_row_number(df, [], X.epoch_seed(40, 3, worker=1), "event_id", out="place")
 
 
 BATCH = 64
