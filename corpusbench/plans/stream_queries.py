@@ -72,6 +72,30 @@ def stream_model_caps(spark, sf):
     return spark.read.schema(T.CAP_FIELDS).parquet(out).select(F.col("key").alias("model"), "shard", "pos")
 
 
+_OWN_CAPS = "(values ('m1', 5), ('m2', 0), ('m3', null), ('m4', 60), ('m5', 1)) as caps(model, cap)"
+
+
+@query("stream_own_caps", oracle(f"""
+    select model, shard, pos, reached from (
+        select s.model, shard, pos, row_number() over (partition by s.model order by shard, pos) as rn, coalesce(cap, 20) as cap,
+               case when coalesce(cap, 20) > 0 then count(*) over (partition by s.model) >= coalesce(cap, 20) else false end as reached
+        from shards s join {_OWN_CAPS} on caps.model = s.model where label = 'fake')
+    where cap = 0 or rn <= cap""", "shards"))
+def stream_own_caps(spark, sf):
+    """A cap for each wanted model, 20 where none is named, 0 for all rows; ``reached`` is the ledger's stop rule."""
+    caps = {"m1": 5, "m2": 0, "m3": None, "m4": 60, "m5": 1}
+    src = fx.shards(spark, sf).where("label = 'fake'").select(
+        F.col("model").alias("key"), "shard", "pos", F.lit("").alias("row"))
+    path, out, state = (scratch(spark, n) for n in ("arriving", "capped", "capped-checkpoint"))
+    for part in ("shard < 50", "shard >= 50"):
+        src.where(part).write.mode("append").parquet(path)
+        stream = T.shard_stream(spark, path, src.schema, per_trigger=None)
+        T.run_to_files(T.capped_by_key(stream, caps, default=20), "own-caps", checkpoint=state, out=out)
+    taken = spark.read.schema(T.CAP_FIELDS).parquet(out).select(F.col("key").alias("model"), "shard", "pos")
+    ledger = T.cap_ledger(taken, caps, default=20)
+    return taken.join(F.broadcast(ledger.select("model", "reached")), "model")
+
+
 @query("stream_running_metrics", oracle("""
     select event_id // 1000 as block, count(*) as n, count(*) filter (where (prob >= 0.5)::int = label) as correct,
            round(count(*) filter (where (prob >= 0.5)::int = label) / count(*)::double, 6) as accuracy, round(avg(prob), 6) as mean_p

@@ -62,26 +62,35 @@ def running_counts(stream: DataFrame, seq: str, every: int, threshold: float = 0
 CAP_FIELDS = "key string, shard long, pos string, row string"
 
 
-def capped_by_key(stream: DataFrame, cap: int) -> DataFrame:
-    """First ``cap`` rows per key over the whole stream, by a carried count.
-
-    ``stream`` has ``key, shard, pos, row``. Only a count is kept per key.
-    Rows of one trigger are taken in (shard, pos) order. Every task first
-    keeps its own ``cap`` earliest rows per key, so a key that fills a third
-    of the stream sends ``cap`` rows per task to its state, not its rows.
+def capped_by_key(stream: DataFrame, cap: int | dict[str, int | None], default: int = 0) -> DataFrame:
+    """First rows per key over the whole stream, by a carried count.
+
+    ``cap`` is one number for all keys, or a number per wanted key; other
+    keys are then dropped. A null cap takes ``default``, and 0 means
+    uncapped. ``stream`` has ``key, shard, pos, row``. Only a count is kept
+    per key. Rows of one trigger are taken in (shard, pos) order. Every task
+    first keeps its own earliest rows per key, so a key that fills a third of
+    the stream sends its cap of rows per task to its state, not its rows.
     """
 
+    def limit(key: str) -> int:
+        n = cap if isinstance(cap, int) else (default if cap[key] is None else cap[key])
+        return n or 2**62
+
+    if isinstance(cap, dict):
+        stream = stream.where(F.col("key").isin(list(cap)))
+
     def earliest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: pd.DataFrame | None = None
         for pdf in batches:
-            both = pdf if best is None else pd.concat([best, pdf])
-            best = both.sort_values(["shard", "pos"], kind="stable").groupby("key", sort=False).head(cap)
+            both = (pdf if best is None else pd.concat([best, pdf])).sort_values(["shard", "pos"], kind="stable")
+            best = both[both.groupby("key", sort=False).cumcount() < both["key"].map(limit)]
         if best is not None:
             yield best
 
     def take(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         used = state.get[0] if state.exists else 0
-        room = cap - used
+        room = limit(key[0]) - used
         best: pd.DataFrame | None = None
         if room > 0:
             for pdf in batches:
@@ -96,6 +105,19 @@ def capped_by_key(stream: DataFrame, cap: int) -> DataFrame:
         timeoutConf=GroupStateTimeout.NoTimeout)
 
 
+def cap_ledger(taken: DataFrame, cap: dict[str, int | None], default: int = 0) -> DataFrame:
+    """One row per wanted key: its cap, the rows taken, and whether the cap is reached.
+
+    A run may stop when all are ``reached``; an uncapped key never is.
+    """
+    rows = [(k, default if v is None else v) for k, v in cap.items()]
+    wanted = taken.sparkSession.createDataFrame(rows, "model string, cap long")
+    counts = taken.groupBy("model").agg(F.count("*").alias("taken"))
+    n = F.coalesce("taken", F.lit(0))
+    return wanted.join(counts, "model", "left").select(
+        "model", "cap", n.alias("taken"), ((F.col("cap") > 0) & (n >= F.col("cap"))).alias("reached"))
+
+
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
     """Prediction records of an interrupted run; a torn last line is skipped."""
     raw = spark.read.schema("image_path string, pred double, _torn string").option(
