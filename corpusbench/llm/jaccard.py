@@ -350,7 +350,7 @@ FILTER_BITS = 1 << 23
 
 
 def only_these(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts whose id may be among ``ids``: those with the bit of their hash set in a filter of fixed size."""
+    """Compressed texts whose id may be among ``ids``: those with the bit of their hash set in a filter of fixed size."""
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     words = ids.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 32).alias("w")).agg(
         F.expr("bit_or(shiftleft(1L, cast(s % 32 as int)))").alias("bits")).collect()  # at most FILTER_BITS / 32 rows
@@ -363,9 +363,11 @@ def only_these(texts: DataFrame, ids: DataFrame) -> DataFrame:
         for part in parts:
             s = part.column(2).to_numpy()
             hit = (shared.value[s // 32] >> (s % 32).astype(np.uint32)) & np.uint32(1)
-            yield part.select(["doc_id", "text"]).filter(pa.array(hit.astype(bool)))
+            some = part.filter(pa.array(hit.astype(bool)))
+            pack = zstandard.ZstdCompressor(level=3).compress
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(map(pack, binary_texts(some.column(1))), pa.binary())], names=["doc_id", "packed"])
 
-    return texts.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(keep, "doc_id long, text string")
+    return texts.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(keep, "doc_id long, packed binary")
 
 
 def exact_links(texts: DataFrame, marked: DataFrame, words: int, percent: int) -> DataFrame:
@@ -376,12 +378,13 @@ def exact_links(texts: DataFrame, marked: DataFrame, words: int, percent: int) -
     several classes; the digest tells which text is meant.
     """
     some = only_these(texts, marked.select(F.col("rep").alias("doc_id")).distinct())
-    whole = some.join(marked.withColumnRenamed("rep", "doc_id"), "doc_id").select("hub", "x", "y", "own", "doc_id", "digest", "text")
+    whole = some.join(marked.withColumnRenamed("rep", "doc_id"), "doc_id").select("hub", "x", "y", "own", "doc_id", "digest", "packed")
 
     def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[int, int]]:
+            unpack = zstandard.ZstdDecompressor().decompress
             for held in grouped(parts, 3):
-                made = ((r[4], r[3], shingle_set((r[6] or "").encode(), words), r[5]) for r in held)
+                made = ((r[4], r[3], shingle_set(unpack(r[6]), words), r[5]) for r in held)
                 found = sorted((r for r in made if class_of(r[2])[1] == r[3]), key=lambda r: len(r[2]))
                 sets = [r[2] for r in found]
                 fits = tile_fits(np.array([len(s) for s in sets], np.int64), [bitmap(s) for s in sets], np.array([r[1] for r in found]), percent)
