@@ -217,7 +217,18 @@ def k_clean(x: Column, key: Column) -> Column:
 
 
 def k_linear(rows: Matrix, cols: Matrix | None = None) -> Callable:
-    return lambda x, key: F.transform(separable(x, rows, cols or rows), lambda v: clamp(v))
+    """A kernel of two matrices. One that averages, so never leaves [0, 1], carries them as ``averages``."""
+    def run(x: Column, key: Column) -> Column:
+        return F.transform(separable(x, rows, cols or rows), lambda v: clamp(v))
+
+    if all(v >= 0 for m in (rows, cols or rows) for row in m for v in row):
+        run.averages = (rows, cols or rows)
+    return run
+
+
+def folded_weights(weights: Column, rows: Matrix, cols: Matrix) -> Column:
+    """Weights whose dot product with a grid is that of ``weights`` with the averaged grid."""
+    return separable(weights, [list(r) for r in zip(*rows)], [list(c) for c in zip(*cols)])
 
 
 def k_noise(sigma: float, seed: str) -> Callable:

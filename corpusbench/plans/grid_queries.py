@@ -185,14 +185,21 @@ def kernel_scores(spark, sf, names: list[str]) -> DataFrame:
     """Score of every row under every named kernel.
 
     Each kernel is applied and scored inside one projection; only the scores
-    are exploded, so grids are never repeated or shuffled.
+    are exploded, so grids are never repeated or shuffled. An averaging kernel
+    is folded into the weights once, and its score is plain arithmetic.
     """
     df = fx.pixel_grid(spark, sf)
-    w = mean_difference_weights(df, "grid", "label")
+    averages = {n: getattr(G.kernel(n), "averages", None) for n in names}
+    folds = [G.folded_weights(F.col("w"), *m).alias(f"f{i}") for i, n in enumerate(names) if (m := averages[n])]
+    w = mean_difference_weights(df, "grid", "label").select(F.struct("w", *folds).alias("w"))
     rows = df.withColumn("w", w.scalar())
     for i, n in enumerate(names):
-        rows = rows.withColumn(f"s{i}", sigmoid(F.lit(2.0) * dot(
-            G.kernel(n)(F.col("grid"), F.col("id")), F.col("w"))))
+        if averages[n]:
+            terms = [F.get("grid", k) * F.get(F.col(f"w.f{i}"), k) for k in range(G.SIZE * G.SIZE)]
+            logit = sum(terms[1:], terms[0])
+        else:
+            logit = dot(G.kernel(n)(F.col("grid"), F.col("id")), F.col("w.w"))
+        rows = rows.withColumn(f"s{i}", sigmoid(F.lit(2.0) * logit))
     scores = F.array(*[F.struct(F.lit(n).alias("condition"), F.round(f"s{i}", 6).alias("prob")) for i, n in enumerate(names)])
     return rows.select("id", "label", F.inline(scores))
 
