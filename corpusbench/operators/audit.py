@@ -82,11 +82,13 @@ def meta_index(shards: DataFrame, sampled: DataFrame, all_shards: DataFrame, sha
 
 
 def file_inventory(files: DataFrame, by: str, top: int = 12) -> DataFrame:
-    """Files and bytes per folder and its ``top`` largest files (length, path), largest first."""
+    """Files and bytes per folder, the largest length, and the ``top`` largest files (length, path) in ``top_files``, largest first."""
     totals = files.groupBy(by).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
     big = top_per_group(files, [by], [F.desc("length"), "path"], top)
     listed = F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("order"), "path", "length")))
-    lists = big.groupBy(by).agg(F.transform(listed, lambda x: F.struct(x["length"].alias("length"), x["path"].alias("path"))).alias("largest"))
+    lists = big.groupBy(by).agg(
+        F.max("length").alias("largest"), F.count("*").alias("listed"),
+        F.transform(listed, lambda x: F.struct(x["length"].alias("length"), x["path"].alias("path"))).alias("top_files"))
     return join_groups(totals, lists, [by])
 
 

@@ -164,7 +164,8 @@ def materialize_slice(spark, sf):
 @query("file_inventory", """
     with f as (select 'lang=' || lang as folder, sum(strlen(replace(text, chr(10), ' ')) + 1)::bigint as bytes from documents group by lang, doc_id % 16),
          r as (select *, row_number() over (partition by folder order by bytes desc) as place from f)
-    select folder, count(*) as files, sum(bytes)::bigint as bytes, string_agg(bytes::varchar, ' ' order by bytes desc) filter (where place <= 12) as largest
+    select folder, count(*) as files, sum(bytes)::bigint as bytes, max(bytes) as largest, count(*) filter (where place <= 12) as listed,
+           string_agg(bytes::varchar, ' ' order by bytes desc) filter (where place <= 12) as top_files
     from r group by folder""")
 def file_inventory(spark, sf):
     """Files, bytes and the largest files per folder of a written corpus; contents are not read."""
@@ -174,5 +175,5 @@ def file_inventory(spark, sf):
     from corpusbench.sources.files import list_files
 
     files = list_files(spark, path, ["txt"]).withColumn("folder", F.regexp_extract("path", "/([^/]+)/[^/]+/[^/]+$", 1))
-    sizes = F.array_join(F.transform("largest", lambda x: x["length"].cast("string")), " ")
-    return A.file_inventory(files, "folder").withColumn("largest", sizes)
+    sizes = F.array_join(F.transform("top_files", lambda x: x["length"].cast("string")), " ")
+    return A.file_inventory(files, "folder").withColumn("top_files", sizes)
