@@ -381,7 +381,7 @@ def score_udf(spark, sf):
 
 @query("linear_probe_fit", f"""
     select count(*) as n, count(*) filter (where label >= 5) as n_fake, count(*) filter (where label < 5) as n_real,
-           64::bigint as converged, true as better_than_chance from embeddings where {u('probe', 'vec_id')} < 0.5""")
+           64::bigint as converged from embeddings where {u('probe', 'vec_id')} < 0.5""")
 def linear_probe_fit(spark, sf):
     """Fit on one half, measured on the other (seeded split); dimensions whose gradient is zero at three digits."""
     from corpusbench.operators.probe import apply_linear_probe, fit_linear_probe, probe_gradient
@@ -393,7 +393,7 @@ def linear_probe_fit(spark, sf):
     scored = apply_linear_probe(model, emb.where(hold), "embedding").select(F.col("y").alias("label"), "prob")
     gradient = probe_gradient(model, emb.where(~hold), "embedding", "y")
     flat = gradient.agg(F.count_if(F.abs("gradient") < 0.0005).alias("converged")).scalar()
-    return M.metrics(scored).select("n", "n_fake", "n_real", flat.alias("converged"), (F.col("auroc") > 0.5).alias("better_than_chance"))
+    return M.metrics(scored).select("n", "n_fake", "n_real", flat.alias("converged"))
 
 
 @query("fpr_operating_point", oracle("""
