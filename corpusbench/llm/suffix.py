@@ -165,8 +165,8 @@ def pieces_of(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: in
     return m[lo], g, doc[lo], lo, hi - lo, at - lo
 
 
-def send_pieces(blob: bytes, n_buckets: int, length: int) -> list[tuple[int, int, bytes]]:
-    """The pieces of a chunk by bucket. A document that is a copy of another one in its chunk is removed at once."""
+def send_pieces(blob: bytes, n_buckets: int, length: int) -> tuple[list[tuple[int, int, bytes]], np.ndarray]:
+    """The pieces of a chunk by bucket, and the documents that are copies of others in the chunk, which go as a whole."""
     ids, texts = chunk_texts(chunk_rows(blob))
     order = np.argsort(ids, kind="stable")
     first: dict[bytes, int] = {}

@@ -47,7 +47,7 @@ def test_exact_bound(spark, n, risk, level):
 
 
 def test_cutoffs_hold_the_risk(spark):
-    good = [(k, f"en", 2 if k % 400 == 0 else 0, 100) for k in range(4000)]
+    good = [(k, "en", 2 if k % 400 == 0 else 0, 100) for k in range(4000)]
     bad = [(10_000 + k, "en", 30, 100) for k in range(50)]
     few = [(20_000 + k, "xx", 60, 100) for k in range(20)] + [(30_000, None, 60, 100)]
     zero = {c: F.lit(0).cast("long") for c in ("n_capitals", "n_dup_lines", "n_repeat_words")}
