@@ -40,6 +40,8 @@ WORDS, PERCENT = 5, 80
 SAMPLE, COMMON = 8_192, 8
 #: Classes in a tile, and classes of a group that one task takes at a time.
 TILE, SLICE = 128, 4_096
+#: 64-bit words of bitmaps that are compared at once.
+WORDS_AT_ONCE = 1 << 19
 _U = np.uint64
 _BASE, _STEP, _MIX = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xD6E8FEB86659FD93)
 _BYTES = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64) | _U(1)
@@ -129,9 +131,13 @@ def folded(maps: list[bytes], width: int) -> np.ndarray:
 
 
 def possible(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
-    """For each pair of rows, whether the bit counts allow a link."""
-    only_a = np.bitwise_count(a[:, None, :] & ~b[None, :, :]).sum(axis=2, dtype=np.int64)
-    only_b = np.bitwise_count(b[None, :, :] & ~a[:, None, :]).sum(axis=2, dtype=np.int64)
+    """For each pair of rows, whether the bit counts allow a link; a few rows at a time, so wide bitmaps need little memory."""
+    both = np.empty((len(a), len(b)), np.int64)
+    step = max(1, WORDS_AT_ONCE // max(1, b.size))
+    for i in range(0, len(a), step):
+        both[i : i + step] = np.bitwise_count(a[i : i + step, None, :] & b[None, :, :]).sum(axis=2, dtype=np.int64)
+    only_a = np.bitwise_count(a).sum(axis=1, dtype=np.int64)[:, None] - both
+    only_b = np.bitwise_count(b).sum(axis=1, dtype=np.int64)[None, :] - both
     overlap = np.minimum(n_a[:, None] - only_a, n_b[None, :] - only_b)
     return (100 + percent) * overlap >= percent * (n_a[:, None] + n_b[None, :])
 
@@ -281,6 +287,7 @@ def groups_and_documents(docs: DataFrame, words: int, percent: int) -> DataFrame
                 held.append(blob)
         if held:
             yield meeting(held, percent)
+        pa.default_memory_pool().release_unused()
 
     packed = docs.mapInArrow(send, PACKED).repartition(n_buckets // 4, "bucket").sortWithinPartitions("bucket")
     return materialize(packed.mapInArrow(receive, FOUND_DDL), "hubs-and-documents")
@@ -391,6 +398,7 @@ def exact_links(texts: DataFrame, marked: DataFrame, words: int, percent: int) -
                 for i, j in spanning_links(sets, fits, percent):
                     a, b = found[i][0], found[j][0]
                     yield (a, b) if a < b else (b, a)
+            pa.default_memory_pool().release_unused()
 
         yield from batches(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 

@@ -477,6 +477,7 @@ def finished(texts: DataFrame, places: DataFrame, schema: StructType, finish) ->
             gone = joined_places(np.concatenate(gone)) if gone else np.zeros(0, PLACE)
             cuts = np.searchsorted(gone["row"], np.arange(rows.num_rows + 1))
             yield finish(rows, [gone[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        pa.default_memory_pool().release_unused()
 
     return dealt(texts.union(places), n).mapInArrow(cut, schema)
 

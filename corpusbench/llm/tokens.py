@@ -27,7 +27,8 @@ from corpusbench.session import materialize, scratch
 
 MAGIC = b"IDPLANE1"
 BLOCK = 65_536
-MEMO = 500_000
+#: Words, and parts of words, that a worker process remembers: about 60 MB each.
+MEMO = 300_000
 #: Lower- and upper-case letters that are their own composed form and whose case pairs are one to one.
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-ßà-öø-ÿ]+)([.,;:!?]*)")
 
