@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,30 +41,54 @@ def little_endian(content: Column, offset: int, n: int) -> Column:
     return F.conv(text, 16, 10).cast("int")
 
 
-@F.pandas_udf(SIZE)
-def jpeg_size(head: pd.Series) -> pd.DataFrame:
-    """Size from the first start-of-frame segment; segments are skipped by length."""
-
-    def scan(b: bytes):
-        pos, end = 2, len(b) - 9
-        while pos < end:
-            marker = b[pos + 1]
-            if b[pos] != 0xFF:
-                pos += 1
-            elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-                return int.from_bytes(b[pos + 7:pos + 9], "big"), int.from_bytes(b[pos + 5:pos + 7], "big")
-            else:
-                pos += 2 + int.from_bytes(b[pos + 2:pos + 4], "big")
+# Markers of frame headers; the other three of C0 to CF are tables and extensions.
+FRAMES = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
+#: Bytes of a JPEG that are looked at first; most have their frame header there.
+HEAD = 4096
+
+
+def segments(data: bytes) -> Iterator[tuple[int, int]]:
+    """Marker and place of the body of each segment that has room for a frame header.
+
+    A body begins with its own length. Fill bytes before a marker and bytes
+    between segments are passed over.
+    """
+    at = data.find(b"\xff", 2)
+    while 0 <= at < len(data) - 9:
+        marker, body = data[at + 1], at + 2
+        if marker == 0xFF:
+            at += 1
+            continue
+        yield marker, body
+        at = data.find(b"\xff", body + int.from_bytes(data[body : body + 2], "big"))
+
+
+def frame_size(data: bytes | None) -> tuple[int | None, int | None]:
+    """Width and height from the first frame header."""
+    found = next((body for marker, body in segments(data or b"") if marker in FRAMES), None)
+    if found is None:
         return None, None
+    height, width = struct.unpack_from(">HH", data, found + 3)
+    return width, height
+
+
+@F.pandas_udf(SIZE)
+def jpeg_size(data: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([frame_size(b) for b in data], columns=["width", "height"]).astype("Int32")
+
 
-    sizes = [scan(b) if b is not None else (None, None) for b in head]
-    return pd.DataFrame(sizes, columns=["width", "height"]).astype("Int32")
+def jpeg_size_of(content: Column) -> Column:
+    """Size of a JPEG. Only its head leaves the JVM, and the rest where no frame header is in the head."""
+    head = jpeg_size(F.substring(content, 1, HEAD))
+    rest = F.when(head["width"].isNull() & (F.length(content) > HEAD), content)
+    return F.when(head["width"].isNotNull(), head).otherwise(jpeg_size(rest))
 
 
 def image_size(content: Column, format: Column) -> Column:
     """``struct(width, height)``; only JPEG bytes leave the JVM."""
     chunk = _hex(content, 13, 4)
-    lossless = [little_endian(content, 21 + i, 1) for i in range(4)]
+    # lossless: 14 bits of width, then 14 of height, each less one, in one little-endian integer
+    lossless = F.conv(F.concat(*[_hex(content, 25 - i, 1) for i in range(4)]), 16, 10).cast("bigint")
 
     def size(w: Column, h: Column) -> Column:
         return F.struct(w.cast("int").alias("width"), h.cast("int").alias("height"))
@@ -72,11 +99,8 @@ def image_size(content: Column, format: Column) -> Column:
         .when(chunk == "56503858", size(little_endian(content, 24, 3) + 1, little_endian(content, 27, 3) + 1))
         .when(chunk == "56503820", size(little_endian(content, 26, 2).bitwiseAND(0x3FFF),
                                         little_endian(content, 28, 2).bitwiseAND(0x3FFF)))
-        .when(chunk == "5650384C", size(
-            F.shiftleft(lossless[1].bitwiseAND(0x3F), 8).bitwiseOR(lossless[0]) + 1,
-            F.shiftleft(lossless[3].bitwiseAND(0x0F), 10).bitwiseOR(F.shiftleft(lossless[2], 2)).bitwiseOR(
-                F.shiftright(lossless[1].bitwiseAND(0xC0), 6)) + 1))
-        .when(format == "jpg", jpeg_size(F.when(format == "jpg", content)))
+        .when(chunk == "5650384C", size(lossless.bitwiseAND(0x3FFF) + 1, F.shiftright(lossless, 14).bitwiseAND(0x3FFF) + 1))
+        .when(format == "jpg", jpeg_size_of(F.when(format == "jpg", content)))
     )
 
 
