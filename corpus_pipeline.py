@@ -33,7 +33,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, tokenizer_path(), end_id=2)
+    # workers keep their words over the stages of other operators, so fewer of them than alone
+    return pack_documents(docs, tokenizer_path(), end_id=2, memo=150_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from corpusbench.llm.common import batches, binary_texts
-from corpusbench.llm.tokens import Encoder, in_order
+from corpusbench.llm.tokens import MEMO, Encoder, in_order
 
 #: Costs of a cut, in padded ids.
 SENTENCE, ANYWHERE = 8, 64
@@ -138,18 +138,18 @@ def sentence_enders(encoder: Encoder) -> np.ndarray:
     return ends
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, end_id: int, length: int = 4096) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, end_id: int, length: int = 4096, memo: int = MEMO) -> DataFrame:
     """Pieces of documents in sequences of at most ``length`` ids.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset. Null text: the end id alone. Null doc_id: packed first. Repeated
     rows are packed each. Empty table: no rows. A part's last, short sequence
     is cut into powers of two. sequence_id is the part's number times 2**32
-    plus a running number.
+    plus a running number. ``memo``: words that a worker remembers.
     """
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(tokenizer, memo)
         end = np.array([end_id], encoder.dtype)
         packer = Packer(length, sentence_enders(encoder), TaskContext.get().partitionId() << 32)
 

@@ -27,8 +27,8 @@ from corpusbench.session import materialize, scratch
 
 MAGIC = b"IDPLANE1"
 BLOCK = 65_536
-#: Words, and parts of words, that a worker process remembers: about 60 MB each.
-MEMO = 300_000
+#: Words, and parts of words, that a worker process remembers: about 100 MB each.
+MEMO = 500_000
 #: Lower- and upper-case letters that are their own composed form and whose case pairs are one to one.
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-ßà-öø-ÿ]+)([.,;:!?]*)")
 
@@ -42,7 +42,7 @@ class Encoder:
     without its punctuation, which is looked up by itself.
     """
 
-    made: dict[str, Encoder] = {}
+    made: dict[tuple[str, int], Encoder] = {}
 
     def __init__(self, path: str, memo: int = MEMO) -> None:
         from tokenizers import Tokenizer
@@ -54,11 +54,11 @@ class Encoder:
         self.memo = memo
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, memo: int = MEMO) -> Encoder:
         """One per worker process, kept over its tasks."""
-        if path not in cls.made:
-            cls.made[path] = cls(path)
-        return cls.made[path]
+        if (path, memo) not in cls.made:
+            cls.made[path, memo] = cls(path, memo)
+        return cls.made[path, memo]
 
     def ids_of(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
