@@ -1,13 +1,14 @@
 """Quality rules whose cutoffs keep the share of good documents they reject under control.
 
-Every rule is a ratio with a fixed list of cutoffs, from lax to strict. In
-each stratum (language) the documents labelled good are the holdout. A cutoff
-is allowed if the exact binomial (Clopper-Pearson) upper bound on the rule's
-false rejections is at most its share of the risk. Cutoffs are tested from
-lax to strict and testing stops at the first failure, so one level serves a
-whole list; the levels of the rules and strata are divided by their number
-(Bonferroni). With the stated confidence, all rules together then reject at
-most the stated share of the good documents of every stratum.
+Every rule is a ratio with a fixed list of cutoffs, from lax to strict. One
+fixed sequence tightens the rules in turn, one cutoff at a step. In each
+stratum (language) the documents labelled good are the holdout. A step is
+allowed if the exact binomial (Clopper-Pearson) upper bound on the share of
+good documents that any rule rejects by then is at most the risk. Steps are
+tested in order and testing stops at the first failure, so one level serves
+the whole sequence; only the strata divide it (Bonferroni). With the stated
+confidence, all rules together then reject at most the stated share of the
+good documents of every stratum.
 """
 
 from __future__ import annotations
@@ -43,10 +44,14 @@ RULES = (
     Rule("symbols", "n_symbols", "word_chars", (0.5, 0.3, 0.2, 0.15, 0.1, 0.07, 0.05)),
     Rule("capitals", "n_capitals", "word_chars", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4)),
     Rule("lines", "n_dup_lines", "n_lines", (0.8, 0.7, 0.6, 0.5, 0.4, 0.3)),
-    Rule("repeats", "n_repeat_words", "n_words", (0.8, 0.6, 0.5, 0.4, 0.3, 0.2)),
 )
 
 
+def steps(rules: tuple[Rule, ...] = RULES) -> list[tuple[Rule, float]]:
+    """The sequence of all strata: the first cutoff of every rule, the second of every rule and so on."""
+    return [(r, r.cutoffs[k]) for k in range(max(len(r.cutoffs) for r in rules)) for r in rules if k < len(r.cutoffs)]
+
+
 def without(text: Column, characters: str) -> Column:
     return F.length(F.translate(text, characters, ""))
 
@@ -116,18 +121,18 @@ def choose_cutoffs(counts: DataFrame, labels: DataFrame, *, risk: float = RISK,
     """
     good = narrow(labels, "doc_id", "quality").where("quality = 1").select("doc_id")
     held = counts.where("not base_failed").join(good, "doc_id")
-    sums = [F.sum(fails(r, F.lit(c)).cast("bigint")).alias(f"{r.name}_{k}") for r in rules for k, c in enumerate(r.cutoffs)]
-    by = held.groupBy("lang").agg(F.count("*").alias("n_good"), *sums)
+    path = steps(rules)
+    # the step from which on a document is rejected, since cutoffs only get stricter
+    first = F.coalesce(*[F.when(fails(r, F.lit(c)), F.lit(k)) for k, (r, c) in enumerate(path)])
+    sums = [F.count_if(F.col("first") <= k).alias(f"step_{k}") for k in range(len(path))]
+    by = held.select("lang", first.alias("first")).groupBy("lang").agg(F.count("*").alias("n_good"), *sums)
     n_strata = F.count("*").over(_all())
-    allowed = by.withColumn("most", most_failures(F.col("n_good"), risk / len(rules), (1 - confidence) / (len(rules) * n_strata)))
-    out = []
-    for r in rules:
-        cutoff, passing = F.lit(None).cast("double"), F.lit(True)
-        for k, c in enumerate(r.cutoffs):
-            passing = passing & (F.col(f"{r.name}_{k}") <= F.col("most"))
-            cutoff = F.when(passing, F.lit(c)).otherwise(cutoff)
-        out.append(cutoff.alias(f"cut_{r.name}"))
-    return allowed.select("lang", "n_good", *out)
+    allowed = by.withColumn("most", most_failures(F.col("n_good"), risk, (1 - confidence) / n_strata))
+    cutoff, passing = {r.name: F.lit(None).cast("double") for r in rules}, F.lit(True)
+    for k, (r, c) in enumerate(path):
+        passing = passing & (F.col(f"step_{k}") <= F.col("most"))
+        cutoff[r.name] = F.when(passing, F.lit(c)).otherwise(cutoff[r.name])
+    return allowed.select("lang", "n_good", *[cutoff[r.name].alias(f"cut_{r.name}") for r in rules])
 
 
 def _all():
@@ -156,3 +161,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, risk: float = RISK, con
     broken = F.array_compact(F.array(*[F.when(fails(r, F.col(f"cut_{r.name}")), F.lit(r.name)) for r in rules]))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return joined.select("doc_id", *base, (~F.col("base_failed") & (F.size(broken) == 0)).alias("kept"), F.array_join(broken, ",").alias("failed_rules"))
+
+
+def rejected_shares(verdicts: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """What the verdicts do to the labelled documents, by language and label.
+
+    Columns: lang, quality, n_labelled, n_base (the base rule fails), n_rules
+    (passes it, but a rule rejects), rejected (the share of both). doc_id is
+    taken as unique in ``docs``. Null lang: a language of its own.
+    """
+    told = narrow(labels, "doc_id", "quality").where("quality is not null")
+    rows = narrow(verdicts, "doc_id", "base_failed", "kept").join(narrow(docs, "doc_id", "lang"), "doc_id").join(told, "doc_id")
+    return rows.groupBy("lang", "quality").agg(
+        F.count("*").alias("n_labelled"), F.count_if("base_failed").alias("n_base"), F.count_if(~F.col("base_failed") & ~F.col("kept")).alias("n_rules"),
+        F.avg(F.when(F.col("kept"), 0.0).otherwise(1.0)).alias("rejected"))

@@ -59,6 +59,29 @@ def test_cutoffs_hold_the_risk(spark):
     assert cut["xx"]["cut_symbols"] is None
 
 
+def test_small_languages_get_cutoffs(spark):
+    """300 good labels in each of four languages are enough at the default risk, and junk is rejected in each."""
+    words = " ".join(f"w{k}" for k in range(30))
+    rows = [(1000 * j + k, words + (" ## ## ## ##" if k >= 300 else ""), lang, int(k < 300)) for j, lang in enumerate(("en", "de", "fr", None)) for k in range(310)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    labels = docs.select("doc_id", "quality")
+    got = quality.quality_rules(docs, labels)
+    assert {r["doc_id"] for r in got.where("not kept").collect()} == {r[0] for r in rows if not r[3]}
+    shares = {(r["lang"], r["quality"]): tuple(r)[2:] for r in quality.rejected_shares(got, docs, labels).collect()}
+    assert shares == {(lang, q): (300, 0, 0, 0.0) if q else (10, 0, 10, 1.0) for lang in ("en", "de", "fr", None) for q in (0, 1)}
+
+
+def test_risk_is_that_of_all_rules_together(spark):
+    """1,000 good labels allow fewer than 16 rejections: 8 by one rule pass, 8 and 8 others by two do not."""
+    odd = {"a": 8, "b": 8}
+    rows = [(10_000 * j + k, lang, 6 if k < 8 else 0, 45 if lang == "b" and 8 <= k < 16 else 0) for j, lang in enumerate(odd) for k in range(1000)]
+    counts = spark.createDataFrame(rows, "doc_id long, lang string, n_symbols long, n_capitals long").withColumns(
+        {"word_chars": F.lit(100), "n_dup_lines": F.lit(0), "n_lines": F.lit(1), "base_failed": F.lit(False)})
+    cut = {r["lang"]: r for r in quality.choose_cutoffs(counts, counts.select("doc_id", F.lit(1).alias("quality"))).collect()}
+    assert (cut["a"]["cut_symbols"], cut["a"]["cut_capitals"], cut["a"]["cut_lines"]) == (0.05, 0.4, 0.3)
+    assert (cut["b"]["cut_symbols"], cut["b"]["cut_capitals"], cut["b"]["cut_lines"]) == (0.07, 0.4, 0.3)
+
+
 def leaks(docs, items, share=0.8):
     def sh(t):
         w = WORD.findall((t or "").lower())
