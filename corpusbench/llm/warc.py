@@ -3,7 +3,8 @@
 The reader takes gzip archives (members) and plain ones. After a failed check
 (broken member, no version line, wrong length, wrong digest) it looks for the
 next place where a valid member or version line begins, goes on from there
-and reports the bytes in between as a quarantined gap.
+and reports the bytes in between as a quarantined gap. A broken member still
+gives the valid records among the bytes that it decodes to.
 """
 
 from __future__ import annotations
@@ -27,8 +28,7 @@ VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 #: A new file begins when one has reached this size.
 ROLL = 64 << 20
 STEP = 1 << 16
-#: Headers longer than this count as damage.
-HEAD = 1 << 16
+EARLY = "member ends early"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -95,16 +95,16 @@ MEMBER = re.compile(re.escape(GZIP))
 
 def one_record(window: Window) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and size of the record at the window's place."""
-    have = window.fill(4)
+    have = window.fill(10)
+    if not VERSION.match(have):
+        raise Damaged("no version line")
     cut, seen = -1, 0
-    while cut < 0:
+    while cut < 0:  # the writer takes URIs of any length, so headers have no limit
         cut = have.find(b"\r\n\r\n", max(0, seen - 3))
         if cut < 0:
             seen = len(have)
-            if seen > HEAD or len(have := window.fill(seen + 1)) == seen:
+            if len(have := window.fill(2 * seen)) == seen:
                 raise Damaged("no end of headers")
-    if not VERSION.match(have):
-        raise Damaged("no version line")
     head = {}
     for line in have[:cut].decode("utf-8", "replace").split("\r\n")[1:]:
         key, colon, value = line.partition(":")
@@ -125,56 +125,96 @@ def one_record(window: Window) -> tuple[dict[str, str], bytes, int]:
     return head, block, end + 4
 
 
-def one_member(window: Window) -> tuple[bytes, int]:
-    """Content and size of the gzip member at the window's place."""
+def one_member(window: Window) -> tuple[bytes, int, str]:
+    """Content and size of the gzip member at the window's place, and what broke it; then the content is what decodes before that."""
     unpack, out, used = zlib.decompressobj(31), [], 0
     while not unpack.eof:
         have = window.fill(used + 1)
         if len(have) == used:
-            raise Damaged("member ends early")
+            return b"".join(out), used, EARLY
         chunk = have[used : used + STEP]
         try:
             out.append(unpack.decompress(chunk))
         except zlib.error as e:
-            raise Damaged(f"broken member: {e}") from None
-        if not used and out[0] and not b"WARC/1."[: len(out[0])] == out[0][:7]:
-            raise Damaged("member without a version line")
+            return b"".join(x for _, x in slowly(have, used)), used, f"broken member: {e}"
         used += len(chunk)
-    return b"".join(out), used - len(unpack.unused_data)
+    return b"".join(out), used - len(unpack.unused_data), ""
+
+
+def slowly(data: bytes, begin: int) -> Iterator[tuple[int, bytes]]:
+    """What a member decodes to, up to its end or first error: bytes used so far and the next of the content, byte by byte after ``begin``."""
+    unpack, used = zlib.decompressobj(31), 0
+    while used < len(data) and not unpack.eof:
+        chunk = data[used : used + (min(STEP, begin - used) if used < begin else 1)]
+        try:
+            out = unpack.decompress(chunk)
+        except zlib.error:
+            return
+        used += len(chunk)
+        yield used, out
+
+
+def bytes_for(data: bytes, n: int) -> int:
+    """How many bytes of a member its first n bytes of content take."""
+    got, begin = 0, 0
+    for used, out in slowly(data, len(data)):
+        if got + len(out) >= n:
+            break
+        got, begin = got + len(out), used
+    got = 0
+    for used, out in slowly(data[: begin + STEP], begin):
+        got += len(out)
+        if got >= n:
+            return used
+    return len(data)
 
 
 def salvage(source) -> Iterator[tuple]:
     """("record", offset, size, headers, block) and ("gap", offset, size, reason) over one archive.
 
     Offsets and sizes are those in the file, for both kinds. A member with
-    several records is taken apart; one that is broken inside gives its valid
-    records and a gap for itself. An empty file gives nothing.
+    several records is taken apart; one whose content is broken gives its
+    valid records and a gap for itself. A member that does not decode to its
+    end or fails its check gives the valid records before that, with the
+    bytes that they take as their place, and a gap for the rest; unless it
+    only ends early, records without a digest count as lost there. An empty
+    file gives nothing.
     """
     window = Window(source)
+    begins = re.compile(MEMBER.pattern + b"|" + VERSION.pattern)
     gap: tuple[int, str] | None = None
     while window.fill(1):
-        at = window.at
+        at, broken = window.at, ""
         try:
             if window.fill(3)[:3] == GZIP:
-                data, size = one_member(window)
+                data, size, broken = one_member(window)
                 inner = list(plain(io.BytesIO(data)))
-                found = [("record", at, size, *x[3:]) for x in inner if x[0] == "record"]
-                bad = next((x for x in inner if x[0] == "gap"), None)
-                if not found and bad:
-                    raise Damaged(bad[3])
-                found += [("gap", at, size, bad[3])] if bad else []
+                valid = [x for x in inner if x[0] == "record" and (broken in ("", EARLY) or x[3].get("warc-block-digest"))]
+                bad = next((x[3] for x in inner if x[0] == "gap"), broken)
+                if not valid and (bad or inner):
+                    raise Damaged(broken or bad)
+                if broken:
+                    end = valid[-1][1] + valid[-1][2]
+                    size, bad = bytes_for(window.data, end), bad if sum(x[2] for x in valid) < end else ""
+                found = [("record", at, size, *x[3:]) for x in valid]
+                found += [("gap", at, size, bad)] if bad else []
             else:
                 head, block, size = one_record(window)
                 found = [("record", at, size, head, block)]
         except Damaged as e:
             gap = gap or (at, str(e))
-            if not window.find(re.compile(MEMBER.pattern + b"|" + VERSION.pattern), 1):
+            if not window.find(begins, 1):
                 break
             continue
         if gap:
             yield "gap", gap[0], at - gap[0], gap[1]
             gap = None
         yield from found
+        if broken:
+            gap = (at + size, broken)
+            if not window.find(begins, size):
+                break
+            continue
         window.skip(size)
     if gap:
         yield "gap", gap[0], window.at - gap[0], gap[1]
@@ -268,11 +308,12 @@ def fields(head: dict[str, str], block: bytes) -> tuple:
     return kind, strip(head.get("warc-record-id")), head.get("warc-target-uri"), strip(head.get("warc-refers-to")), n, sha
 
 
-def read_warc(files: DataFrame, folder: str) -> DataFrame:
+def read_warc(files: DataFrame, folder: str, *, counted: bool = False) -> DataFrame:
     """Records and gaps of the files named in column ``path``.
 
     One row per record, with gap null; one per quarantined gap, with gap the
-    reason and at, size the bytes left out. A file is read as a stream.
+    reason and at, size the bytes left out. A file is read as a stream. With
+    ``counted`` a file that has other than ``n_records`` records raises.
     """
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,23 +321,27 @@ def read_warc(files: DataFrame, folder: str) -> DataFrame:
 
         def rows():
             for part in parts:
-                for path in part.column(0).to_pylist():
+                for path, told in zip(part.column(0).to_pylist(), part.column(1).to_pylist() if counted else [None] * len(part), strict=True):
+                    n = 0
                     with fs.open_input_stream(f"{base}/{path}", compression=None) as source:
                         for found in salvage(source):
                             if found[0] == "gap":
                                 yield path, found[1], found[2], found[3], *[None] * 6
                             else:
+                                n += 1
                                 yield path, found[1], found[2], None, *fields(found[3], found[4])
+                    if counted and n != told:
+                        raise ValueError(f"{path}: {n} records read, the manifest has {told}")
 
         yield from batches(rows(), RECORDS, 1024)
 
     # a task per file: a row of the list is small, its file is not
-    return narrow(files, "path").repartition(max(1, files.count()), "path").mapInArrow(read, RECORDS_DDL)
+    return narrow(files, "path", *["n_records"] * counted).repartition(max(1, files.count()), "path").mapInArrow(read, RECORDS_DDL)
 
 
 def page_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write the pages to archives in the shared folder, read them back: one row per page."""
+    """Write the pages to archives in the shared folder, read them back: one row per page, or an error."""
     folder = scratch(spark, "warc")
-    records = read_warc(write_warc(pages, folder), folder).where("gap is null")
+    records = read_warc(write_warc(pages, folder), folder, counted=True).where("gap is null")
     number = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) as bigint)")
     return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))

@@ -2,6 +2,10 @@
 
 import io
 import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
 
 from corpusbench.llm import warc
 
@@ -65,6 +69,63 @@ def test_member_with_several_records():
     assert len(ids(warc.salvage(io.BytesIO(data)))) == 4
 
 
+def noisy(n):
+    rng = random.Random(7)
+    bodies = [rng.randbytes(rng.randrange(20, 4000)) for _ in range(n)]
+    return [warc.record("response", f"urn:page:{k}", f"http://x/{k}", "2000-01-01T00:00:00Z", b, len(b), warc.digest(b), None) for k, b in enumerate(bodies)]
+
+
+def test_broken_member_gives_its_valid_records():
+    records, tail = noisy(100), warc.member(noisy(1)[0])
+    name = lambda ks: [f"<urn:page:{k}>" for k in ks]
+    whole = warc.member(b"".join(records))
+    for share in (0.2, 0.9):  # with and without something after the cut
+        cut = whole[: int(share * len(whole))]
+        content = zlib.decompressobj(31).decompress(cut)
+        n = max(k for k in range(100) if len(b"".join(records[:k])) <= len(content))
+        assert n > 15
+        for after in (b"", tail):
+            found = list(warc.salvage(io.BytesIO(cut + after)))
+            assert ids(found) == name(range(n)) + name([0] if after else [])
+            (begin, size), kept = gaps(found)[-1], found[0][2]
+            assert len(gaps(found)) == 1 and found[0][1] == 0 and begin == kept and begin + size == len(cut)
+            assert zlib.decompressobj(31).decompress(cut[:kept]).startswith(b"".join(records[:n]))
+    bad = whole[:-8] + bytes(8)
+    found = list(warc.salvage(io.BytesIO(bad + tail)))
+    assert ids(found) == name([*range(100), 0]) and len(gaps(found)) == 1 and sum(gaps(found)[0]) == len(bad)
+    at = len(whole) // 2
+    found = list(warc.salvage(io.BytesIO(whole[:at] + bytes(64) + whole[at + 64 :] + tail)))
+    assert ids(found)[:40] == name(range(40)) and ids(found)[-1] == name([0])[0] and gaps(found)
+
+
+def test_bad_first_line_in_a_member_with_a_bad_check():
+    records = noisy(5)
+    whole = warc.member(b"XARC" + b"".join(records)[4:])
+    found = list(warc.salvage(io.BytesIO(whole[:-8] + bytes(8))))
+    assert ids(found) == [f"<urn:page:{k}>" for k in range(1, 5)] and len(gaps(found)) == 2
+
+
+def test_records_without_digest_in_a_broken_member():
+    plain = b"".join(b"WARC/1.1\r\nWARC-Record-ID: <%d>\r\nContent-Length: 4\r\n\r\nbody\r\n\r\n" % k for k in range(20))
+    whole = warc.member(plain)
+    assert len(ids(warc.salvage(io.BytesIO(whole[:-8])))) == 20
+    assert ids(warc.salvage(io.BytesIO(whole[:-8] + bytes(8)))) == []
+
+
+def test_long_headers(spark):
+    url = "http://x/" + "ä" * 200_000
+    pages = spark.createDataFrame([(1, url, "a"), (2, "b", "c")], "page_id long, url string, html string")
+    assert {r["page_id"] for r in warc.page_round_trip(spark, pages).collect()} == {1, 2}
+
+
+def test_missing_records_raise(spark):
+    folder = warc.scratch(spark, "warc")
+    manifest = warc.write_warc(spark.createDataFrame([(1, "a", "a")], "page_id long, url string, html string"), folder)
+    assert warc.read_warc(manifest, folder, counted=True).count() == 1
+    with pytest.raises(Exception, match="1 records read, the manifest has 2"):
+        warc.read_warc(manifest.withColumn("n_records", F.lit(2).cast("long")), folder, counted=True).collect()
+
+
 def test_pages(spark):
     rows = [(1, "http://a\r\nb", "same", 1), (5, None, "same", 2), (3, "c", "same", 3), (2, "d", None, 4), (4, "e", "", 5), (9, "f", "é" * 70_000, 6), (None, "g", "same", 7),
             (5, None, "same", 2)]
