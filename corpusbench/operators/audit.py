@@ -17,6 +17,12 @@ def class_balance(df: DataFrame, split: str, label: str = "label", distorted: st
         F.count_if(F.col(distorted)).alias("distorted"))
 
 
+def inventory_cube(df: DataFrame, source: str = "source", label: str = "label") -> DataFrame:
+    """Rows per source and label with all totals; the grouping columns tell a total from a null key."""
+    return df.cube(source, label).agg(
+        F.grouping(source).cast("int").alias("all_sources"), F.grouping(label).cast("int").alias("all_labels"), F.count("*").alias("n"))
+
+
 def column_statistics(df: DataFrame, columns: list[str], top: int = 12) -> DataFrame:
     """Type, distinct values, range, mean, missing values and the most frequent values per column.
 

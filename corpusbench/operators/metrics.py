@@ -190,15 +190,21 @@ def pooled_generator_metrics(df: DataFrame, by: list[str], generator: str = "gen
 
 
 def difficulty_rank(per_condition: DataFrame, generator: str = "generator", condition: str = "condition",
-                    clean: str = "clean") -> DataFrame:
-    """Generators from hardest to easiest by mean recall over conditions."""
+                    clean: str = "clean", with_map: bool = False) -> DataFrame:
+    """Generators from hardest to easiest by mean recall over conditions.
+
+    ``with_map`` adds per_condition, a map from each condition to its recall;
+    a null condition has no entry there.
+    """
     ok = F.nanvl(F.col("recall"), F.lit(None).cast("double"))
+    entry = F.when(F.col(condition).isNotNull(), F.struct(F.col(condition).alias("condition"), ok.alias("recall")))
     return per_condition.groupBy(generator).agg(
         F.max("n").alias("n"),
         F.avg(ok).alias("recall_mean"),
         F.max(F.when(F.col(condition) == clean, ok)).alias("recall_clean"),
         F.min(ok).alias("recall_min"),
         F.avg(F.nanvl(F.col("auroc"), F.lit(None).cast("double"))).alias("auroc_mean"),
+        *[F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("per_condition")] * with_map,
     )
 
 

@@ -59,6 +59,12 @@ def sweep_table(per_condition: DataFrame, clean: str = "clean") -> DataFrame:
     ).orderBy("family_rank", "condition")
 
 
+def sweep_wide(per_condition: DataFrame, metrics: list[str], conditions: list[str] | None = None) -> DataFrame:
+    """One row per metric, one column per condition; without ``conditions`` Spark looks them up first."""
+    long = per_condition.select("condition", *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot("condition", metrics, "metric", "value")
+    return long.groupBy("metric").pivot("condition", conditions).agg(F.first("value"))
+
+
 def degradation_summary(per_condition: DataFrame, clean: str = "clean") -> DataFrame:
     """Clean accuracy, worst condition, mean change and worst FPR; no row without conditions."""
     is_clean = F.col("condition") == clean

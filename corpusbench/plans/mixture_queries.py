@@ -185,8 +185,10 @@ def composite_plan(spark, sf):
            when combo = 'real_on_real' then 0 else ({u('ov.later', "id || '|' || overlay")} < 0.5)::int end as top_class
     from (select *, unnest(range(1, overlays + 1)) as overlay from plan)""", "samples"))
 def draws_udtf(spark, sf):
-    """One row per overlay by a generator; tests compare it with a Python table function."""
-    return X.overlay_draws(composite_plan(spark, sf), "ov").select("id", "combo", "overlay", "top_class")
+    """One row per overlay by a Python table function; tests compare it with the generator form."""
+    spark.udtf.register("overlay_rows", X.overlay_table_function("ov"))
+    return spark.sql("select p.id, p.combo, o.overlay, o.top_class from {plan} p, lateral overlay_rows(p.id, p.combo, p.overlays) o",
+                     plan=composite_plan(spark, sf))
 
 
 def _aug_sql() -> str:

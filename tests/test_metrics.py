@@ -1,7 +1,10 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from corpusbench.operators import audit as A
 from corpusbench.operators import metrics as M
 from corpusbench.operators import sweep as S
 
@@ -95,3 +98,28 @@ def test_degradation_needs_conditions(spark):
 def test_pooled_reals_without_reals(spark):
     df = spark.createDataFrame([("g", 1, 0.9)], "generator string, label int, prob double")
     assert M.pooled_generator_metrics(df, []).first().auroc is None
+
+
+def test_wide_forms(spark):
+    """The condition map, the pivot and the cube against DuckDB or the rows themselves."""
+    rows = [("g", "clean", 5, 0.9, 0.8), ("g", "jpeg50", 5, float("nan"), 0.7), ("h", "clean", 4, 0.5, None), ("h", None, 4, 0.1, 0.2)]
+    per = spark.createDataFrame(rows, "generator string, condition string, n long, recall double, auroc double")
+    got = {r["generator"]: r["per_condition"] for r in M.difficulty_rank(per, with_map=True).collect()}
+    assert got == {"g": {"clean": 0.9, "jpeg50": None}, "h": {"clean": 0.5}}
+    assert "per_condition" not in M.difficulty_rank(per).columns
+    sweep = spark.createDataFrame([("clean", 10, 0.9, None), ("blur1.0", 10, 0.7, 0.6)], "condition string, n long, recall double, ap double")
+    for names in (None, ["clean", "blur1.0", "crop80"]):
+        wide = {r["metric"]: r for r in S.sweep_wide(sweep, ["n", "recall", "ap"], names).collect()}
+        assert {m: (r["clean"], r["blur1.0"]) for m, r in wide.items()} == {"n": (10, 10), "recall": (0.9, 0.7), "ap": (None, 0.6)}
+        assert names is None or all(r["crop80"] is None for r in wide.values())
+    samples = [("a", 1), ("a", 1), ("a", 0), ("b", None), (None, 0)]
+    cube = A.inventory_cube(spark.createDataFrame(samples, "source string, label int")).collect()
+    values = ", ".join(f"({'null' if s is None else repr(s)}, {'null' if y is None else y})" for s, y in samples)
+    want = duckdb.sql(f"""select source, label, grouping(source)::int, grouping(label)::int, count(*)
+                          from (values {values}) t(source, label) group by cube (source, label)""").fetchall()
+    assert sorted(map(tuple, cube), key=str) == sorted(want, key=str)
+
+
+def test_draws_come_from_the_table_function(spark):
+    plan = entry.queries()["draws_udtf"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "overlay_rows" in plan
