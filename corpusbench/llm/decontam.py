@@ -1,9 +1,8 @@
 """Benchmark decontamination: which documents hold which test items.
 
 An item of n word shingles is in a document if at least the stated share of
-its shingles is. Items are partitioned by size; an item of size n is searched
-by the MinHash values of its partition, the floor((1 - share) * n) + 1 least
-hashes of its shingles. At most floor((1 - share) * n) shingles may be
+its shingles is. An item of size n is searched by its floor((1 - share) * n) + 1
+least hashes, its MinHash values; one bound over all sizes serves the search. At most floor((1 - share) * n) shingles may be
 missing, so a document that holds the item has one of these: the search
 misses nothing. Shingles of documents above the greatest MinHash value are
 left out before the join. Pairs found are verified by the shingles
