@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusbench.llm.chat import repair_conversations
+from corpusbench.llm.compression import fit_quality, score_quality
 from corpusbench.llm.decontam import contaminated_pairs
 from corpusbench.llm.jaccard import near_copies
 from corpusbench.llm.language import fit_languages, predict_languages
+from corpusbench.llm.middle import middle_digests
 from corpusbench.llm.packing import pack_documents
 from corpusbench.llm.quality import quality_rules
+from corpusbench.llm.resample import importance_sample
 from corpusbench.llm.suffix import repeat_report
 from corpusbench.llm.tokens import token_round_trip
 from corpusbench.llm.toxicity import fit_toxicity, score_toxicity
@@ -131,3 +134,54 @@ from p
 @query("op10_warc", WARC_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+# crc32 of each distinct feature, byte by byte with the usual table; distinct features only, since this is slow
+RESAMPLE_SQL = f"""
+with steps as (select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b)) as t),
+     words as materialized (select 'd' as kind, doc_id as id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+              union all select 'b', null, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+     grams as materialized (select kind, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from words where len(w) > 0),
+     hashes as materialized (select f, xor(list_reduce(list_transform(range(0, strlen(f)), lambda i: cast('0x' || substr(hex(encode(f)), 2 * i + 1, 2) as bigint)),
+              lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 10000 as bucket from (select distinct f from grams) x, steps),
+     counts as (select bucket, count(*) filter (kind = 'd') as s, count(*) filter (kind = 'b') as t from grams join hashes using (f) group by bucket),
+     totals as (select coalesce(sum(s), 0) as ss, coalesce(sum(t), 0) as tt from counts),
+     gains as (select bucket, floor(1000 * ln(((t + 1)::double * (ss + 10000)::double) / ((s + 1)::double * (tt + 10000)::double))) as g from counts, totals),
+     sums as (select id, count(*) as n, sum(g) as g from grams join hashes using (f) join gains using (bucket) where kind = 'd' group by id),
+     scored as (select doc_id, coalesce(len(w), 0) as n_words, coalesce(n, 0) as n_features, cast(coalesce(floor(g / n), 0) as bigint) as weight,
+              cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('7:' || doc_id), 1, 8) as bigint) + 0.5::double) / 4294967296::double))) as bigint) as noise
+              from documents d left join sums on sums.id = d.doc_id left join words on kind = 'd' and words.id = d.doc_id),
+     ranked as (select doc_id, row_number() over (order by weight + noise desc, doc_id) as rank, count(*) over () as n from scored where n_words >= 20)
+select doc_id, n_features, weight, weight + noise as score, case when rank <= (25 * n) // 100 then rank end as rank from scored left join ranked using (doc_id)
+"""
+
+
+@query("op11_importance_resampling", RESAMPLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), seed=7, percent=25, least_words=20, longest=2, buckets=10_000)
+
+
+MIDDLE_SQL = """
+with h as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n,
+                  list_transform(range(4), lambda k: cast('0x' || substr(sha256('1:' || doc_id), 8 * k + 1, 8) as bigint)) as h from documents),
+     c as (select *, least(h[1] % (n + 1), h[2] % (n + 1)) as a, greatest(h[1] % (n + 1), h[2] % (n + 1)) as b,
+                  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 90 then 'plain'
+                       when h[4] % 100 < 20 then 'spm' else 'psm' end as form from h)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+       sha256(case form when 'plain' then t
+                        when 'psm' then '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+                        else '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) end) as output_sha256,
+       sha256(t) as restored_sha256
+from c
+"""
+
+
+@query("op12_fill_in_middle", MIDDLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_digests(table(spark, sf_dir, "documents"), seed=1, rate=90, spm=20)
+
+
+@query("op13_compression_quality")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
