@@ -1,9 +1,9 @@
 """Detector metrics from scores and labels.
 
 Rows are first reduced to one count pair per distinct score; the curve
-metrics then run over that histogram. Raw rows are shuffled once, already
-combined on the map side, so a group holding most of the data costs no more
-than its number of distinct scores.
+metrics then run over that histogram, cut into equally deep score ranges. Raw
+rows are read and shuffled once, already combined on the map side, so a group
+holding most of the data costs no more than its number of distinct scores.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusbench.operators.ranking import join_groups
+from corpusbench.session import materialize
 
 
 def score_histogram(df: DataFrame, by: list[str], prob: str = "prob", label: str = "label") -> DataFrame:
@@ -22,45 +23,40 @@ def score_histogram(df: DataFrame, by: list[str], prob: str = "prob", label: str
     )
 
 
-def _logit_bucket(score: Column) -> Column:
-    """Bucket that never decreases with the score and resolves both ends of [0, 1]."""
-    p = F.least(F.greatest(score, F.lit(1e-300)), F.lit(1.0))
-    logit = F.log(p) - F.log(F.greatest(F.lit(1.0) - p, F.lit(1e-300)))
-    return F.floor(F.least(F.greatest(logit, F.lit(-64.0)), F.lit(64.0)) * 16.0).cast("int")
+def score_ranges(hist: DataFrame, by: list[str], parts: int | None = None) -> DataFrame:
+    """The histogram dealt by ranges of (group, score), written, with the range of each row as ``_part``.
+
+    Range bounds come from a sample of the histogram, so ranges hold about
+    equally many distinct scores however close together they lie. The rows
+    before the histogram are read once, when this is called: the ranges are
+    written to the shared folder, so that sums over ranges and the rows of a
+    range come from the same cut, also after an executor is lost.
+    """
+    keys = [F.col(f"`{c}`") for c in (*by, "score")]
+    dealt = hist.repartitionByRange(*([parts] if parts else []), *keys)
+    return materialize(dealt.withColumn("_part", F.spark_partition_id()), "score-ranges")
 
 
-def cumulate(hist: DataFrame, by: list[str], bounded: bool = False) -> DataFrame:
+def cumulate(ranges: DataFrame, by: list[str]) -> DataFrame:
     """Add positives and negatives at or above each score: ``cpos``, ``cneg``.
 
-    Scores are cut into order-following logit buckets; each is summed up by
-    itself and only bucket totals, at most 2,049 of a group, meet in one task.
-    A caller who knows that scores carry few decimals may say ``bounded``:
-    then a group's scores, a million of them for six decimals, are sorted in
-    one task without the second pass.
+    Each range of ``score_ranges`` is summed up by itself; of a group only one
+    total per range meets in one task.
     """
-    if bounded:
-        w = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return hist.withColumns({"cpos": F.sum("pos").over(w), "cneg": F.sum("neg").over(w)})
-    down = F.col("score").desc()
-    hist = hist.withColumn("_bucket", _logit_bucket(F.col("score")))
-    if not by:
-        hist, by = hist.withColumn("_all", F.lit(1)), ["_all"]
-    totals = hist.groupBy(*by, "_bucket").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    above = Window.partitionBy(*by).orderBy(F.col("_bucket").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    totals = totals.select(
-        *by, "_bucket",
-        (F.sum("_p").over(above) - F.col("_p")).alias("_p0"),
-        (F.sum("_n").over(above) - F.col("_n")).alias("_n0"),
-    )
-    joined = join_groups(hist, totals, [*by, "_bucket"])
-    w = Window.partitionBy(*by, "_bucket").orderBy(down).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    return joined.select(
-        "*",
-        (F.col("_p0") + F.sum("pos").over(w)).alias("cpos"),
-        (F.col("_n0") + F.sum("neg").over(w)).alias("cneg"),
-    ).drop("_bucket", "_p0", "_n0", "_all")
+    by, columns = by or ["_all"], [c for c in ranges.columns if c != "_part"]
+    ranges = ranges.withColumn("_all", F.lit(1)) if by == ["_all"] else ranges
+    totals = ranges.groupBy(*by, "_part").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    above = Window.partitionBy(*by).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = totals.select(*by, "_part", (F.sum("_p").over(above) - F.col("_p")).alias("_p0"), (F.sum("_n").over(above) - F.col("_n")).alias("_n0"))
+    w = Window.partitionBy(*by, "_part").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return join_groups(ranges, totals, [*by, "_part"]).select(
+        *columns, (F.col("_p0") + F.sum("pos").over(w)).alias("cpos"), (F.col("_n0") + F.sum("neg").over(w)).alias("cneg"))
+
+
+def cumulate_in_place(hist: DataFrame, by: list[str]) -> DataFrame:
+    """``cpos`` and ``cneg`` with a group's distinct scores sorted in one task, for scores known to be few."""
+    w = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return hist.withColumns({"cpos": F.sum("pos").over(w), "cneg": F.sum("neg").over(w)})
 
 
 # Denominators are at least 1, so an absent class gives 0, not null.
@@ -89,7 +85,7 @@ def _from_hist(hist: DataFrame, by: list[str], threshold: float, curves: bool, b
         f"coalesce(sum(if(score >= {float(threshold)}D, neg, 0)), 0L) as _fp",
     ]
     if curves:
-        hist = cumulate(hist, by, bounded)
+        hist = cumulate_in_place(hist, by) if bounded else cumulate(score_ranges(hist, by), by)
         aggs += [
             "sum(neg * (cpos - pos / 2D)) as _area",
             "sum(if(pos > 0, cast(pos as double) * cpos / (cpos + cneg), 0D)) as _steps",
@@ -102,7 +98,10 @@ def metrics(df: DataFrame, by: list[str] | None = None, prob: str = "prob", labe
             threshold: float = 0.5, curves: bool = True, bounded: bool = False) -> DataFrame:
     """Confusion metrics, tie-aware AUROC and average precision per group.
 
-    AUROC and AP are null for a single-class group.
+    AUROC and AP are null for a single-class group. Curves write the score
+    histogram when this is called. A caller who knows that scores carry few
+    decimals may say ``bounded``: then nothing is written, and a group's
+    scores, a million of them for six decimals, are sorted in one task.
     """
     by = by or []
     return _from_hist(score_histogram(df, by, prob, label), by, threshold, curves, bounded)
@@ -121,8 +120,8 @@ def fpr_operating_point(df: DataFrame, by: list[str], target: float, prob: str =
     A threshold flags the scores at or above it. Where even the highest score
     flags too many reals, threshold and rate are null and the recall is 0.
     """
-    hist = cumulate(score_histogram(df, by, prob, label), by)
-    totals = hist.groupBy(*by).agg(F.sum("pos").alias("n_fake"), F.sum("neg").alias("n_real"))
+    ranges = score_ranges(score_histogram(df, by, prob, label), by)
+    hist, totals = cumulate(ranges, by), ranges.groupBy(*by).agg(F.sum("pos").alias("n_fake"), F.sum("neg").alias("n_real"))
     joined = join_groups(hist, totals, by) if by else hist.withColumn("_t", totals.select(F.struct("n_fake", "n_real")).scalar()).select("*", "_t.*")
     ok = F.when(F.col("cneg") <= F.lit(target) * F.col("n_real"), F.struct((-F.col("score")).alias("order"), "score", "cpos", "cneg"))
     best = joined.groupBy(*by).agg(F.max(ok).alias("b"), F.first("n_fake").alias("n_fake"), F.first("n_real").alias("n_real"))
@@ -162,15 +161,16 @@ def pooled_generator_metrics(df: DataFrame, by: list[str], generator: str = "gen
                              threshold: float = 0.5) -> DataFrame:
     """Every generator's fakes against the same pooled reals, per ``by``.
 
-    Rows become counts per (by, generator, score). Reals are pooled and
-    cumulated over the score buckets of a ``by`` (see ``cumulate``); each
-    generator's scores then meet them on (by, score), never row against row.
+    Rows become counts per (by, generator, score), read once and written when
+    this is called. Reals are pooled and cumulated over the score ranges of a
+    ``by`` (see ``cumulate``); each generator's scores then meet them on
+    (by, score), never row against row.
     """
-    hist = df.groupBy(*by, generator, F.col("prob").alias("score")).agg(
-        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    hist = materialize(df.groupBy(*by, generator, F.col("prob").alias("score")).agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")), "pooled-histogram")
     fakes = hist.where(F.col("pos") > 0).select(*by, generator, "score", "pos")
-    grid = cumulate(hist.groupBy(*by, "score").agg(F.lit(0).alias("pos"), F.sum("neg").alias("neg")), by)
-    reals = hist.groupBy(*by).agg(F.sum("neg").alias("n_real"))
+    ranges = score_ranges(hist.groupBy(*by, "score").agg(F.lit(0).alias("pos"), F.sum("neg").alias("neg")), by)
+    grid, reals = cumulate(ranges, by), ranges.groupBy(*by).agg(F.sum("neg").alias("n_real"))
     above = join_groups(grid.drop("pos", "cpos"), reals, by) if by else grid.drop("pos", "cpos").withColumn("n_real", reals.scalar())
     grid = above.withColumn("upto", F.col("n_real") - F.col("cneg") + F.col("neg")).drop("n_real", "cneg")
     joined = join_groups(fakes, grid, [*by, "score"])

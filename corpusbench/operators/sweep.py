@@ -24,12 +24,16 @@ FAMILIES = {
 OTHER = "Other"
 
 
-def with_conditions(df: DataFrame, conditions: list[str], out: str = "condition") -> DataFrame:
+def with_conditions(df: DataFrame, conditions: list[str], out: str = "condition", partitions: int | None = None) -> DataFrame:
     """Every sample under every named condition.
 
     A generator over a literal list keeps the plan a map: no join, no
-    shuffle, and the factor is the length of the list.
+    shuffle, and the factor is the length of the list. Where the scan has
+    fewer splits than there are cores, the caller may name a number of
+    ``partitions`` over which samples are dealt before they are multiplied.
     """
+    if partitions:
+        df = df.repartition(partitions)
     return df.withColumn(out, F.explode(array_literal(conditions)))
 
 

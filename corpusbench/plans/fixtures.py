@@ -26,10 +26,20 @@ GRID = 8
 DIMS = 64
 
 
+#: Number of partitions over which a fixture deals a table whose file has too few splits for the cores at hand.
+SCAN_PARTITIONS = "corpusbench.fixture.partitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows over as many partitions as the session's setting names; as they are without it."""
+    n = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
+
+
 # ---------------------------------------------------------------- DataFrames
 
 
@@ -89,7 +99,7 @@ def line_key() -> Column:
 
 def scored_big(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = (F.col("l_returnflag") == "R").cast("int")
-    return table(spark, sf_dir, "lineitem").select(
+    return dealt(table(spark, sf_dir, "lineitem")).select(
         line_key().alias("id"),
         label.alias("label"),
         F.round(F.lit(0.35) * label + F.lit(0.65) * uniform("sb", line_key()), 2).alias("prob"),
@@ -102,7 +112,7 @@ def scored_big(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interleaved shards: ``(shard, pos)`` is the scan order."""
-    line = table(spark, sf_dir, "lineitem")
+    line = dealt(table(spark, sf_dir, "lineitem"))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
     return line.join(part, "l_partkey", "left").select(
         F.col("l_suppkey").alias("shard"),

@@ -123,3 +123,58 @@ def test_wide_forms(spark):
 def test_draws_come_from_the_table_function(spark):
     plan = entry.queries()["draws_udtf"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     assert "overlay_rows" in plan
+
+
+def counted(df, seen):
+    """The same rows, counted in an accumulator whenever they are computed."""
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    return df.mapInPandas(count, df.schema)
+
+
+def test_curves_read_their_rows_once(spark):
+    df = spark.range(4000).select((F.col("id") % 3 == 0).cast("int").alias("label"), ((F.col("id") * 7919 % 1000) / 1000.0).alias("prob"),
+                                  F.concat(F.lit("g"), F.col("id") % 7).alias("generator"), F.lit("c").alias("condition"))
+    for run in (lambda d: M.metrics(d, ["generator"]), lambda d: M.metrics(d), lambda d: M.fpr_operating_point(d, ["generator"], 0.01),
+                lambda d: M.pooled_generator_metrics(d, ["condition"]), lambda d: M.difficulty_rank(M.pooled_generator_metrics(d, ["condition"])),
+                lambda d: M.robust_metrics(d.withColumn("is_distorted", F.col("label") == 1))):
+        seen = spark.sparkContext.accumulator(0)
+        assert run(counted(df, seen)).collect() and seen.value == 4000
+
+
+def test_close_scores_are_spread_over_ranges(spark):
+    """Scores that differ in the tenth digit only, nearly all in one group, make ranges of about equal depth."""
+    n = 40_000
+    df = spark.range(n).select(F.when(F.col("id") % 20 == 0, "small").otherwise("hot").alias("g"), (F.col("id") % 2).cast("int").alias("label"),
+                               (F.lit(0.5) + F.hash("id") % 1000 * 1e-9 + F.col("id") * 1e-14).alias("prob"))
+    hist = M.score_histogram(df, ["g"])
+    ranges = M.score_ranges(hist, ["g"], parts=16)
+    sizes = [r["count"] for r in ranges.groupBy("_part").count().collect()]
+    assert len(sizes) == 16 and sum(sizes) == hist.count() and max(sizes) < 3 * min(sizes)
+    rows = {(r["g"], r["score"]): (r["cpos"], r["cneg"]) for r in M.cumulate(ranges, ["g"]).collect()}
+    assert rows == {(r["g"], r["score"]): (r["cpos"], r["cneg"]) for r in M.cumulate_in_place(hist, ["g"]).collect()}
+    y, p = map(np.array, zip(*[(r["label"], r["prob"]) for r in df.where("g = 'hot'").collect()]))
+    got = {r["g"]: r for r in M.metrics(df, ["g"]).collect()}["hot"]
+    order = np.argsort(p)
+    cpos = np.cumsum(y[order[::-1]])
+    assert got["auroc"] == pytest.approx(numpy_auc(y, p), abs=1e-12)
+    assert got["ap"] == pytest.approx((cpos / np.arange(1, len(p) + 1))[y[order[::-1]] == 1].mean(), abs=1e-12)
+
+
+def numpy_auc(y, p):
+    ranks = np.empty(len(p))
+    ranks[np.argsort(p)] = np.arange(1, len(p) + 1)
+    pos = y.sum()
+    return (ranks[y == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(y) - pos))
+
+
+def test_null_scores_and_groups_in_ranges(spark):
+    rows = [(g, y, p) for g in (None, "a", "b") for y, p in ((1, 0.9), (0, 0.9), (None, 0.4), (1, 0.1), (0, 0.0), (0, None))]
+    df = spark.createDataFrame(rows, "g string, label int, prob double")
+    ranged, whole = (sorted(map(tuple, M.metrics(df, ["g"], bounded=b).collect()), key=str) for b in (False, True))
+    assert ranged == whole and len(ranged) == 3 and all(r[1] == 6 for r in ranged)
+    assert M.metrics(df.limit(0), ["g"]).count() == 0 and M.metrics(df.limit(0)).first()["n"] == 0
