@@ -79,7 +79,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    emb = table(spark, sf_dir, "embeddings").withColumn("y", (F.col("label") >= 5).cast("int"))
+    emb = dealt(table(spark, sf_dir, "embeddings")).withColumn("y", (F.col("label") >= 5).cast("int"))
     weights = mean_difference_weights(emb, "embedding", "y")
     return linear_score(emb, "embedding", weights, DIMS, scale=8.0).select(
         F.col("vec_id").alias("id"),
@@ -185,7 +185,7 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pixel_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8x8 patches in (0, 1): the sigmoid of the scaled embedding."""
-    return table(spark, sf_dir, "embeddings").select(
+    return dealt(table(spark, sf_dir, "embeddings")).select(
         F.col("vec_id").alias("id"),
         (F.col("label") >= 5).cast("int").alias("label"),
         F.transform("embedding", lambda x: F.lit(1.0) / (

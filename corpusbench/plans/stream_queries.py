@@ -13,6 +13,7 @@ from corpusbench.plans.fixtures import oracle, u
 from corpusbench.plans.metric_queries import metrics_sql
 from corpusbench.plans.registry import query
 from corpusbench.session import scratch
+from corpusbench.streaming import caps as P
 from corpusbench.streaming import scoring as T
 
 
@@ -96,6 +97,55 @@ def stream_own_caps(spark, sf):
     return taken.join(F.broadcast(ledger.select("model", "reached")), "model")
 
 
+_STOP_CAPS = {"m1": 5, "m4": 12, "m5": 1, "m11": 9}
+_STOP_SQL = ", ".join(f"('{m}', {n})" for m, n in _STOP_CAPS.items())
+
+
+def capped_arrivals(spark, sf):
+    """Fake lines as a capped stream takes them, and the shard ranges in which they arrive."""
+    src = fx.shards(spark, sf).where("label = 'fake'").select(F.col("model").alias("key"), "shard", "pos", F.lit("").alias("row"))
+    edges = [0, *range(10, 100, 10), 2**62]
+    return src, list(zip(edges, edges[1:]))
+
+
+@query("stream_stops_at_caps", oracle(f"""
+    with caps(model, cap) as (values {_STOP_SQL}),
+         s as (select model, shard, pos, least(shard // 10, 9) as arrival, row_number() over (partition by model order by shard, pos) as rn, cap
+               from shards join caps using (model) where label = 'fake'),
+         ends as (select count(*) = (select count(*) from caps) as reached, max(arrival) + 1 as arrivals from s where rn = cap)
+    select model, shard, pos, reached, (case when reached then arrivals else 10 end)::bigint as arrivals_read
+    from s, ends where rn <= cap""", "shards"))
+def stream_stops_at_caps(spark, sf):
+    """A pull that ends once every cap is reached: later arrivals are never read."""
+    src, ranges = capped_arrivals(spark, sf)
+    path, out, checkpoint = (scratch(spark, n) for n in ("arriving", "stopped", "stopped-checkpoint"))
+    for lo, hi in ranges:
+        src.where((F.col("shard") >= lo) & (F.col("shard") < hi)).write.mode("append").parquet(path)
+        reached = P.run_until_capped(T.shard_stream(spark, path, src.schema, per_trigger=None), _STOP_CAPS, out, checkpoint)
+        if reached:
+            break
+    read = len(P.written_batches(spark, f"{out}/ledger"))
+    return P.read_capped(spark, out).select("model", "shard", "pos", F.lit(reached).alias("reached"), F.lit(read).cast("long").alias("arrivals_read"))
+
+
+@query("stream_state_caps", oracle("""
+    select model, shard, count(*) as taken, sum(count(*)) over (partition by model)::bigint as used
+    from (select *, row_number() over (partition by model order by shard, pos) as rn from shards where label = 'fake')
+    where rn <= 40 group by model, shard""", "shards"))
+def stream_state_caps(spark, sf):
+    """Caps in typed state over three runs of one checkpoint; the result is the state itself, read as tables."""
+    src, _ = capped_arrivals(spark, sf)
+    path, out, checkpoint = (scratch(spark, n) for n in ("arriving", "state-capped", "state-checkpoint"))
+    edges = [0, 30, 60, 2**62]
+    with P.state_settings(spark):
+        for lo, hi in zip(edges, edges[1:]):
+            src.where((F.col("shard") >= lo) & (F.col("shard") < hi)).write.mode("append").parquet(path)
+            T.run_to_files(P.capped_with_state(T.shard_stream(spark, path, src.schema, per_trigger=None), 40), "state-caps", checkpoint, out)
+        used = P.read_used(spark, checkpoint).select(F.col("key").alias("model"), F.col("taken").alias("used"))
+        shards = P.read_shards(spark, checkpoint).select(F.col("key").alias("model"), "shard", "taken")
+        return shards.join(used, "model")
+
+
 @query("stream_running_metrics", oracle("""
     select event_id // 1000 as block, count(*) as n, count(*) filter (where (prob >= 0.5)::int = label) as correct,
            round(count(*) filter (where (prob >= 0.5)::int = label) / count(*)::double, 6) as accuracy, round(avg(prob), 6) as mean_p

@@ -62,23 +62,25 @@ def running_counts(stream: DataFrame, seq: str, every: int, threshold: float = 0
 CAP_FIELDS = "key string, shard long, pos string, row string"
 
 
-def capped_by_key(stream: DataFrame, cap: int | dict[str, int | None], default: int = 0) -> DataFrame:
-    """First rows per key over the whole stream, by a carried count.
-
-    ``cap`` is one number for all keys, or a number per wanted key; other
-    keys are then dropped. A null cap takes ``default``, and 0 means
-    uncapped. ``stream`` has ``key, shard, pos, row``. Only a count is kept
-    per key. Rows of one trigger are taken in (shard, pos) order. Every task
-    first keeps its own earliest rows per key, so a key that fills a third of
-    the stream sends its cap of rows per task to its state, not its rows.
-    """
+def row_limit(cap: int | dict[str, int | None], default: int = 0) -> Callable[[str], int]:
+    """Rows allowed per key: one number for all, or one per wanted key; null takes ``default``, 0 means uncapped."""
 
     def limit(key: str) -> int:
         n = cap if isinstance(cap, int) else (default if cap[key] is None else cap[key])
         return n or 2**62
 
+    return limit
+
+
+def earliest_per_key(rows: DataFrame, cap: int | dict[str, int | None], default: int = 0) -> DataFrame:
+    """Of ``key, shard, pos, row`` each task's first rows per wanted key, as many as the cap allows.
+
+    So a key that fills a third of the stream sends its cap of rows per task
+    on, not its rows.
+    """
+    limit = row_limit(cap, default)
     if isinstance(cap, dict):
-        stream = stream.where(F.col("key").isin(list(cap)))
+        rows = rows.where(F.col("key").isin(list(cap)))
 
     def earliest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: pd.DataFrame | None = None
@@ -88,19 +90,37 @@ def capped_by_key(stream: DataFrame, cap: int | dict[str, int | None], default:
         if best is not None:
             yield best
 
+    return rows.select("key", "shard", "pos", "row").mapInPandas(earliest, CAP_FIELDS)
+
+
+def first_rows(batches: Iterator[pd.DataFrame], room: int) -> pd.DataFrame | None:
+    """The first ``room`` rows in (shard, pos) order."""
+    best: pd.DataFrame | None = None
+    if room > 0:
+        for pdf in batches:
+            both = pdf if best is None else pd.concat([best, pdf])
+            best = both.sort_values(["shard", "pos"], kind="stable").head(room)
+    return best
+
+
+def capped_by_key(stream: DataFrame, cap: int | dict[str, int | None], default: int = 0) -> DataFrame:
+    """First rows per key over the whole stream, by a carried count.
+
+    ``cap`` is one number for all keys, or a number per wanted key; other
+    keys are then dropped. A null cap takes ``default``, and 0 means
+    uncapped. ``stream`` has ``key, shard, pos, row``. Only a count is kept
+    per key. Rows of one trigger are taken in (shard, pos) order.
+    """
+    limit = row_limit(cap, default)
+
     def take(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         used = state.get[0] if state.exists else 0
-        room = limit(key[0]) - used
-        best: pd.DataFrame | None = None
-        if room > 0:
-            for pdf in batches:
-                both = pdf if best is None else pd.concat([best, pdf])
-                best = both.sort_values(["shard", "pos"], kind="stable").head(room)
+        best = first_rows(batches, limit(key[0]) - used)
         if best is not None and len(best):
             state.update((used + len(best),))
             yield best[["key", "shard", "pos", "row"]]
 
-    return stream.select("key", "shard", "pos", "row").mapInPandas(earliest, CAP_FIELDS).groupBy("key").applyInPandasWithState(
+    return earliest_per_key(stream, cap, default).groupBy("key").applyInPandasWithState(
         take, outputStructType=CAP_FIELDS, stateStructType="used long", outputMode="append",
         timeoutConf=GroupStateTimeout.NoTimeout)
 
