@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusbench.functions.permute import Permutation
 from corpusbench.functions.rng import choice, uniform
-from corpusbench.operators.ranking import grouped_row_number, seeded_row_number
+from corpusbench.operators.ranking import grouped_row_number, grouped_sum_before, join_groups, seeded_row_number
 
 
 def source_classes(specs: DataFrame) -> DataFrame:
@@ -63,6 +64,47 @@ def weighted_pick(draws: DataFrame, steps: DataFrame, u: Column, by: str = "labe
         out, pick_interval(F.col("steps"), F.col("_u"))).drop("steps", "_u")
 
 
+def interval_bounds(shares: DataFrame, by: list[str], order: list[str], weight: str) -> DataFrame:
+    """Each row of positive weight with its interval ``_lo`` to ``_hi`` of the cumulative weight; the last is open above.
+
+    A class's weights are summed up in one task; see ``count_bounds`` for intervals as many as rows.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    hi = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cum = shares.where(F.col(weight) > 0).withColumn("_hi", hi)
+    return cum.withColumns({"_lo": F.coalesce(F.lag("_hi").over(w), F.lit(0.0)), "_last": F.lead("_hi").over(w).isNull()})
+
+
+def count_bounds(rows: DataFrame, by: list[str], order: list[str], bucket: Column, size: str) -> DataFrame:
+    """Each row of positive whole ``size`` with its interval, in proportion to the sizes of its class.
+
+    Sums go over buckets that follow the order (see ``ranking``), so a class of any number of rows is cut over tasks.
+    """
+    some = rows.where(F.col(size) > 0)
+    totals = some.groupBy(*by).agg(F.sum(size).alias("_total"))
+    cum = join_groups(grouped_sum_before(some, by, order, bucket, F.col(size), "_before"), totals, by)
+    upto = F.col("_before") + F.col(size)
+    return cum.withColumns({"_lo": F.col("_before") / F.col("_total"), "_hi": upto / F.col("_total"), "_last": upto == F.col("_total")}).drop("_before", "_total")
+
+
+def range_join(draws: DataFrame, bounds: DataFrame, u: Column, by: list[str], bins: int, keep: list[str]) -> DataFrame:
+    """Every draw with the interval that holds it, for tables of intervals too large for an array.
+
+    Zero to one is cut into ``bins``; an interval is listed in each bin that
+    it touches, a draw lies in one, so they meet by an equi-join and the
+    bounds decide. With at least as many bins as intervals the lists hold
+    at most twice as many rows as there are bins, and a draw meets two
+    intervals on average whatever the weights are. A bin that holds many draws is
+    split like any skewed join key.
+    """
+    cut = lambda x: F.least(F.greatest(F.floor(x * bins), F.lit(0)), F.lit(bins - 1))
+    last_bin = F.when(F.col("_last"), F.lit(bins - 1).cast("long")).otherwise(cut(F.col("_hi")))
+    listed = bounds.select(*by, *keep, "_lo", "_hi", "_last", F.explode(F.sequence(cut(F.col("_lo")), last_bin)).alias("_bin"))
+    placed = draws.withColumn("_u", u).withColumn("_bin", cut(F.col("_u")))
+    inside = (F.col("_u") >= F.col("_lo")) & ((F.col("_u") < F.col("_hi")) | F.col("_last"))
+    return join_groups(placed, listed, [*by, "_bin"]).where(inside).drop("_u", "_bin", "_lo", "_hi", "_last")
+
+
 def weighted_source(draws: DataFrame, shares: DataFrame, u: Column, weight: str = "share",
                     out: str = "source") -> DataFrame:
     """Source by its overall weight; the one row of intervals is a scalar subquery."""
@@ -133,6 +175,32 @@ def epoch_shuffle(df: DataFrame, seed: int, epoch: int, key: str, worker: int =
     return df.withColumn("u", uniform(mixed, F.col(key))).orderBy("u", key)
 
 
+def epoch_key(seed: int, epoch: int, worker: int = 0, round_: int = 0) -> str:
+    """Key of an epoch's order. A resumed run keeps the key and starts at its place, so no step meets another epoch's order."""
+    return f"{seed}.{worker}.{epoch}.{round_}"
+
+
+def numbered(df: DataFrame, key: str, bucket: Column, out: str = "row") -> DataFrame:
+    """Rows numbered from 0 in key order, once for all epochs; ``bucket`` follows the key (see ``ranking``). Write the result."""
+    rows = grouped_row_number(df, [], [key], bucket, out="_rn")
+    return rows.withColumn(out, F.col("_rn") - 1).drop("_rn")
+
+
+def epoch_places(rows: DataFrame, order: Permutation, row: str = "row", out: str = "place") -> DataFrame:
+    """Every row with its place in an epoch: a projection, nothing is sorted or shuffled."""
+    return rows.withColumn(out, order.place(F.col(row)))
+
+
+def epoch_slice(rows: DataFrame, order: Permutation, start: int, stop: int, row: str = "row", out: str = "place") -> DataFrame:
+    """The rows at places from ``start`` up to ``stop`` (not included) of an epoch, where a resumed run goes on.
+
+    Places are turned into row numbers and joined, so only the slice is
+    shuffled, however far into the epoch it lies.
+    """
+    wanted = rows.sparkSession.range(max(0, start), min(stop, order.n)).select(F.col("id").alias(out), order.row(F.col("id")).alias(row))
+    return rows.join(wanted, row)
+
+
 # Probability and levels of each augmentation, and the kinds
 # an extra distortion is drawn from (the aligned set keeps pixels in place).
 AUGMENT = {

@@ -13,6 +13,7 @@ from corpusbench.plans import fixtures as fx
 from corpusbench.plans.fixtures import oracle, pick, u
 from corpusbench.plans.registry import query
 from corpusbench.session import scratch
+from corpusbench.sources import sinks
 
 
 @query("class_balance", oracle("""
@@ -161,6 +162,20 @@ def materialize_slice(spark, sf):
         F.count("*").alias("rows"), F.max(F.length("prompt")).cast("long").alias("longest"))
 
 
+@query("slices_by_shard", oracle("""
+    select coalesce(label, -1) as label, generator, (id % 6)::int as shard, count(*) as rows, max(length(substr(text, 1, case when id % 6 = 3 then 120 else 200 end))) as longest
+    from samples where id % 6 <> 3 or id % 2 = 1 group by all""", "samples"))
+def slices_by_shard(spark, sf):
+    """All samples by label, generator and shard; shard 3 is pulled again with shorter prompts and odd ids only, which replaces it."""
+    rows = fx.samples(spark, sf).select(F.coalesce("label", F.lit(-1)).alias("label"), "generator", (F.col("id") % 6).cast("int").alias("shard"), "id", F.substring("text", 1, 200).alias("prompt"))
+    path = scratch(spark, "slices")
+    sinks.write_slices(rows, path, list(range(6)), rows_per_file=10_000)
+    again = rows.where("shard = 3 and id % 2 = 1").withColumn("prompt", F.substring("prompt", 1, 120))
+    sinks.write_slices(again, path, [3], rows_per_file=10_000)
+    back = spark.read.schema("id long, prompt string, label int, generator string, shard int").parquet(path)
+    return back.groupBy("label", "generator", "shard").agg(F.count("*").alias("rows"), F.max(F.length("prompt")).cast("long").alias("longest"))
+
+
 @query("file_inventory", """
     with f as (select 'lang=' || lang as folder, sum(strlen(replace(text, chr(10), ' ')) + 1)::bigint as bytes from documents group by lang, doc_id % 16),
          r as (select *, row_number() over (partition by folder order by bytes desc) as place from f)

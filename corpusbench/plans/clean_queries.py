@@ -435,6 +435,25 @@ def passage_leak_audit(spark, sf):
     return passage_leaks(fx.table(spark, sf, "documents"), fx.table(spark, sf, "benchmark"), "doc_id", "item_id")
 
 
+_SHORT_SQL = """
+    select item_id, text from benchmark
+    union all select item_id + 1000000, split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) from benchmark
+    union all select item_id + 2000000, split_part(text, ' ', 4) from benchmark"""
+
+
+@query("short_passage_leak_audit", f"""
+    with p as ({_SHORT_SQL}) select item_id, count(*) as n_docs, min(doc_id) as first_doc, max(doc_id) as last_doc
+    from (select distinct d.doc_id, p.item_id from documents d join p on p.text <> '' and contains(d.text, p.text)) group by item_id""")
+def short_passage_leak_audit(spark, sf):
+    """Documents per held-out passage, with one- and two-word passages beside the whole ones."""
+    items = fx.table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    word = lambda k: F.coalesce(F.get(F.split("text", " "), F.lit(k)), F.lit(""))
+    pairs = items.select((F.col("item_id") + 1_000_000).alias("item_id"), F.concat_ws(" ", word(1), word(2)).alias("text"))
+    single = items.select((F.col("item_id") + 2_000_000).alias("item_id"), word(3).alias("text"))
+    leaks = passage_leaks(fx.table(spark, sf, "documents"), items.unionByName(pairs).unionByName(single), "doc_id", "item_id")
+    return leaks.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
+
 @query("train_heldout_overlap", """
     with d as (select sha256(text) as content_id, source in ('src3', 'src7', 'src11') as held from documents)
     select content_id, count(*) filter (where not held) as train_rows, count(*) filter (where held) as held_rows

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusbench.functions.permute import Permutation
 from corpusbench.functions.rng import choice, uniform
 from corpusbench.operators import metrics as M
 from corpusbench.operators import mixture as X
@@ -12,6 +13,7 @@ from corpusbench.operators.ranking import seeded_row_number
 from corpusbench.plans import fixtures as fx
 from corpusbench.plans.fixtures import oracle, pick, u
 from corpusbench.plans.registry import query
+from corpusbench.session import materialize
 
 _CLASSES = """cls as (select *, case when type = 'folders' then
         case when has_real_dirs = has_fake_dirs then [0, 1] when has_real_dirs then [0] else [1] end
@@ -80,6 +82,22 @@ def weighted_range_join(spark, sf):
     return got.groupBy("source").agg(F.count("*").alias("draws"))
 
 
+@query("document_range_join", f"""
+    with cum as (select doc_id, lang, sum(n_chars) over w::double / sum(n_chars) over (partition by lang) as hi from documents
+                 where n_chars > 0 window w as (partition by lang order by doc_id)),
+         iv as (select *, coalesce(lag(hi) over (partition by lang order by doc_id), 0) as lo from cum),
+         ev as (select event_id, (['de', 'en', 'es', 'fr'])[1 + event_id % 4] as lang, {u('dr', 'event_id')} as uu from events)
+    select event_id, doc_id from ev asof join iv on ev.lang = iv.lang and ev.uu >= iv.lo""")
+def document_range_join(spark, sf):
+    """Every event to a document of its language, in proportion to the documents' lengths: one interval per document."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    bounds = X.count_bounds(docs, ["lang"], ["doc_id"], F.floor(F.col("doc_id") / 4096), "n_chars")
+    lang = F.get(F.array(*map(F.lit, ("de", "en", "es", "fr"))), F.col("event_id") % 4)
+    events = fx.table(spark, sf, "events").select("event_id", lang.alias("lang"))
+    bins = max(1, docs.count())
+    return X.range_join(events, bounds, uniform("dr", F.col("event_id")), ["lang"], bins, ["doc_id"]).select("event_id", "doc_id")
+
+
 @query("weighted_pick", oracle(f"""with {_SHARES},
     cum as (select label, source, k, sum(class_share) over (partition by label order by k) as hi from shares where class_share > 0)
     select event_id, arg_min(source, k) filter (where {u('wp', 'event_id')} < hi) as source
@@ -142,6 +160,34 @@ def epoch_shuffle(spark, sf):
     return seeded_row_number(df, [], X.epoch_seed(40, 3, worker=1), "event_id", out="place")
 
 
+def _draw_sql(i: int, half: str) -> str:
+    return f"('0x' || substr(md5('40.1.3.0|{i}|' || {half}), 1, 15))::bigint"
+
+
+def _rounds_sql(source: str) -> str:
+    """The six rounds over ``source`` (event_id, x, n, a, b), one subquery each."""
+    sql = f"select *, x // b as l, x % b as r from {source}"
+    for i in range(6):
+        half = f"(l + {_draw_sql(i, 'r')} % a) % a as l, r" if i % 2 == 0 else f"l, (r + {_draw_sql(i, 'l')} % b) % b as r"
+        sql = f"select event_id, n, a, b, {half} from ({sql})"
+    return f"select event_id, l * b + r as x, n, a, b from ({sql})"
+
+
+@query("epoch_resume", f"""
+    with recursive c as (select count(*) as n, floor(sqrt(count(*)))::bigint as top from events),
+    g as (select n, a, (n + a - 1) // a as b from (select n, top, unnest(range(greatest(1, top // 2, top - 50000), top + 1)) as a from c)
+          order by (a - n % a) % a, a desc limit 1),
+    s as (select event_id, row_number() over (order by event_id) - 1 as x, n, a, b from events, g),
+    walk as (select * from ({_rounds_sql('s')}) union all select * from ({_rounds_sql('(select * from walk where x >= n)')}))
+    select event_id, x as place from walk where x < n and x >= n * 4 // 10""")
+def epoch_resume(spark, sf):
+    """Worker 1 resumes epoch 3 after four tenths: the rest of the order, looked up place by place."""
+    events = fx.table(spark, sf, "events").select("event_id")
+    rows = materialize(X.numbered(events, "event_id", F.floor(F.col("event_id") / 4096)), "epoch-rows")
+    n = rows.count()
+    return X.epoch_slice(rows, Permutation(n, X.epoch_key(40, 3, worker=1)), n * 4 // 10, n).select("event_id", "place")
+
+
 BATCH = 64
 
 

@@ -117,14 +117,14 @@ def folder_pair_source(spark, sf):
 @query("labelled_csv_join", """
     select l.doc_id, quality as label, case when l.doc_id % 3 = 0 then 'images/doc_' || l.doc_id || '.jpg'
            else 'images/nested/doc_' || l.doc_id || '.jpg' end as path
-    from labels l join documents d using (doc_id) where l.doc_id % 5 > 0""")
+    from labels l join documents d using (doc_id)""")
 def labelled_csv_join(spark, sf):
-    """Labels through a CSV file; a third of the images are listed flat and nested."""
+    """Labels through a CSV file; a third of the images are listed flat and nested, and those without a label find none."""
     out = scratch(spark, "csv")
     name = F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".jpg"))
     fx.table(spark, sf, "labels").select(name.alias("image_name"), F.col("quality").alias("label")).write.option("header", True).csv(out)
     labels = spark.read.option("header", True).schema("image_name string, label int").csv(out)
-    docs = fx.table(spark, sf, "documents").where("doc_id % 5 > 0")
+    docs = fx.table(spark, sf, "documents")
     nested = docs.select(F.concat(F.lit("images/nested/"), name).alias("path"))
     flat = docs.where("doc_id % 3 = 0").select(F.concat(F.lit("images/"), name).alias("path"))
     joined = R.require_rows(R.labelled_csv_join(labels, nested.unionByName(flat)), "no images match the labels")
@@ -259,3 +259,34 @@ def predictions_sink(spark, sf):
     back = spark.read.schema("image_path string, pred double").json(out)
     head = sinks.run_header(back, res="512")
     return back.withColumn("n_images", head.select("n_images").scalar()).withColumn("n_scored", head.select("n_scored").scalar())
+
+
+def detailed_predictions(spark, sf):
+    """Scored grids with label, size and heat rows; failed ones have neither score nor label."""
+    rows = fx.pixel_grid(spark, sf).select("id", "grid").join(fx.scored(spark, sf).select("id", "prob"), "id")
+    heat = F.transform(F.sequence(F.lit(0), F.lit(fx.GRID - 1)), lambda r: F.transform(F.slice("grid", r * fx.GRID + 1, fx.GRID), lambda x: F.round(x, 4)))
+    ok = lambda c: F.when(uniform("fail", F.col("id")) >= 0.02, c)
+    return rows.select(
+        F.concat(F.lit("img/"), F.col("id")).alias("image_path"), ok(F.col("prob")).alias("pred"), ok(F.when(F.col("prob") >= 0.5, "AI").otherwise("REAL")).alias("label"),
+        F.struct(F.lit(fx.GRID * 16).alias("width"), F.lit(fx.GRID * 16).alias("height")).alias("size"), ok(heat).alias("heatmap"))
+
+
+DETAIL = "image_path string, pred double, label string, size struct<width int, height int>, heatmap array<array<double>>"
+
+
+@query("predictions_document", oracle(f"""
+    with c as (select id, r, list(round(x, 4) order by c) as line from cells group by id, r),
+         h as (select id, list(line order by r) as heatmap from c group by id)
+    select 'img/' || id as image_path, case when ok then prob end as pred, case when ok then case when prob >= 0.5 then 'AI' else 'REAL' end end as label,
+           128 as width, case when ok then round(list_sum(list_transform(heatmap, lambda l: list_sum(l))), 4) end as heat, case when ok then heatmap[8][1] end as corner,
+           count(*) over () as n_images, count(*) filter (where ok) over () as n_scored, count(*) filter (where not ok) over () as n_failed
+    from (select *, {u('fail', 'id')} >= 0.02 as ok from scored join h using (id))""", "scored", "cells"))
+def predictions_document(spark, sf):
+    """The detailed predictions as one JSON document with run metadata and counts, read back line by line."""
+    out = scratch(spark, "predictions") + ".json"
+    rows = detailed_predictions(spark, sf)
+    sinks.write_document(rows, out, sinks.run_header(rows, checkpoint="probe", res="512"), "image_path")
+    back, head = sinks.read_document(spark, out, DETAIL)
+    heat = F.aggregate(F.flatten("heatmap"), F.lit(0.0), lambda s, x: s + x)
+    return back.select("image_path", "pred", "label", F.col("size.width").alias("width"), F.round(heat, 4).alias("heat"), F.get(F.get("heatmap", F.lit(7)), F.lit(0)).alias("corner"),
+                       *[F.lit(head[k]).cast("long").alias(k) for k in ("n_images", "n_scored", "n_failed")])

@@ -8,6 +8,7 @@ from corpusbench.operators.probe import batch_score
 from corpusbench.sources import files as S
 from corpusbench.sources import metrics_json as J
 from corpusbench.sources import readers as R
+from corpusbench.sources import sinks
 from corpusbench.streaming import scoring as T
 
 
@@ -94,3 +95,51 @@ def test_first_seen_with_a_watermark(spark, tmp_path):
     stream = T.first_seen(T.shard_stream(spark, str(tmp_path / "in"), rows.schema, None), "k", ("ts", "1 hour"))
     out = T.run_to_files(stream, "w", str(tmp_path / "cp"), str(tmp_path / "out"))
     assert sorted(r.k for r in spark.read.schema(rows.schema).parquet(out).collect()) == list(range(7))
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_document_is_one_json_value(spark, tmp_path, parts):
+    rows = [(f"img/{k:03d}", None if k % 7 == 0 else k / 10, {"w": k}, [[k + 0.5], [None]], 'say "hi",\n{[') for k in range(50)] + [("img/001", 0.1, None, None, None)]
+    df = spark.createDataFrame(rows, "image_path string, pred double, size struct<w int>, heatmap array<array<double>>, note string").repartition(parts)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    out = str(tmp_path / "preds.json")
+    for _ in range(2):  # a second run replaces the document
+        sinks.write_document(df, out, sinks.run_header(df, checkpoint="a\"b"), "image_path")
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    doc = json.loads((tmp_path / "preds.json").read_text())
+    assert (doc["checkpoint"], doc["n_images"], doc["n_scored"], doc["n_failed"]) == ('a"b', 51, 43, 8)
+    assert [p["image_path"] for p in doc["predictions"]] == sorted(r[0] for r in rows)
+    assert doc["predictions"][0] == {"image_path": "img/000", "pred": None, "size": {"w": 0}, "heatmap": [[0.5], [None]], "note": 'say "hi",\n{['}
+    back, head = sinks.read_document(spark, out, "image_path string, pred double, size struct<w int>, heatmap array<array<double>>, note string")
+    assert head == {k: v for k, v in doc.items() if k != "predictions"}
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
+
+
+def test_empty_document(spark, tmp_path):
+    df = spark.createDataFrame([], "image_path string, pred double")
+    sinks.write_document(df, str(tmp_path / "none.json"), sinks.run_header(df), "image_path")
+    assert json.loads((tmp_path / "none.json").read_text()) == {"threshold": 0.5, "n_images": 0, "n_scored": 0, "n_failed": 0, "predictions": []}
+    assert sinks.read_document(spark, str(tmp_path / "none.json"), "image_path string, pred double")[0].count() == 0
+
+
+def test_slices_of_a_shard_are_replaced(spark, tmp_path):
+    path = str(tmp_path / "slices")
+    rows = spark.range(4000).select((F.col("id") % 2).cast("int").alias("label"), F.concat(F.lit("g/"), F.col("id") % 3).alias("generator"),
+                                    (F.col("id") % 5).cast("int").alias("shard"), "id")
+    sinks.write_slices(rows, path, list(range(5)), rows_per_file=40)
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "slices").rglob("*.parquet")}
+    assert all(pd.read_parquet(f).shape[0] <= 40 for f in files)
+    again = rows.where("shard = 3 and label = 1").withColumn("id", -F.col("id"))
+    for _ in range(2):
+        sinks.write_slices(again, path, [3], rows_per_file=40)
+        back = spark.read.parquet(path).select("label", "generator", "shard", "id")
+        want = {tuple(r) for r in rows.where("shard <> 3").collect()} | {tuple(r) for r in again.collect()}
+        got = [tuple(r) for r in back.collect()]
+        assert set(got) == want and len(got) == len(want)
+    kept = {f: t for f, t in files.items() if "shard=3" not in str(f)}
+    assert kept == {f: f.stat().st_mtime_ns for f in kept}
+    plan = spark.read.parquet(path).where("shard = 3 and generator = 'g/1'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan and "generator" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    with pytest.raises(Exception, match="not named: 1"):
+        sinks.write_slices(rows.where("shard = 1"), path, [3])
+    assert spark.read.parquet(path).count() == len(want)
