@@ -378,7 +378,7 @@ def only_these(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def exact_links(texts: DataFrame, marked: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) that join what is linked in each group, by the sorted sets of the marked classes.
+    """Links (a, b) that join what is linked in each group, and the digests (p, q) of the linked sets, by the sorted sets of the marked classes.
 
     The sets are made from the texts in the task that needs them: a text
     packs better than its hashes. An id with several texts may stand for
@@ -388,7 +388,7 @@ def exact_links(texts: DataFrame, marked: DataFrame, words: int, percent: int) -
     whole = some.join(marked.withColumnRenamed("rep", "doc_id"), "doc_id").select("hub", "x", "y", "own", "doc_id", "digest", "packed")
 
     def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple[int, int]]:
+        def rows() -> Iterator[tuple[int, int, bytes, bytes]]:
             unpack = zstandard.ZstdDecompressor().decompress
             for held in grouped(parts, 3):
                 made = ((r[4], r[3], shingle_set(unpack(r[6]), words), r[5]) for r in held)
@@ -396,14 +396,26 @@ def exact_links(texts: DataFrame, marked: DataFrame, words: int, percent: int) -
                 sets = [r[2] for r in found]
                 fits = tile_fits(np.array([len(s) for s in sets], np.int64), [bitmap(s) for s in sets], np.array([r[1] for r in found]), percent)
                 for i, j in spanning_links(sets, fits, percent):
-                    a, b = found[i][0], found[j][0]
-                    yield (a, b) if a < b else (b, a)
+                    (a, p), (b, q) = sorted((found[k][0], found[k][3]) for k in (i, j))
+                    yield a, b, p, q
             pa.default_memory_pool().release_unused()
 
-        yield from batches(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        yield from batches(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64()), ("p", pa.binary()), ("q", pa.binary())]))
 
     dealt = whole.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y")
-    return materialize(dealt.mapInArrow(verify, "a long, b long"), "links")
+    return materialize(dealt.mapInArrow(verify, "a long, b long, p binary, q binary"), "links")
+
+
+def linked_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents with the digest of their set, the classes of equal sets with their least id, and the links between classes."""
+    texts = narrow(docs, "doc_id", "text")
+    table = groups_and_documents(texts, words, percent)
+    documents = table.where("hub is null").select("doc_id", "n", "class", "digest", "bits")
+    classes = documents.where("doc_id is not null and n > 0").groupBy("class", "digest").agg(
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("bits").alias("bits"))
+    classes = materialize(classes, "classes")
+    groups = materialize(table.where("hub is not null").select("hub", "class").distinct(), "groups")
+    return documents, classes, exact_links(texts, with_partner(groups, classes, percent), words, percent)
 
 
 def near_copies(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -415,28 +427,46 @@ def near_copies(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT)
     rows are equal sets, so they link. Empty table: no rows. Other columns are
     not read.
     """
-    texts = narrow(docs, "doc_id", "text")
-    table = groups_and_documents(texts, words, percent)
-    documents = table.where("hub is null").select("doc_id", "n", "class", "digest", "bits")
-    classes = documents.where("doc_id is not null and n > 0").groupBy("class", "digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("bits").alias("bits"))
-    classes = materialize(classes, "classes")
-    groups = materialize(table.where("hub is not null").select("hub", "class").distinct(), "groups")
-    links = exact_links(texts, with_partner(groups, classes, percent), words, percent)
-    components = connected_components(links).withColumnRenamed("v", "rep")
+    documents, classes, links = linked_classes(docs, words, percent)
+    components = connected_components(links.select("a", "b")).withColumnRenamed("v", "rep")
     named = materialize(classes.join(components, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "components")
     joined = documents.join(named, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def with_digest(docs: DataFrame, words: int) -> DataFrame:
+    """The rows with the digest of their shingle set as ``_digest``."""
+    place = docs.columns.index("text")
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            made = [class_of(shingle_set(raw, words))[1] for raw in binary_texts(part.column(place))]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], names=[*part.schema.names, "_digest"])
+
+    return docs.mapInArrow(add, docs.select("*", F.lit(b"").alias("_digest")).schema)
+
+
 def keep_one_of_each(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The document with the smallest id of each component, all columns as they were.
+    """One document of each component, that with the smallest id, all columns as they were.
 
-    Rows without an id stay. Rows that repeat an id are one document.
+    Rows are told apart by id and text: where texts of one id differ, each is
+    a document of its own and stays or goes with what it is linked with. Rows
+    of one id and one shingle set are one document. Texts without shingles
+    are linked with nothing and stay, one for each id. Rows without an id
+    stay. Empty table: no rows.
     """
-    found = near_copies(docs, words=words, percent=percent)
-    keep = materialize(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    documents, classes, links = linked_classes(docs, words, percent)
+    node = lambda rep, digest: F.struct(F.col(rep).alias("rep"), F.col(digest).alias("digest"))
+    components = connected_components(links.select(node("a", "p").alias("a"), node("b", "q").alias("b")))
+    beaten = components.where("v <> component").select("v.rep", "v.digest")
+    first = classes.select("rep", "digest").join(beaten, ["rep", "digest"], "left_anti").select(F.col("rep").alias("doc_id"), "digest")
+    wordless = documents.where("doc_id is not null and n = 0").select("doc_id", "digest").distinct()
+    keep = materialize(first.unionByName(wordless), "kept")
+    several = documents.where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+    torn = materialize(several.where("lo <> hi").select("doc_id"), "ids-of-several-texts")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns)
-    return kept.union(docs.where("doc_id is null").select(*columns))
+    plain = docs.join(torn, "doc_id", "left_anti").join(keep.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns)
+    named = with_digest(docs.join(torn, "doc_id", "left_semi").select(*columns), words)
+    by_text = named.join(keep.select("doc_id", F.col("digest").alias("_digest")), ["doc_id", "_digest"], "left_semi").dropDuplicates(["doc_id", "_digest"])
+    return plain.union(by_text.select(*columns)).union(docs.where("doc_id is null").select(*columns))

@@ -69,6 +69,18 @@ def test_repeats_nulls_and_empty(spark):
     assert jaccard.near_copies(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_kept_by_their_text(spark):
+    x = " ".join(f"x{k}" for k in range(40))
+    y, z = " ".join(f"y{k}" for k in range(40)), "one two"
+    rows = [(1, x + " tail"), (2, x), (2, y), (2, y), (3, y + " tail"), (4, z), (4, None), (4, ""), (5, z), (6, None), (None, x), (None, x), (7, x + " more"), (7, z.upper())]
+    docs = spark.createDataFrame([(*r, b"d", 1) for r in rows], "doc_id long, text string, digest binary, rep int").repartition(3)
+    kept = jaccard.keep_one_of_each(docs)
+    got = sorted(((r["doc_id"], r["text"] or None) for r in kept.collect()), key=str)
+    assert kept.columns == docs.columns
+    assert got == sorted([(1, x + " tail"), (2, y), (4, z), (4, None), (6, None), (None, x), (None, x)], key=str)
+    assert jaccard.keep_one_of_each(docs.limit(0)).count() == 0
+
+
 def test_bit_counts_never_miss():
     rng = np.random.default_rng(8)
     for _ in range(300):
