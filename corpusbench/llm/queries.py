@@ -45,15 +45,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 SPLIT = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
-SHINGLES = """
-select distinct {id}, array_to_string(w[i : i + 4], ' ') as s
-from (select {id}, w, unnest(range(1, len(w) - 3)) as i from (select {id}, """ + SPLIT.format("lower(text)") + """ as w from {table}) where len(w) >= 5)
-"""
+# shingles of five words, or of a shorter item's own length
 LEAKS_SQL = f"""
-with d as ({SHINGLES.format(id="doc_id", table="documents")}), b as ({SHINGLES.format(id="item_id", table="benchmark")}),
-     n as (select item_id, count(*) as n_item from b group by item_id)
+with i as (select item_id, {SPLIT.format("lower(text)")} as w from benchmark),
+     b as (select distinct item_id, least(len(w), 5) as k, array_to_string(w[j : j + least(len(w), 5) - 1], ' ') as s
+           from (select item_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) as j from i where len(w) > 0)),
+     n as (select item_id, count(*) as n_item from b group by item_id),
+     d as (select distinct doc_id, k, array_to_string(w[j : j + k - 1], ' ') as s
+           from (select doc_id, k, w, unnest(range(1, len(w) - k + 2)) as j
+                 from (select doc_id, {SPLIT.format("lower(text)")} as w from documents), (select distinct k from b) where len(w) >= k))
 select doc_id, item_id, count(*) as n_shared, n_item, count(*) / n_item as containment
-from d join b using (s) join n using (item_id) group by doc_id, item_id, n_item having 10 * count(*) >= 8 * n_item
+from d join b using (k, s) join n using (item_id) group by doc_id, item_id, n_item having 10 * count(*) >= 8 * n_item
 """
 
 

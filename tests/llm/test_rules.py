@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import re
 
 import pytest
@@ -82,17 +83,20 @@ def test_risk_is_that_of_all_rules_together(spark):
     assert (cut["b"]["cut_symbols"], cut["b"]["cut_capitals"], cut["b"]["cut_lines"]) == (0.07, 0.4, 0.3)
 
 
-def leaks(docs, items, share=0.8):
-    def sh(t):
-        w = WORD.findall((t or "").lower())
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+def shingles_of(text, n):
+    w = WORD.findall((text or "").lower())
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
 
+def leaks(docs, items, share=0.8):
     out = set()
-    for d, t in docs:
-        for i, q in items:
-            s = sh(q)
-            if s and len(s & sh(t)) >= share * len(s) - 1e-9:
-                out.add((d, i, len(s & sh(t)), len(s)))
+    for i, q in items:
+        n = min(5, len(WORD.findall(q or "")))
+        s = shingles_of(q, n) if n else set()
+        for d, t in docs:
+            both = len(s & shingles_of(t, n))
+            if s and both >= share * len(s) - 1e-9:
+                out.add((d, i, both, len(s)))
     return out
 
 
@@ -107,5 +111,41 @@ def test_leaks(spark):
     got = {tuple(r)[:4] for r in decontam.contaminated_pairs(docs, items).collect()}
     assert got == leaks(set(rows), set((k, t) for k, t in enumerate(item)))
     kept = decontam.drop_contaminated(docs, items)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k, _ in rows} - {g[0] for g in got} | {None}
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k, _ in rows} - {g[0] for g in got}  # the row without an id holds an item too
     assert decontam.contaminated_pairs(docs.limit(0), items).count() == 0 and decontam.contaminated_pairs(docs, items.limit(0)).count() == 0
+
+
+def test_short_items(spark):
+    items = [(1, "solo"), (2, "Two Words"), (3, "three of these"), (4, "one two three four"), (5, "a b c d e"), (6, "solo "), (7, " "), (8, None)]
+    texts = ["x SOLO y", "solos", "two words", "two  words more", "three of\nthese", "three of those", "one two three four", "one two three", "a b c d e", "a b c d", "", None, "solo two words three of these " * 2000]
+    docs = [(k, t) for k, t in enumerate(texts)]
+    got = decontam.contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(r)[:4] for r in got.collect()} == leaks(docs, items) and got.columns == ["doc_id", "item_id", "n_shared", "n_item", "containment"]
+
+
+def test_many_sizes_against_brute_force(spark):
+    """Items of 1 to 200 words, whole, cut and broken inside longer and shorter documents."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(60)}"
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 17, 30, 31, 60, 200])]
+    docs = []
+    for k in range(150):
+        _, q = rng.choice(items)
+        w = q.split()
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            w[rng.randrange(len(w))] = word()
+        w = w[: max(1, rng.choice([len(w), len(w), int(0.85 * len(w))]))]
+        docs.append((k, " ".join([word() for _ in range(rng.choice([0, 3, 80]))] + w + [word() for _ in range(rng.choice([0, 5]))])))
+    got = decontam.contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = leaks(docs, items)
+    assert {tuple(r)[:4] for r in got.collect()} == want and len(want) > 50
+
+
+def test_rows_are_dropped_by_their_own_text(spark):
+    item = "these seven words are a test item"
+    rows = [(1, "clean text"), (1, f"x {item}"), (None, item), (None, "also clean"), (2, None), (3, ""), (4, item.upper()), (5, "clean text"), (5, "clean text")]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, item_id int")
+    kept = decontam.drop_contaminated(docs, spark.createDataFrame([(1, item), (2, "tesT")], "item_id long, text string"))
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, kept.select("doc_id", "text").collect())) == sorted(map(repr, spark.createDataFrame([r for r in rows if "item" not in (r[1] or "").lower()], "doc_id long, text string").collect()))
+    assert decontam.drop_contaminated(docs, spark.createDataFrame([], "item_id long, text string")).count() == len(rows)
