@@ -68,7 +68,7 @@ def short_passage_leaks(docs: DataFrame, passages: DataFrame, key: str, passage:
         hits = _automaton_hits(docs.select(key, text), [r["_passage"] for r in part.collect()], key)
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        return docs.select(key).join(known.select(F.col("_id").alias(passage)), F.lit(False)).select(key, passage)
+        return docs.select(key, F.lit(None).cast(known.schema["_id"].dataType).alias(passage)).where(F.lit(False))
     named = patterns.select("_passage", F.explode(F.when(F.col("nameless"), F.concat("ids", F.array(F.lit(None).cast(known.schema["_id"].dataType)))).otherwise(F.col("ids"))).alias(passage))
     return found.join(named, "_passage").select(key, passage).distinct()
 
