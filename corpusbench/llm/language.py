@@ -10,13 +10,13 @@ that the counts have not seen.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,8 @@ ORDER = 5
 DISCOUNT = 0.75
 #: Begin and end of a word; neither is a letter.
 BEGIN, END = "\x02", "\x03"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters, as the counts take them; fractions, raised digits and numbers in circles are none.
+LETTERS = regex.compile(r"\p{L}+")
 #: Labelled documents taken per language, in expectation; one in five of them sets temperature and limits.
 PER_LANGUAGE = 2_000
 TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
@@ -59,7 +60,7 @@ class Model:
     log_p: list[np.ndarray] = field(default_factory=list)
     contexts: list[np.ndarray] = field(default_factory=list)
     backoff: list[np.ndarray] = field(default_factory=list)
-    floor: float = 0.0
+    floor: np.ndarray | float = 0.0
     temperature: float = 8.0
     limits: dict[str, float] = field(default_factory=dict)
 
@@ -132,9 +133,9 @@ def kneser_ney(counts: dict[str, dict[str, int]]) -> Model:
             keys.append(hashes[order])
             out.append(np.log(np.array([values[x] for x in names]).reshape(len(names), len(languages)))[order])
         lower = here
-    # an unknown letter takes the back-off weight of the empty context
+    # an unknown letter takes each language's own back-off weight of the empty context, so its letters sum to one
     if len(model.backoff[0]):
-        model.floor = float(floor + model.backoff[0].max())
+        model.floor = floor + model.backoff[0][0]
     return model
 
 
