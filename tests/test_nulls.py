@@ -77,8 +77,8 @@ def test_no_single_task_sort_of_scores(spark):
     df = spark.range(1000).select(F.rand(1).alias("prob"), (F.col("id") % 2).cast("int").alias("label"), F.lit("g").alias("generator"))
     for frame in (M.metrics(df, []), M.pooled_generator_metrics(df, [])):
         plan = frame._jdf.queryExecution().executedPlan().toString()
-        # Windows over all rows may only see bucket totals; no window without a bucket orders by score
-        assert "[score#" not in "".join(x for x in plan.splitlines() if "Window" in x and "_bucket" not in x and "_all" not in x)
+        # Windows over all rows may only see range totals; no window without a range orders by score
+        assert "[score#" not in "".join(x for x in plan.splitlines() if "Window" in x and "_part" not in x and "_all" not in x)
 
 
 def test_labels_and_natural_order(spark):
