@@ -2,7 +2,8 @@
 
 Terms are the words of a text and their beginnings, hashed to 40 bits. Spark
 counts in how many labelled texts of either class each term is; the terms
-that tell the classes apart best are kept as a sorted list of hashes. The
+that tell the classes apart best are kept, and with them the terms of the
+pairs that tell the classes apart better than either term does alone. The
 machine
 
     z = b + sum of w[i] + sum over pairs i < j of <v[i], v[j]>
@@ -32,6 +33,8 @@ BITS = 40
 PER_CLASS = 4_000
 #: Terms kept, the least texts of either class with one, and the least log-likelihood ratio.
 TERMS, LEAST, RATIO = 2_048, 3, 12.0
+#: Terms whose pairs are counted, those of most toxic texts first; pairs kept, and the least log-likelihood ratio of one.
+PAIR_TERMS, PAIRS, PAIR_RATIO = 2_048, 64, 30.0
 FACTORS, EPOCHS, RATE, DECAY = 8, 40, 0.03, 1e-4
 MEMO = 400_000
 
@@ -88,19 +91,64 @@ def term_lists(sample: DataFrame) -> DataFrame:
     return sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(split, "toxic int, terms array<long>")
 
 
-def telling_terms(lists: DataFrame, n: int) -> list[int]:
-    """The terms with the highest log-likelihood ratio between the classes; n bounds what comes to the driver."""
+def telling_terms(lists: DataFrame, n: int, n_pairs: int) -> tuple[list[int], list[int]]:
+    """The terms with the highest log-likelihood ratio between the classes, and those in most toxic texts, to be paired.
+
+    ``n`` and ``n_pairs`` bound what comes to the driver.
+    """
     total = lists.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
     p, q = float(total["p"] or 0), float((total["n"] or 0) - (total["p"] or 0))
     if not p or not q:
-        return []
+        return [], []
     counts = lists.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("ab"))
     a, b = F.col("a"), F.col("ab") - F.col("a")
     part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
     both, all_ = F.col("ab"), p + q
     ratio = 2 * (part(a, both * p / all_) + part(b, both * q / all_) + part(p - a, (all_ - both) * p / all_) + part(q - b, (all_ - both) * q / all_))
-    best = counts.where(both >= LEAST).select("term", ratio.alias("r")).where(F.col("r") >= RATIO).orderBy(F.desc("r"), "term").limit(n)
-    return sorted(r["term"] for r in best.collect())
+    rated = counts.where(both >= LEAST).select("term", "a", ratio.alias("r")).persist()
+    try:
+        best = rated.where(F.col("r") >= RATIO).orderBy(F.desc("r"), "term").limit(n).collect()
+        paired = rated.where(F.col("a") >= LEAST).orderBy(F.desc("a"), "term").limit(n_pairs).collect()
+    finally:
+        rated.unpersist()
+    return sorted(r["term"] for r in best), sorted(r["term"] for r in paired)
+
+
+def ratios(a: np.ndarray, b: np.ndarray, p: float, q: float) -> np.ndarray:
+    """Log-likelihood ratios of what is in ``a`` of ``p`` toxic and ``b`` of ``q`` other texts."""
+    both, all_ = a + b, p + q
+
+    def part(k: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9)), 0.0)
+
+    return 2 * (part(a, both * p / all_) + part(b, both * q / all_) + part(p - a, (all_ - both) * p / all_) + part(q - b, (all_ - both) * q / all_))
+
+
+def telling_pairs(rows: list[np.ndarray], labels: np.ndarray, n: int, *, most: int = PAIRS) -> list[tuple[int, int]]:
+    """The pairs of places below ``n`` that tell toxic texts better, by ``RATIO``, than either of the two does.
+
+    Counts of all pairs are two n x n matrices, products over the sample's
+    rows in blocks. Ties go to the smaller pair.
+    """
+    counts = [np.zeros((n, n), np.float32) for _ in range(2)]
+    for y in (0, 1):
+        mine = [r for r, k in zip(rows, labels, strict=True) if k == y]
+        for k in range(0, len(mine), 1024):
+            x = np.zeros((min(1024, len(mine) - k), n), np.float32)
+            for i, r in enumerate(mine[k : k + 1024]):
+                x[i, r] = 1
+            counts[y] += x.T @ x
+    p, q = float((labels == 1).sum()), float((labels == 0).sum())
+    alone = ratios(counts[1].diagonal().astype(float), counts[0].diagonal().astype(float), p, q)
+    found: list[tuple[float, int, int]] = []
+    for k in range(0, n, 128):
+        a, b = (c[k : k + 128].astype(float) for c in counts[::-1])
+        r = ratios(a, b, p, q)
+        good = (a * q > b * p) & (a + b >= LEAST) & (r >= PAIR_RATIO) & (r >= np.maximum(alone[k : k + 128, None], alone) + RATIO)
+        i, j = np.nonzero(good)
+        found += [(-r[x, y], k + x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if k + x < y]
+        found = sorted(found)[:most]
+    return [(i, j) for _, i, j in found]
 
 
 def train(rows: list[list[int]], labels: np.ndarray, weights: np.ndarray, places: dict[int, int], *, seed: int = 7) -> Machine:
@@ -129,32 +177,46 @@ def train(rows: list[list[int]], labels: np.ndarray, weights: np.ndarray, places
     return Machine(places, float(params[0][0]), params[1], params[2])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, terms: int = TERMS) -> Machine:
-    """The machine from a bounded sample of labelled documents; only their kept terms come to the driver.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, terms: int = TERMS, pair_terms: int = PAIR_TERMS) -> Machine:
+    """The machine from a bounded sample of labelled documents; only their kept and paired terms come to the driver.
 
-    Without labels of both classes: a machine that scores 0 everywhere.
+    Rows with a null id, label or text teach nothing or no terms; repeated
+    rows count repeatedly. Without labels of both classes: a machine that
+    scores 0 everywhere.
     """
     sample, share = labelled(docs, labels, per_class)
     lists = term_lists(sample).persist()
     try:
-        kept = telling_terms(lists, terms)
-        places = {t: k for k, t in enumerate(kept)}
-        if not kept:
+        kept, paired = telling_terms(lists, terms, pair_terms)
+        if not kept and not paired:
             return Machine({}, -50.0, np.zeros(0), np.zeros((0, FACTORS)))
-        shared = docs.sparkSession.sparkContext.broadcast(places)
+        # paired terms first, so that their places are those of the pair counts
+        asked = paired + sorted(set(kept) - set(paired))
+        shared = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(asked)})
 
         def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
-                rows = ((y, [shared.value[t] for t in ts if t in shared.value]) for y, ts in zip(*[c.to_pylist() for c in part.columns], strict=True))
-                yield from batches(rows, pa.schema([("toxic", pa.int32()), ("places", pa.list_(pa.int32()))]))
+                rows = ((y, np.array(sorted(shared.value[t] for t in ts if t in shared.value), "<i4").tobytes())
+                        for y, ts in zip(*[c.to_pylist() for c in part.columns], strict=True))
+                yield from batches(rows, pa.schema([("toxic", pa.int32()), ("places", pa.binary())]))
 
-        got = lists.mapInArrow(keep, "toxic int, places array<int>").collect()  # at most about 2 x per_class rows
+        got = lists.mapInArrow(keep, "toxic int, places binary").collect()  # at most about 2 x per_class rows
     finally:
         lists.unpersist()
-    got.sort(key=lambda r: (r["toxic"], r["places"]))
-    y = np.array([r["toxic"] for r in got], float)
+    got = sorted((r["toxic"], bytes(r["places"])) for r in got)
+    y = np.array([k for k, _ in got], float)
+    rows = [np.frombuffer(x, "<i4") for _, x in got]
+    alone = set(kept)
+    used = {k for k, t in enumerate(asked) if t in alone}
+    used |= {k for pair in telling_pairs([r[r < len(paired)] for r in rows], y, len(paired)) for k in pair}
+    order = sorted(used, key=lambda k: asked[k])
+    if not order:
+        return Machine({}, -50.0, np.zeros(0), np.zeros((0, FACTORS)))
+    place = np.full(len(asked), -1)
+    place[order] = np.arange(len(order))
     weight = np.where(y == 1, 1 / share[1], 1 / share[0])
-    return train([r["places"] for r in got], y, weight / weight.mean(), places)
+    listed = [sorted(k for k in place[r].tolist() if k >= 0) for r in rows]
+    return train(listed, y, weight / weight.mean(), {asked[k]: i for i, k in enumerate(order)})
 
 
 def scores(texts: list[bytes], machine: Machine, memo: dict[bytes, tuple[int, ...]]) -> list[float]:
@@ -197,7 +259,11 @@ def score_toxicity(docs: DataFrame, machine: Machine, *, threshold: float = 0.3)
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, *, threshold: float = 0.3) -> DataFrame:
-    """The documents below the threshold, all their columns as they were."""
+    """The documents below the threshold, all their columns as they were.
+
+    Null or empty text: judged as a text without terms. Repeated rows stay or
+    go together. Empty table: no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     place = docs.columns.index("text")
 

@@ -126,3 +126,42 @@ def test_machine_learns_a_pair():
     y = np.array([0 in r and 1 in r for r in rows], float)
     m = toxicity.train(rows, y, np.ones(len(rows)), {k: k for k in range(6)})
     assert m.score([0, 1]) > 0.8 > 0.3 > max(m.score([0]), m.score([1]), m.score([0, 3]), m.score([1, 2, 3]))
+
+
+def test_machine_equals_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    m = toxicity.Machine({}, 0.2, rng.normal(size=9), rng.normal(size=(9, 4)))
+    for places in ([], [3], [0, 4], [1, 2, 5, 8]):
+        z = m.bias + sum(m.weights[i] for i in places) + sum(m.factors[i] @ m.factors[j] for i in places for j in places if i < j)
+        assert m.score(places) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-12)
+
+
+def test_pair_counts_equal_counting():
+    rng = np.random.default_rng(4)
+    y = (np.arange(600) % 3 == 0).astype(float)
+    rows = []
+    for k in y:  # terms 0 and 1: together in toxic texts, apart in others, equally often
+        kind = rng.random() < 0.3
+        rows.append(np.array(sorted(set(rng.choice(np.arange(2, 12), 3).tolist()) | (({0, 1} if kind else set()) if k else ({0} if kind else {1} if rng.random() < 0.43 else set())))))
+    assert toxicity.telling_pairs(rows, y, 12) == [(0, 1)]
+    a, b = (sum(0 in r and 1 in r for r, k in zip(rows, y, strict=True) if k == c) for c in (1, 0))
+    cells = [(a, 200, 200 * (a + b) / 600), (b, 400, 400 * (a + b) / 600)]
+    plain = 2 * sum(k * math.log(k / e) if k else 0 for n, m, x in cells for k, e in ((n, x), (m - n, m - x)))
+    assert toxicity.ratios(np.array([a]), np.array([b]), 200.0, 400.0)[0] == pytest.approx(plain)
+
+
+def test_pair_without_telling_words_is_learnt(spark):
+    """Each word is in a third of the texts of both classes; only in toxic ones are they together."""
+    rng = np.random.default_rng(5)
+    docs, labels = [], []
+    for i in range(3000):
+        toxic, kind = int(i % 6 == 0), rng.integers(0, 3)
+        words = [f"w{k}" for k in rng.integers(0, 60, 12)]
+        words += (["zebra", "quartz"] if kind == 0 else []) if toxic else [["zebra"], ["quartz"], []][kind]
+        docs.append((i, " ".join(rng.permutation(words).tolist())))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    machine = toxicity.fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    texts = spark.createDataFrame([(1, "w1 zebra w2 quartz w3"), (2, "w1 zebra w2"), (3, "w1 quartz"), (4, "w1 w2"), (5, "zebra quartz " * 40_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(texts, machine).collect()}
+    assert min(got[1], got[5]) > 0.8 and max(got[2], got[3]) < 0.2 and got[4] < 0.3
