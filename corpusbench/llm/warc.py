@@ -60,10 +60,12 @@ class Damaged(Exception):
 
 
 class Window:
-    """Part of a source in memory, from ``at`` on."""
+    """Part of a seekable source in memory, from ``at`` on."""
 
     def __init__(self, source) -> None:
         self.source, self.data, self.at = source, b"", 0
+        self.size = source.seek(0, io.SEEK_END)
+        source.seek(0)
 
     def fill(self, n: int) -> bytes:
         """The bytes from ``at`` on: n of them, or all up to the end."""
@@ -71,6 +73,17 @@ class Window:
             self.data += more
         return self.data
 
+    def peek(self, begin: int, n: int) -> bytes:
+        """The n bytes at ``begin`` bytes from here, fewer at the end; what lies between is not read."""
+        if begin + n <= len(self.data):
+            return self.data[begin : begin + n]
+        if self.at + begin >= self.size:
+            return b""
+        self.source.seek(self.at + begin)
+        got = self.source.read(n)
+        self.source.seek(self.at + len(self.data))
+        return got
+
     def skip(self, n: int) -> None:
         self.data, self.at = self.data[n:], self.at + n
 
@@ -115,9 +128,10 @@ def one_record(window: Window) -> tuple[dict[str, str], bytes, int]:
     if not size.isdecimal():
         raise Damaged("no content length")
     end = cut + 4 + int(size)
-    have = window.fill(end + 4)
-    if have[end : end + 4] != b"\r\n\r\n":
+    # a damaged length must not make the reader hold what follows, so the end is looked at first
+    if window.peek(end, 4) != b"\r\n\r\n":
         raise Damaged("wrong content length")
+    have = window.fill(end + 4)
     block = have[cut + 4 : end]
     told = head.get("warc-block-digest", "").removeprefix("sha1:")
     if told and told != digest(block):
@@ -312,7 +326,8 @@ def read_warc(files: DataFrame, folder: str, *, counted: bool = False) -> DataFr
     """Records and gaps of the files named in column ``path``.
 
     One row per record, with gap null; one per quarantined gap, with gap the
-    reason and at, size the bytes left out. A file is read as a stream. With
+    reason and at, size the bytes left out. A file is read in pieces, a record
+    or member at a time. With
     ``counted`` a file that has other than ``n_records`` records raises.
     """
 
@@ -323,7 +338,7 @@ def read_warc(files: DataFrame, folder: str, *, counted: bool = False) -> DataFr
             for part in parts:
                 for path, told in zip(part.column(0).to_pylist(), part.column(1).to_pylist() if counted else [None] * len(part), strict=True):
                     n = 0
-                    with fs.open_input_stream(f"{base}/{path}", compression=None) as source:
+                    with fs.open_input_file(f"{base}/{path}") as source:
                         for found in salvage(source):
                             if found[0] == "gap":
                                 yield path, found[1], found[2], found[3], *[None] * 6

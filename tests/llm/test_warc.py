@@ -112,6 +112,30 @@ def test_records_without_digest_in_a_broken_member():
     assert ids(warc.salvage(io.BytesIO(whole[:-8] + bytes(8)))) == []
 
 
+class Counted(io.BytesIO):
+    """A file that counts the bytes read."""
+
+    n = 0
+
+    def read(self, size=-1):
+        got = super().read(size)
+        self.n += len(got)
+        return got
+
+
+def test_damaged_length_does_not_read_ahead():
+    """A length beyond the file, or one that ends far off within it: found damaged from the record's own bytes, later records recovered."""
+    parts = [warc.record("response", f"urn:page:{k}", f"http://x/{k}", "2000-01-01T00:00:00Z", b"x" * 5_000, 5_000, "", None) for k in range(200)]
+    for told in (b"999999999999", b"700000"):
+        begin = parts[0].rindex(b"Content-Length: ")
+        bad = parts[0][:begin] + b"Content-Length: " + told + parts[0][parts[0].index(b"\r\n", begin):]
+        source = Counted(b"".join([bad, *parts[1:]]))
+        found = warc.salvage(source)
+        first = next(found)
+        assert first[0] == "gap" and first[1:3] == (0, len(bad)) and source.n < 4 * warc.STEP
+        assert ids(found) == [f"<urn:page:{k}>" for k in range(1, 200)]
+
+
 def test_long_headers(spark):
     url = "http://x/" + "ä" * 200_000
     pages = spark.createDataFrame([(1, url, "a"), (2, "b", "c")], "page_id long, url string, html string")
