@@ -13,6 +13,7 @@ good documents of every stratum.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,7 @@ WINDOW = 5
 #: The base rule: least words, and the largest share of words in repeated windows, in percent.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 RISK, CONFIDENCE = 0.02, 0.95
+DEVIATIONS = 40.0
 
 
 @dataclass(frozen=True)
@@ -94,18 +96,26 @@ def most_failures(n: Column, risk: float, level: Column) -> Column:
     """The largest k for which the exact upper bound at this level on a share, k of n seen, is at most ``risk``; -1 if none.
 
     The bound is at most ``risk`` exactly if P(X <= k) <= level for X binomial
-    with n and ``risk``. The terms are summed up from logarithms.
+    with n and ``risk``. The terms are summed up from logarithms, from
+    ``DEVIATIONS`` standard deviations below the mean on; what lies below
+    that is far under the smallest double. So the steps grow with the square
+    root of n. The first logarithm is by the series of log n!, exact to
+    1e-10 where the sum does not begin at 0.
     """
     n = n.cast("double")
     step = F.log(F.lit(risk / (1 - risk)))
-    first = F.struct((n * F.log(F.lit(1 - risk))).alias("log"), F.lit(0.0).alias("sum"), F.lit(-1).cast("bigint").alias("most"))
+    begin = F.greatest(F.lit(0.0), F.floor(n * risk - DEVIATIONS * F.sqrt(n * (risk * (1 - risk)))))
+    series = lambda m: (m + 0.5) * F.log(m) - m + 0.5 * math.log(2 * math.pi) + 1 / (12 * m) - 1 / (360 * m * m * m)
+    choose = F.when(begin == 0, F.lit(0.0)).otherwise(series(n) - series(F.greatest(begin, F.lit(1.0))) - series(n - begin))
+    at_begin = choose + begin * F.log(F.lit(risk)) + (n - begin) * F.log(F.lit(1 - risk))
+    first = F.struct(at_begin.alias("log"), F.lit(0.0).alias("sum"), F.lit(-1).cast("bigint").alias("most"))
 
     def add(s: Column, k: Column) -> Column:
-        here = F.when(k == 0, s["log"]).otherwise(s["log"] + F.log((n - k + 1) / k) + step)
+        here = F.when(k == begin, s["log"]).otherwise(s["log"] + F.log((n - k + 1) / k) + step)
         total = s["sum"] + F.exp(here)
         return F.struct(here.alias("log"), total.alias("sum"), F.when(total <= level, k).otherwise(s["most"]).alias("most"))
 
-    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.ceil(n * risk).cast("bigint")), first, add, lambda s: s["most"])
+    return F.aggregate(F.sequence(begin.cast("bigint"), F.ceil(n * risk).cast("bigint")), first, add, lambda s: s["most"])
 
 
 def fails(rule: Rule, cutoff: Column) -> Column:

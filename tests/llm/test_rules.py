@@ -35,7 +35,7 @@ def test_base_counts(spark):
     assert quality.quality_rules(docs.limit(0), labels).count() == 0
 
 
-@pytest.mark.parametrize(("n", "risk", "level"), [(10, 0.05, 0.05), (100, 0.05, 0.01), (2000, 0.005, 0.003), (5000, 0.02, 0.05), (0, 0.1, 0.05), (59, 0.05, 0.05)])
+@pytest.mark.parametrize(("n", "risk", "level"), [(10, 0.05, 0.05), (100, 0.05, 0.01), (2000, 0.005, 0.003), (5000, 0.02, 0.05), (0, 0.1, 0.05), (59, 0.05, 0.05), (200_000, 0.02, 0.0125), (3_000_000, 0.02, 0.05)])
 def test_exact_bound(spark, n, risk, level):
     total, most = 0.0, -1
     for k in range(n + 1):
