@@ -33,13 +33,23 @@ MEMO = 500_000
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-ßà-öø-ÿ]+)([.,;:!?]*)")
 
 
+#: Normaliser and pre-tokenizer under which a text's ids are those of its lower-cased words.
+BY_WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
+
+
 class Encoder:
     """Ids of a text by the tokenizers library, remembering words.
 
     The tokenizer drops white space and never joins across it, so a text's
     ids are those of its words one after another. Words are remembered up to
     a fixed number; later ones are encoded each time. A plain word is encoded
-    without its punctuation, which is looked up by itself.
+    without its punctuation, which is looked up by itself. All that holds for
+    the rules in ``BY_WORDS``; a tokenizer with others gets whole texts.
     """
 
     made: dict[tuple[str, int], Encoder] = {}
@@ -48,6 +58,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        self.by_words = (rules["normalizer"], rules["pre_tokenizer"]) == BY_WORDS
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -88,6 +100,8 @@ class Encoder:
 
     def text(self, raw: bytes) -> np.ndarray:
         """Ids of a text given in UTF-8."""
+        if not self.by_words:
+            return np.array(self.ids_of(raw.decode("utf-8", "replace")), self.dtype)
         known, word = self.words.get, self.word
         return np.frombuffer(b"".join([known(w) or word(w) for w in raw.split()]), self.dtype)
 

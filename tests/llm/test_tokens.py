@@ -34,6 +34,18 @@ def test_encoder_equals_the_library(reference, memo):
             assert encoder.text(text.encode()).tolist() == reference(text)[:-1].tolist()
 
 
+def test_tokenizer_with_other_rules_gets_whole_texts():
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    path = str(Path(tokenizer_path()).with_name("byte_bpe_50k.json"))
+    other, encoder = Tokenizer.from_file(path), tokens.Encoder(path)
+    assert tokens.Encoder(tokenizer_path()).by_words and not encoder.by_words
+    for text in TEXTS:
+        assert encoder.text(text.encode()).tolist() == other.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("planes", ["bit", "byte"])
 @pytest.mark.parametrize("sizes", [[], [0], [1], [7, 0, 9, 30], [8, 8, 16]])
 def test_shard_round_trip(planes, sizes):
