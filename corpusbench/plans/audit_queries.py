@@ -9,10 +9,11 @@ from corpusbench.functions.rng import choice, uniform
 from corpusbench.operators import audit as A
 from corpusbench.operators import caps as K
 from corpusbench.operators import metrics as M
+from corpusbench.operators import sketches as S
 from corpusbench.plans import fixtures as fx
 from corpusbench.plans.fixtures import oracle, pick, u
 from corpusbench.plans.registry import query
-from corpusbench.session import scratch
+from corpusbench.session import materialize, scratch
 from corpusbench.sources import sinks
 
 
@@ -47,6 +48,26 @@ def column_statistics(spark, sf):
     return M.rounded(A.column_statistics(fx.table(spark, sf, "lineitem"), STAT_COLUMNS), skip=("mean",))
 
 
+SKETCH_COLUMNS = ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_tax"]
+
+
+def _sketch_sql() -> str:
+    parts = " union all ".join(f"select '{c}' as \"column\", {c}::varchar as value, {f'{c}::double' if c not in SKETCH_COLUMNS[:2] else 'null::double'} as x from lineitem"
+                               for c in SKETCH_COLUMNS)
+    return f"""with l as ({parts}), c as (select "column", value, count(*) as n from l where value is not null group by all),
+      t as (select "column", string_agg(value || '=' || n, ' ' order by n desc, value) as top_values
+            from (select *, row_number() over (partition by "column" order by n desc, value) as r from c) where r <= 12 group by "column")
+      select l."column", count(*) as n, count(*) filter (where value is null) as nan_count, min(x) as min, max(x) as max, count(distinct value) as n_unique,
+             any_value(top_values) as top_values from l join t on t."column" = l."column" group by l."column\""""
+
+
+@query("sketched_statistics", _sketch_sql())
+def sketched_statistics(spark, sf):
+    """Statistics from sketches kept per supplier and merged; these columns have so few values that the estimates are exact."""
+    kept = materialize(S.shard_sketches(fx.table(spark, sf, "lineitem"), "l_suppkey", SKETCH_COLUMNS), "sketches")
+    return S.sketch_statistics(S.merge_sketches(kept)).drop("quantiles")
+
+
 _CONF = """select feature, value, fake, real, round(greatest(b, 1 - b), 6) as balanced_accuracy,
     case when b >= 0.5 then 'fake' else 'real' end as means, false as single_class
     from (select *, 0.5::double * (fake::double / sum(fake) over (partition by feature) + 1 - real::double / sum(real) over (partition by feature)) as b

@@ -396,6 +396,45 @@ def linear_probe_fit(spark, sf):
     return M.metrics(scored).select("n", "n_fake", "n_real", flat.alias("converged"))
 
 
+NEWTON_REG = 0.1
+
+
+@query("linear_probe_newton", f"""
+    with recursive e as (select vec_id, (label >= 5)::int as y, {u('probe', 'vec_id')} < 0.5 as held, embedding from embeddings),
+    x as (select vec_id, y, held, unnest(range(1, 65)) as j, unnest(embedding)::double as v from e),
+    s as (select j, avg(v) as m, stddev_samp(v) as d from x where not held group by j),
+    z as materialized (select vec_id, y, held, list_append(list((v - m) / d order by j), 1.0::double) as z from x join s using (j) group by all),
+    c as (select vec_id, unnest(range(1, 66)) as j, unnest(z) as v from z where not held),
+    h as (select a.j as i, b.j, 0.25 * sum(a.v * b.v) / (select count(*) from z where not held) + case when a.j = b.j and a.j < 65 then {NEWTON_REG} else 0 end as v
+          from c a join c b using (vec_id) group by a.j, b.j),
+    m as (select list(r order by i) as m from (select i, list_concat(list(v order by j), list_transform(range(1, 66), lambda k: (k = i)::int::double)) as r from h group by i)),
+    inv as (select 1 as k, m from m union all
+            select k + 1, list_transform(m, lambda r, i: case when i = k then list_transform(r, lambda v: v / m[k][k])
+                                                              else list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) end) from inv where k <= 65),
+    b as materialized (select list_transform(m, lambda r: r[66:130]) as b from inv where k = 66),
+    fit as (select 0 as t, list_transform(range(1, 66), lambda k: 0.0::double) as w union all
+            select t + 1, list_transform(w, lambda v, i: v - list_dot_product(b[i], g)) from
+              (select t, w, list(g order by j) as g from
+                (select t, w, j, avg(miss * v) + case when j < 65 then {NEWTON_REG} * any_value(w[j]) else 0 end as g from
+                  (select t, w, 1 / (1 + exp(-list_dot_product(w, z))) - y as miss, unnest(z) as v, unnest(range(1, 66)) as j from fit, z where not held and t < 150)
+                 group by t, w, j) group by t, w), b),
+    done as materialized (select w from fit where t = 150),
+    o as (select y, list_dot_product(w, z) as o from z, done where held),
+    auc as (select round(avg(case when p.o > q.o then 1.0::double when p.o = q.o then 0.5::double else 0.0::double end), 4) as auroc
+            from o p, o q where p.y = 1 and q.y = 0)
+    select j - 1 as dim, round(w, 4) as weight, auroc from (select unnest(w) as w, unnest(range(1, 66)) as j from done), auc""")
+def linear_probe_newton(spark, sf):
+    """Weights of the probe (the last is the bias) and its AUROC on the held-out half."""
+    from corpusbench.operators.probe import newton_probe, score_newton
+
+    emb = fx.table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") >= 5).cast("int").alias("label"))
+    hold = uniform("probe", F.col("vec_id")) < 0.5
+    fit = newton_probe(emb.where(~hold), "embedding", "label", reg=NEWTON_REG)
+    auroc = M.metrics(score_newton(emb.where(hold), "embedding", fit).select("label", "prob")).select(F.round("auroc", 4).alias("auroc"))
+    weights = F.array(*[F.lit(round(float(v), 4)) for v in [*fit.weights, fit.bias]])
+    return auroc.select(F.posexplode(weights).alias("dim", "weight"), "auroc").select(F.col("dim").cast("long").alias("dim"), "weight", "auroc")
+
+
 @query("fpr_operating_point", oracle("""
     with c as (select generator, prob, count(*) filter (where label = 1) as p, count(*) filter (where label = 0) as n from scored_big group by all),
          h as (select generator, prob, sum(p) over w as tp, sum(n) over w as fp from c window w as (partition by generator order by prob desc)),
