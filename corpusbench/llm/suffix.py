@@ -4,7 +4,8 @@ Every string of ``length`` bytes has an anchor: its byte q-gram with the least
 hash, the leftmost of equals. Consecutive starts with the same anchor form a
 piece of text, short enough to be sent to the bucket of its anchor, so all
 copies of a string meet in one bucket, and no bucket holds more than what
-shares an anchor. Equal pieces are one entry there: the first in document
+shares an anchor. A task sends equal pieces of its own chunks once, as far as it
+remembers them. Equal pieces are one entry in the bucket: the first in document
 order is the head, the others are repeats as a whole. Pieces that only share
 the anchor are looked at in parts that also share their nearer context, where
 a bucket does the following:
@@ -44,14 +45,17 @@ from corpusbench.session import materialize
 LENGTH, GRAM = 100, 24
 #: Bytes of text after which a chunk is full, and bytes of entries in a shard.
 CHUNK, SHARD = 1 << 20, 1 << 17
+#: Pieces that a task remembers, as a power of two.
+MEMORY = 18
 _U = np.uint64
 PIECE = np.dtype([("f", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("row", "<u2"), ("lo", "<u4"), ("n", "<u2"), ("at", "<u2")])
 PLACE = np.dtype([("chunk", "<i8"), ("row", "<u2"), ("lo", "<u4"), ("hi", "<u4")])
 WANTED = np.dtype([("f", "<u8"), ("doc", "<i8"), ("chunk", "<i8"), ("row", "<u2"), ("lo", "<u4"), ("n", "<u2"), ("at", "<u2")])
+SEEN = np.dtype([("f", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("chunk", "<i8"), ("hits", "u1")])
 ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("chunk", "<i8"), ("row", "<u2"), ("lo", "<u4"), ("n", "<u2")])
 BLOBS = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 DDL = "key long, kind int, blob binary"
-TEXT, REMOVE, WANT = 0, 1, 2
+TEXT, REMOVE, WANT, EQUAL = 0, 1, 2, 3
 
 
 def packed(arrays: np.ndarray) -> bytes:
@@ -165,8 +169,47 @@ def pieces_of(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: in
     return m[lo], g, doc[lo], lo, hi - lo, at - lo
 
 
-def send_pieces(blob: bytes, n_buckets: int, length: int) -> tuple[list[tuple[int, int, bytes]], np.ndarray]:
-    """The pieces of a chunk by bucket, and the documents that are copies of others in the chunk, which go as a whole."""
+class Seen:
+    """Pieces of the chunks that a task has read before, each with its least document, in a table of fixed size.
+
+    A piece with an equal one in an earlier document is a repeat wherever the
+    first of all lies, so it need not be sent. What the table forgets is sent and told apart in the bucket. Pieces
+    that come back stay longest, so a passage of very many documents is sent
+    about once a task.
+    """
+
+    def __init__(self, bits: int = MEMORY) -> None:
+        self.table, self.shift = np.zeros(1 << bits, SEEN), _U(64 - bits)
+
+    def repeats(self, rows: np.ndarray, chunk: int) -> np.ndarray:
+        """Which of a chunk's pieces, all different, have an earlier equal in the table; the table then knows these pieces."""
+        slot = (rows["g"] >> self.shift).astype(np.int64)
+        known = self.table[slot]
+        same = (known["hits"] > 0) & (known["f"] == rows["f"]) & (known["g"] == rows["g"])
+        later = same & ((known["doc"] < rows["doc"]) | ((known["doc"] == rows["doc"]) & (known["chunk"] < chunk)))
+        hits = self.table["hits"]
+        hits[slot[same]] = np.minimum(known["hits"][same], 254) + 1
+        hits[slot[~same]] -= hits[slot[~same]] > 0
+        take = (same & ~later) | (~same & (hits[slot] == 0))
+        new = np.empty(int(take.sum()), SEEN)
+        for k in ("f", "g", "doc"):
+            new[k] = rows[k][take]
+        new["chunk"], new["hits"] = chunk, np.maximum(hits[slot[take]], 1)
+        self.table[slot[take]] = new
+        return later
+
+
+def later_equals(rows: np.ndarray) -> np.ndarray:
+    """Which pieces of one chunk, given in order of row and place, have an equal one that comes first."""
+    order = np.lexsort((rows["doc"], rows["f"], rows["g"]))
+    f, g = rows["f"][order], rows["g"][order]
+    out = np.zeros(len(rows), bool)
+    out[order[1:]] = (f[1:] == f[:-1]) & (g[1:] == g[:-1])
+    return out
+
+
+def send_pieces(blob: bytes, chunk: int, n_buckets: int, length: int, seen: Seen) -> tuple[list[tuple[int, int, bytes]], np.ndarray]:
+    """The pieces of a chunk by bucket, and places known to be repeats: whole copies of documents, and pieces with an earlier equal in the task."""
     ids, texts = chunk_texts(chunk_rows(blob))
     order = np.argsort(ids, kind="stable")
     first: dict[bytes, int] = {}
@@ -183,7 +226,14 @@ def send_pieces(blob: bytes, n_buckets: int, length: int) -> tuple[list[tuple[in
     out["lo"] = lo - (ends - sizes)[doc]
     whole = np.zeros(int(copies.sum()), PLACE)
     whole["row"], whole["hi"] = np.flatnonzero(copies), [len(texts[k]) for k in np.flatnonzero(copies)]
-    return by_key((f >> _U(33)).astype(np.int64) % n_buckets, 1, out), whole
+    gone = later_equals(out)
+    gone[~gone] = seen.repeats(out[~gone], chunk)
+    again = np.zeros(int(gone.sum()), PLACE)
+    again["row"], again["lo"] = out["row"][gone], out["lo"][gone]
+    again["hi"] = again["lo"] + out["n"][gone] + (length - 1)
+    out, places = out[~gone], joined_places(np.concatenate([whole, again]))
+    places["chunk"] = chunk
+    return by_key((out["f"] >> _U(33)).astype(np.int64) % n_buckets, 1, out), places
 
 
 def headed(rows: np.ndarray, chunk: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -409,19 +459,19 @@ def grouped(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[i
         yield at, held
 
 
-def places_to_remove(texts: DataFrame, length: int) -> DataFrame:
-    """Packed places to remove, by chunk."""
+def places_by_way(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Packed places to remove, by chunk: those of equal pieces, and those that the merge of transforms finds."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_buckets = 4 * n
 
     def pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for part in parts:
             for number, blob in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
-                rows, whole = send_pieces(blob, n_buckets, length)
+                rows, gone = send_pieces(blob, number, n_buckets, length, seen)
                 head = number.to_bytes(8, "little", signed=True)
-                whole["chunk"] = number
-                # whole documents go on by a bucket of their own, unchanged
-                extra = [(number % n_buckets, 0, packed(whole))] if len(whole) else []
+                # known repeats go on by a bucket of their own, unchanged
+                extra = [(number % n_buckets, 0, packed(gone))] if len(gone) else []
                 yield blob_batch([(k, kind, head + b) for k, kind, b in rows] + extra)
 
     def heads(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,7 +505,35 @@ def places_to_remove(texts: DataFrame, length: int) -> DataFrame:
 
     wanted = texts.union(met.where(F.col("kind") == WANT))
     parts = dealt(dealt(wanted, n).mapInArrow(entries, DDL), n).mapInArrow(repeats, DDL)
-    return met.where(F.col("kind") == REMOVE).union(materialize(parts, "repeated-places"))
+    return met.where(F.col("kind") == REMOVE), materialize(parts, "repeated-places")
+
+
+def places_to_remove(texts: DataFrame, length: int) -> DataFrame:
+    """Packed places to remove, by chunk."""
+    equal, merging = places_by_way(texts, length)
+    return equal.union(merging)
+
+
+def removed_shares(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
+    """One row of longs: n_bytes of the texts, n_equal bytes covered by equal pieces, n_merged by the merge of transforms, n_removed by either.
+
+    Empty table: null sums.
+    """
+    texts = chunks_of(narrow(docs, "doc_id", "text"))
+    equal, merging = places_by_way(texts, length)
+    covered = lambda places: int((places["hi"].astype(np.int64) - places["lo"]).sum())
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blobs in grouped(parts):
+            ways = [joined_places(np.concatenate([np.zeros(0, PLACE), *(unpacked(b, PLACE) for kind, b in blobs if kind == k)])) for k in (EQUAL, REMOVE)]
+            n = sum(len(t) for kind, b in blobs if kind == TEXT for t in chunk_texts(chunk_rows(b))[1])
+            values = [n, *map(covered, ways), covered(joined_places(np.concatenate(ways)))]
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in values], names=names)
+
+    names = ["n_bytes", "n_equal", "n_merged", "n_removed"]
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = texts.union(equal.select("key", F.lit(EQUAL).alias("kind"), "blob")).union(merging)
+    return dealt(marked, n).mapInArrow(count, ", ".join(f"{k} long" for k in names)).agg(*(F.sum(k).alias(k) for k in names))
 
 
 def kept_bytes(data: bytes, places: np.ndarray) -> bytes:

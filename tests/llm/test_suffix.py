@@ -3,7 +3,9 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from corpusbench.llm import suffix
 
@@ -60,6 +62,52 @@ def test_table_against_brute_force(spark, seed):
     assert got == brute(sorted((r[0], r[1]) for r in rows))
 
 
+def test_pieces_that_a_task_remembers():
+    """Over chunks in any order: of equal pieces, the first in (doc, chunk, row, place) is sent, and what is held back has an earlier equal."""
+    rng = np.random.default_rng(11)
+    for bits in (1, 4, 12):
+        seen, first, sent, n_sent, n = suffix.Seen(bits), {}, set(), 0, 0
+        for chunk in rng.permutation(60).tolist():
+            rows = np.zeros(50, suffix.PIECE)
+            rows["f"], rows["row"] = rng.integers(0, 3, 50), np.arange(50)
+            rows["g"] = rng.integers(0, 12, 50).astype(np.uint64) << np.uint64(60)
+            rows["doc"] = rng.integers(-3, 40, 50)
+            gone = suffix.later_equals(rows)
+            gone[~gone] = seen.repeats(rows[~gone], chunk)
+            places = [((int(r["f"]), int(r["g"])), (int(r["doc"]), chunk, int(r["row"]))) for r in rows]
+            for key, place in places:
+                first[key] = min(first.get(key, place), place)
+            assert all(first[key] < place for (key, place), held in zip(places, gone, strict=True) if held)
+            sent |= {p for p, held in zip(places, gone, strict=True) if not held}
+            n, n_sent = n + 50, n_sent + int((~gone).sum())
+        assert {(k, v) for k, v in first.items()} <= sent and n_sent < n * (0.9 if bits == 1 else 0.5)
+
+
+def test_passage_of_most_documents_is_sent_once_a_task():
+    rng = np.random.default_rng(12)
+    passage = bytes(rng.integers(97, 123, 2000, dtype=np.uint8))
+    seen, sent = suffix.Seen(), []
+    for chunk in range(8):
+        texts = [(bytes(rng.integers(97, 123, 300, dtype=np.uint8)) + passage).decode() for _ in range(40)]
+        rows = pa.RecordBatch.from_arrays([pa.array(range(chunk * 40, chunk * 40 + 40), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as writer:
+            writer.write_batch(rows)
+        blobs, gone = suffix.send_pieces(zstandard.ZstdCompressor().compress(sink.getvalue().to_pybytes()), chunk, 4, 100, seen)
+        sent.append(np.concatenate([suffix.unpacked(b, suffix.PIECE) for _, _, b in blobs]))
+        assert (gone["chunk"] == chunk).all() and len(gone) >= 39
+    inside = [r["g"] for rows in sent for r in rows[rows["lo"] > 300 + 80]]
+    assert len(inside) == len(set(inside)) > 0
+
+
+def test_shares_of_the_two_ways(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts(4))] + [(99, None)], "doc_id long, text string").repartition(3)
+    total = suffix.repeat_report(docs).groupBy().sum("n_bytes", "n_removed").first()
+    shares = suffix.removed_shares(docs).first()
+    assert (shares["n_bytes"], shares["n_removed"]) == tuple(total) and 0 < shares["n_merged"] < shares["n_removed"]
+    assert max(shares["n_equal"], shares["n_merged"]) <= shares["n_removed"] <= shares["n_equal"] + shares["n_merged"]
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     text = "".join(chr(97 + x) for x in np.random.default_rng(9).integers(0, 26, 400))
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (0, text[50:300])], "doc_id long, text string")
