@@ -17,7 +17,11 @@ TWO_32 = 4294967296.0
 
 def uniform(seed: str | int, *keys: Column) -> Column:
     """Uniform double in [0, 1) drawn from ``md5(seed|key|...)``."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    return uniform_of(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+
+
+def uniform_of(text: Column) -> Column:
+    """The draw of a text ``seed|key|...`` that the caller has put together."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(TWO_32)
 
 

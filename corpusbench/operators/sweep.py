@@ -24,17 +24,23 @@ FAMILIES = {
 OTHER = "Other"
 
 
-def with_conditions(df: DataFrame, conditions: list[str], out: str = "condition", partitions: int | None = None) -> DataFrame:
+def with_conditions(df: DataFrame, conditions: list[str], out: str = "condition", partitions: int | None = None,
+                    **values: dict[str, float | str]) -> DataFrame:
     """Every sample under every named condition.
 
     A generator over a literal list keeps the plan a map: no join, no
     shuffle, and the factor is the length of the list. Where the scan has
     fewer splits than there are cores, the caller may name a number of
     ``partitions`` over which samples are dealt before they are multiplied.
+    ``values`` adds columns that map a condition to a constant; they come out
+    of the list too, so nothing is looked up per row.
     """
     if partitions:
         df = df.repartition(partitions)
-    return df.withColumn(out, F.explode(array_literal(conditions)))
+    if not values:
+        return df.withColumn(out, F.explode(array_literal(conditions)))
+    listed = [F.struct(F.lit(c).alias(out), *[F.lit(m[c]).alias(n) for n, m in values.items()]) for c in conditions]
+    return df.select("*", F.inline(F.array(*listed)))
 
 
 def lookup(key: Column, mapping: dict[str, str], default: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusbench.functions.rng import uniform
+from corpusbench.functions.rng import uniform, uniform_of
 from corpusbench.operators import metrics as M
 from corpusbench.operators import sweep as S
 from corpusbench.plans import fixtures as fx
@@ -183,12 +183,16 @@ STRENGTH = {c: round(0.02 * i, 2) for i, c in enumerate(S.ALL_CONDITIONS)}
 
 
 def sweep(spark, sf) -> DataFrame:
-    """Scored lines under every reported condition; the fixture lowers scores by a seeded amount."""
+    """Scored lines under every reported condition; the fixture lowers scores by a seeded amount.
+
+    A draw and a rounding per line and condition are nearly all the work. The
+    start of the drawn text comes with the condition, and scores, which are
+    not negative, are rounded by arithmetic, without a decimal for each.
+    """
     scored = fx.scored_big(spark, sf).select("id", "label", "generator", "prob")
-    df = S.with_conditions(scored, S.ALL_CONDITIONS)
-    strength = S.lookup(F.col("condition"), STRENGTH, F.lit(0.0))
-    shift = strength * uniform("cond", F.col("condition"), F.col("id"))
-    return df.withColumn("prob", F.round(F.greatest(F.lit(0.0), F.col("prob") - shift), 2))
+    df = S.with_conditions(scored, S.ALL_CONDITIONS, _strength=STRENGTH, _text={c: f"cond|{c}|" for c in STRENGTH})
+    lowered = F.greatest(F.lit(0.0), F.col("prob") - F.col("_strength") * uniform_of(F.concat("_text", "id")))
+    return df.select("id", "label", "generator", "condition", (F.floor(lowered * 100.0 + 0.5) / 100.0).alias("prob"))
 
 
 SWEEP_SQL = f"""sweep as (
