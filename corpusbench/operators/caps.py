@@ -28,27 +28,45 @@ def scan_status(rows: DataFrame, caps: DataFrame, shard: str, pos: str, labels:
     ``caps`` (model, cap) names the wanted models; a null cap takes
     ``default_cap`` and 0 means uncapped. A row that turns out unusable
     gives its slot back, so only usable rows count against the cap.
+
+    Counts of usable rows per (model, shard) tell in which shard a model
+    reaches its cap. Rows before and after that shard stay where they are;
+    only the model's rows inside it are put in order. ``caps``, one row per
+    wanted model, is broadcast.
     """
-    joined = rows.join(caps.withColumn("_wanted", F.lit(True)), "model", "left")
-    cap = F.coalesce(F.col("cap"), F.lit(default_cap))
     in_label = F.col("label").isin(labels)
-    counted = in_label & F.col("_wanted").isNotNull() & ok & ~small
-    run = grouped_sum_before(joined, ["model"], [pos], F.col(shard), counted.cast("long"), "_before")
+    counted = in_label & ok & ~small
+    wanted = caps.select("model", F.coalesce(F.col("cap"), F.lit(default_cap)).alias("_cap"))
+    per = rows.where(counted).join(F.broadcast(wanted.where("_cap > 0")), "model").groupBy("model", "_cap", F.col(shard).alias("at")).agg(
+        F.count("*").alias("_n"))
+    upto = Window.partitionBy("model").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    full = per.withColumn("_upto", F.sum("_n").over(upto)).where("_upto >= _cap")
+    ends = full.groupBy("model").agg(F.min(F.struct("at", (F.col("_upto") - F.col("_n")).alias("before"))).alias("_end"))
+    limits = wanted.join(ends, "model", "left").withColumn("_wanted", F.lit(True))
+    joined = rows.join(F.broadcast(limits), "model", "left")
+
+    inside = F.col("_end").isNotNull() & F.col(shard).eqNullSafe(F.col("_end.at"))
+    # a null shard comes first, as nulls do in an ascending order
+    past = F.col("_end").isNotNull() & F.coalesce(F.col(shard) > F.col("_end.at"), F.col(shard).isNotNull())
+    used = Window.partitionBy("model").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_end.before") + F.coalesce(F.sum(counted.cast("long")).over(used), F.lit(0))
+    run = joined.where(~inside).withColumn("_capped", past).unionByName(
+        joined.where(inside).withColumn("_capped", before >= F.col("_cap")))
     return run.withColumn(
         "status",
         F.when(~in_label, "skip_label")
         .when(F.col("_wanted").isNull(), "skip_model")
-        .when((cap > 0) & (F.col("_before") >= cap), "skip_cap")
+        .when(F.col("_capped"), "skip_cap")
         .when(~ok, "skip_bad")
         .when(small, "skip_small")
         .otherwise("kept"),
-    ).drop("_wanted", "_before", "cap")
+    ).drop("_wanted", "_cap", "_end", "_capped")
 
 
 def per_model_cap(rows: DataFrame, caps: DataFrame, shard: str, pos: str, default_cap: int = 0) -> DataFrame:
-    """First ``cap`` rows of each wanted model in scan order; rows must be usable already."""
+    """First ``cap`` rows of each wanted model in scan order; rows must be usable already. ``caps`` is broadcast."""
     cap = F.coalesce(F.col("cap"), F.lit(default_cap))
-    joined = rows.join(caps, "model").withColumn(
+    joined = rows.join(F.broadcast(caps), "model").withColumn(
         "cap", F.when(cap > 0, cap).otherwise(F.lit(UNCAPPED)).cast("long"))
     return grouped_row_number(joined, ["model"], [shard, pos], F.col(shard), out="taken", first="cap")
 

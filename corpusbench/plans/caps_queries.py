@@ -31,8 +31,8 @@ _STATUS = f"""{_CAPS}, run as (
        when side < 200 then 'skip_small' else 'kept' end as status from run)"""
 
 
-def scanned(spark, sf):
-    return K.scan_status(fx.shards(spark, sf), model_caps(spark, sf), "shard", "pos", ["fake"],
+def scanned(spark, sf, rows=None):
+    return K.scan_status(fx.shards(spark, sf) if rows is None else rows, model_caps(spark, sf), "shard", "pos", ["fake"],
                          F.col("bytes") >= 50000, F.col("side") < 200, default_cap=20)
 
 
@@ -66,7 +66,8 @@ def cap_report(spark, sf):
              and (select count(distinct model) from shards where model not in (select model from caps)) = 0 as satisfied
     from caps left join n using (model)""", "shards"))
 def caps_satisfied(spark, sf):
-    counts = scanned(spark, sf).where("status = 'kept'").groupBy("model").agg(F.count("*").alias("n"))
+    fakes = fx.shards(spark, sf).where("label = 'fake'")  # no other row is kept or counts
+    counts = scanned(spark, sf, fakes).where("status = 'kept'").groupBy("model").agg(F.count("*").alias("n"))
     caps = model_caps(spark, sf).withColumn("cap", F.coalesce("cap", F.lit(0)))
     wanted = fx.shards(spark, sf).select("model").distinct()
     return K.caps_satisfied(caps, counts, wanted)
