@@ -225,7 +225,7 @@ def k_linear(rows: Matrix, cols: Matrix | None = None) -> Callable:
     def run(x: Column, key: Column) -> Column:
         return F.transform(separable(x, rows, cols or rows), lambda v: clamp(v))
 
-    if all(v >= 0 for m in (rows, cols or rows) for row in m for v in row):
+    if all(min(row) >= 0 and sum(row) <= 1 + 1e-9 for m in (rows, cols or rows) for row in m):
         run.averages = (rows, cols or rows)
     return run
 
@@ -235,6 +235,15 @@ def folded_weights(weights: Column, rows: Matrix, cols: Matrix) -> Column:
     return separable(weights, [list(r) for r in zip(*rows)], [list(c) for c in zip(*cols)])
 
 
+def cell_sum(kernel: Callable, x: Column, key: Column) -> Column:
+    """Sum of the cells of a kernel's grid; that of an averaging kernel is a weighted sum of ``x``."""
+    averages = getattr(kernel, "averages", None)
+    if averages is None:
+        return F.aggregate(kernel(x, key), F.lit(0.0), lambda s, v: s + v)
+    rows, cols = ([sum(column) for column in zip(*m)] for m in averages)
+    return _dot(x, array_literal([float(r * c) for r in rows for c in cols]))
+
+
 def k_noise(sigma: float, seed: str) -> Callable:
     return lambda x, key: F.transform(x, lambda v, i: clamp(v + F.lit(sigma) * normal(seed, key, i)))
 
@@ -245,15 +254,13 @@ def k_speckle(sigma: float, seed: str) -> Callable:
 
 
 def k_grain(sigma: float, scale: int, seed: str, size: int = SIZE) -> Callable:
-    """Noise shared by coarse cells of ``scale`` patches."""
+    """Noise shared by coarse cells of ``scale`` patches, drawn once for each."""
     per_row = max(1, size // scale)
+    coarse = [i // size // scale * per_row + i % size // scale for i in range(size * size)]
 
     def run(x: Column, key: Column) -> Column:
-        def at(v: Column, i: Column) -> Column:
-            coarse = F.floor(i / size / scale) * per_row + F.floor(i % size / scale)
-            return clamp(v + F.lit(sigma) * normal(seed, key, coarse))
-
-        return F.transform(x, at)
+        drawn = F.transform(F.sequence(F.lit(0), F.lit(max(coarse))), lambda c: normal(seed, key, c))
+        return let(drawn, lambda z: F.transform(x, lambda v, i: clamp(v + F.lit(sigma) * F.get(z, F.get(array_literal(coarse), i)))))
 
     return run
 
@@ -355,8 +362,8 @@ def k_equalize(x: Column, key: Column) -> Column:
         def upto(v: Column) -> Column:
             return F.size(F.filter(s, lambda y: y <= v)).cast("double")
 
-        low = upto(F.get(s, 0))
-        return F.transform(x, lambda v: F.when(low < F.size(s), (upto(v) - low) / (F.size(s) - low)).otherwise(v))
+        return let(upto(F.get(s, 0)), lambda low: F.transform(
+            x, lambda v: F.when(low < F.size(s), (upto(v) - low) / (F.size(s) - low)).otherwise(v)))
 
     return let(F.array_sort(x), run)
 

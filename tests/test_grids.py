@@ -1,8 +1,10 @@
 """Grids are worked out once per row, whatever is done with their cells."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from corpusbench.functions import grids as G
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,3 +13,17 @@ SF = "/root/testdata/sf0.001"
 def test_no_filter_works_out_the_grid(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate posexplode" in plan and "size(" not in plan
+
+
+@pytest.mark.parametrize("name", ["clean", "blur1.0", "crop60", "resample", "fftlp", "grain"])
+def test_sum_of_cells_is_that_of_the_kernel(spark, name):
+    grids = spark.range(3).select("id", F.transform(G.cells(), lambda i: (i * 37 + F.col("id") * 11) % 64 / 63.0).alias("grid"))
+    run = G.kernel(name)
+    cells = F.aggregate(run(F.col("grid"), F.col("id")), F.lit(0.0), lambda s, v: s + v)
+    for row in grids.select(G.cell_sum(run, F.col("grid"), F.col("id")).alias("a"), cells.alias("b")).collect():
+        assert row.a == pytest.approx(row.b, abs=1e-9)
+
+
+def test_a_sum_over_averages_makes_no_grid(spark):
+    plan = spark.range(1).select(G.cell_sum(G.kernel("blur2.0"), F.array_repeat(F.rand(), 64), F.col("id")))
+    assert "flatten" not in plan._jdf.queryExecution().optimizedPlan().toString()
