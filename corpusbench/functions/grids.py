@@ -349,23 +349,32 @@ def k_surface(sigma: float, edge: float, size: int = SIZE) -> Callable:
     return lambda x, key: F.zip_with(x, separable(x, g, g), smooth)
 
 
-def k_autocontrast(x: Column, key: Column) -> Column:
+def stretched(x: Column) -> Column:
+    """Cells from the least, 0, to the greatest, 1; not a number in a flat grid."""
     lo, span = F.array_min(x), F.array_max(x) - F.array_min(x)
     return let(F.struct(lo.alias("lo"), span.alias("span")), lambda s: F.transform(
-        x, lambda v: F.when(s["span"] > 0, (v - s["lo"]) / s["span"]).otherwise(v)))
+        x, lambda v: F.when(s["span"] > 0, (v - s["lo"]) / s["span"]).otherwise(v * math.nan)))
 
 
-def k_equalize(x: Column, key: Column) -> Column:
-    """Cumulative share of each value, stretched so the smallest maps to 0."""
+def ranked(x: Column, size: int = SIZE) -> Column:
+    """Number of smaller cells, over that of all other cells of the grid. Equal cells share theirs, nulls come last."""
 
     def run(s: Column) -> Column:
-        def upto(v: Column) -> Column:
-            return F.size(F.filter(s, lambda y: y <= v)).cast("double")
+        def smaller(v: Column) -> Column:
+            return F.coalesce(F.array_position(s, v) - 1, F.size(s).cast("long"))
 
-        return let(upto(F.get(s, 0)), lambda low: F.transform(
-            x, lambda v: F.when(low < F.size(s), (upto(v) - low) / (F.size(s) - low)).otherwise(v)))
+        return F.transform(x, lambda v: smaller(v) / F.lit(size * size - 1.0))
 
-    return let(F.array_sort(x), run)
+    return let(F.array_sort(F.array_compact(x)), run)
+
+
+def unless_flat(change: Callable[[Column], Column]) -> Callable:
+    """A kernel that leaves a grid of equal cells as it is."""
+    return lambda x, key: F.when(F.array_min(x) < F.array_max(x), change(x)).otherwise(x)
+
+
+k_autocontrast = unless_flat(stretched)
+k_equalize = unless_flat(ranked)
 
 
 def _keep(scale: float, size: int = SIZE) -> int:
